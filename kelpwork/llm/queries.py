@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kelpwork.llm import byte_pairs, look_alike, site_lines
+from kelpwork.llm import byte_pairs, look_alike, near_copies, nearest_vectors, site_lines
 
-MODULES = [site_lines, look_alike, byte_pairs]
+MODULES = [site_lines, look_alike, byte_pairs, near_copies, nearest_vectors]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
