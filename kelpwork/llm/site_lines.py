@@ -35,8 +35,8 @@ def normal_line(line: Column) -> Column:
 
 def _lines(documents: DataFrame, doc: str, site: str, text: str) -> DataFrame:
     """One row per document: its id, site, and the hash pair of every line in order."""
-    lines = F.split(F.col(text), "\n", -1)
-    pair = F.transform(lines, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.hash(normal_line(x)).alias("g"), (normal_line(x) == "").alias("blank")))
+    normal = F.transform(F.split(F.col(text), "\n", -1), normal_line)
+    pair = F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), (x == "").alias("blank")))
     return documents.select(F.col(doc).alias("doc_id"), F.col(site).alias("site"), pair.alias("lines")).where(F.col("site").isNotNull() & F.col("lines").isNotNull())
 
 
