@@ -91,7 +91,7 @@ def fit_centroids(sample: np.ndarray, count: int, rounds: int = 4, seed: int = 7
     x = sample.astype(np.float32)
     c = x[rng.choice(len(x), count, replace=False)]
     for _ in range(rounds):
-        near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
+        near = np.concatenate([(x[i : i + 1024] @ c.T).argmax(1) for i in range(0, len(x), 1024)])
         order = np.argsort(near, kind="stable")
         held, start = np.unique(near[order], return_index=True)
         c = c.copy()
@@ -216,9 +216,10 @@ def nearest_vectors(vectors: DataFrame, nearest: int = NEAREST, least: float = L
     some = vectors.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     drawn = usable(some, dimension, key, vector).select("unit").limit(2 * SAMPLE).toArrow()
     sample = _fixed(drawn.combine_chunks()["unit"].chunk(0), dimension) if drawn.num_rows else np.eye(1, dimension)
-    sample = np.unique(sample, axis=0)
+    sample = np.unique(sample.astype(np.float32), axis=0)
     centroids = fit_centroids(sample, int(np.clip(total // ROWS_PER_LIST, 1, min(CENTROIDS, len(sample)))))
-    expected = np.bincount(near_lists(sample, centroids)[1], minlength=len(centroids)) * max(1.0, total / max(len(sample), 1))
+    held = sum(np.bincount(near_lists(sample[i : i + 1000], centroids)[1], minlength=len(centroids)) for i in range(0, len(sample), 1000))
+    expected = held * max(1.0, total / max(len(sample), 1))
     blocks = np.maximum(1, np.ceil(expected / LIST_ROWS)).astype(np.int64)
     index = spark.sparkContext.broadcast((centroids, blocks, rotation(dimension)))
 
