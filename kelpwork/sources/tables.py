@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,3 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so that a lost executor loses nothing."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df``, at most twice as many, chosen by a hash of ``key``: the same for any partitioning.
+
+    Only ``key`` is read to count the rows, and the choice is a filter, so nothing is sorted and no task gathers more than
+    its share.
+    """
+    space = 1 << 40
+    share = min(1.0, rows / max(df.select(key).count(), 1))
+    return df.where(F.pmod(F.xxhash64(key), F.lit(space)) < int(share * space) + 1).limit(2 * rows)
