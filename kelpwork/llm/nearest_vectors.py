@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kelpwork.sources.tables import cut, table
+from kelpwork.sources.tables import cut, hashed_sample, table
 
 DIMENSION, NEAREST, LEAST = 64, 5, 0.9
 SAMPLE, CENTROIDS, ROWS_PER_LIST = 32_768, 16_384, 100
@@ -212,9 +212,7 @@ def nearest_vectors(vectors: DataFrame, nearest: int = NEAREST, least: float = L
     total = named.count()
     surplus = copies.where("member <> rep").select(F.col("member").alias("id"))
     single = units.select("id", "unit").join(F.broadcast(surplus) if surplus.count() <= BROADCAST_IDS else surplus, "id", "left_anti")
-    share = min(1.0, SAMPLE / max(total, 1))
-    some = vectors.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    drawn = usable(some, dimension, key, vector).select("unit").limit(2 * SAMPLE).toArrow()
+    drawn = usable(hashed_sample(vectors, key, SAMPLE), dimension, key, vector).select("unit").toArrow()
     sample = _fixed(drawn.combine_chunks()["unit"].chunk(0), dimension) if drawn.num_rows else np.eye(1, dimension)
     sample = np.unique(sample.astype(np.float32), axis=0)
     centroids = fit_centroids(sample, int(np.clip(total // ROWS_PER_LIST, 1, min(CENTROIDS, len(sample)))))
