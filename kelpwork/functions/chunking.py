@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as X
 
 MOST, OVERLAP, LEAST, WINDOW, TAIL = 512, 128, 50, 2048, 512
 _ROW = re.compile(r"^\s*\|.*\|\s*$")
@@ -125,7 +126,8 @@ def chunked(markdown: str | None, most: int = MOST, least: int = LEAST) -> list[
     return [c for c in out if len(c["content"]) >= least]
 
 
-_CHUNK = "array<struct<chunk_index:int,content:string,chunk_type:string,has_table:boolean,section_title:string,token_count:int,start_char:int,end_char:int>>"
+_TEXT, _INT = X.StringType(), X.IntegerType()
+_CHUNK = X.ArrayType(X.StructType([X.StructField(n, t) for n, t in (("chunk_index", _INT), ("content", _TEXT), ("chunk_type", _TEXT), ("has_table", X.BooleanType()), ("section_title", _TEXT), ("token_count", _INT), ("start_char", _INT), ("end_char", _INT))]))
 
 
 @F.pandas_udf(_CHUNK)

@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as X
+
+from kelpwork.functions.text import ascii_words
 
 # Abbreviations, keywords by category (English and German), and marks of what is no fact.
 ABBREVIATIONS = "dr mr mrs ms prof inc ltd jr sr vs etc e.g i.e M.Sc B.Sc Ph.D M.A B.A Mag Dipl inkl bzw ggf usw z.B d.h u.a sog ca Nr Str Abs Tel bzgl".split()
@@ -27,6 +30,9 @@ _COMMON = frozenset("The This That These Those It They We You I".split())
 SHORTEST, LONGEST, LEAST, MOST = 10, 500, 0.45, 200
 _UNIT = r"\d+(\.\d+)?\s*(kb|mb|gb|ms|s|px|%|em|rem)"
 _DEFINES = r"\bis\s+(a|an|the)\b|\bare\s+(a|an|the)?\s*\w+"
+CAPITALS = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"
+TECHNICAL = r"\b([a-z]+[A-Z][a-zA-Z]*|[a-z]+_[a-z_]+|[a-z]+-[a-z-]+)\b"
+_ASSERTS, _VAGUE, _OPEN = r"\bis\b|\bare\b|\bwill\b|\bcan\b", r"\bsome\b|\bseveral\b|\bmany\b|\bvarious\b", r"\betc\b|\band so on\b|\band more\b"
 _PROCEEDS = r"\b(to\s+\w+|by\s+\w+ing)\b"
 
 
@@ -42,29 +48,25 @@ def is_fact(sentence: Column) -> Column:
 def category(sentence: Column) -> Column:
     """Of the largest number of keywords; ties in the order SPEC, PROC, DEF, REL; OTHER for none."""
     low = F.lower(sentence)
-    score = {c: sum((F.contains(low, F.lit(k)).cast("int") for k in ks), F.lit(0)) for c, ks in KEYWORDS.items()}
-    score["SPEC"] = score["SPEC"] + F.when(sentence.rlike("(?i)" + _UNIT), 2).otherwise(0)
-    score["DEF"] = score["DEF"] + sentence.rlike("(?i)" + _DEFINES).cast("int")
-    score["PROC"] = score["PROC"] + sentence.rlike("(?i)" + _PROCEEDS).cast("int")
-    top = F.greatest(*score.values())
-    out = F.when(top <= 0, "OTHER")
-    for c, s in score.items():
-        out = out.when(s == top, c)
-    return out
+    more = {"SPEC": F.when(sentence.rlike("(?i)" + _UNIT), 2).otherwise(0), "DEF": sentence.rlike("(?i)" + ascii_words(_DEFINES)).cast("int"), "PROC": sentence.rlike("(?i)" + ascii_words(_PROCEEDS)).cast("int")}
+    found = lambda words: F.size(F.filter(F.array(*map(F.lit, words)), lambda k: F.contains(low, k)))
+    scored = F.array(*(F.struct((found(ks) + more.get(c, F.lit(0))).alias("n"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, (c, ks) in enumerate(KEYWORDS.items())))
+    best = F.array_max(F.array_append(scored, F.struct(F.lit(0).alias("n"), F.lit(1).alias("i"), F.lit("OTHER").alias("c"))))
+    return best["c"]
 
 
 def entities(sentence: Column) -> Column:
     """Capitalised runs, technical words and quoted code, distinct, in order of kind and place."""
-    runs = F.regexp_extract_all(sentence, F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"), 1)
+    runs = F.regexp_extract_all(sentence, F.lit(ascii_words(CAPITALS)), 1)
     lone = (F.size(runs) == 1) & F.startswith(sentence, F.coalesce(F.try_element_at(runs, F.lit(1)), F.lit("\0")))
     kept = F.filter(F.when(lone, F.array().cast("array<string>")).otherwise(runs), lambda x: ~x.isin(*_COMMON))
-    technical = F.regexp_extract_all(sentence, F.lit(r"\b([a-z]+[A-Z][a-zA-Z]*|[a-z]+_[a-z_]+|[a-z]+-[a-z-]+)\b"), 1)
+    technical = F.regexp_extract_all(sentence, F.lit(ascii_words(TECHNICAL)), 1)
     return F.array_distinct(F.concat(kept, technical, F.regexp_extract_all(sentence, F.lit("`([^`]+)`"), 1)))
 
 
 def confidence(sentence: Column, entity_count: Column) -> Column:
     low = F.lower(sentence)
-    steps = ((entity_count > 0, 0.1), (entity_count > 2, 0.1), (sentence.rlike("`[^`]+`"), 0.1), (sentence.rlike(r"\d+"), 0.05), (low.rlike(r"\bis\b|\bare\b|\bwill\b|\bcan\b"), 0.1), (low.rlike(r"\bsome\b|\bseveral\b|\bmany\b|\bvarious\b"), -0.1), (low.rlike(r"\betc\b|\band so on\b|\band more\b"), -0.1))
+    steps = ((entity_count > 0, 0.1), (entity_count > 2, 0.1), (sentence.rlike("`[^`]+`"), 0.1), (sentence.rlike(r"\d+"), 0.05), (low.rlike(ascii_words(_ASSERTS)), 0.1), (low.rlike(ascii_words(_VAGUE)), -0.1), (low.rlike(ascii_words(_OPEN)), -0.1))
     value = F.lit(0.5)
     for when, step in steps:
         value = value + F.when(when, step).otherwise(0.0)
@@ -146,7 +148,11 @@ def raw_facts(markdown: str | None) -> list[dict]:
     return [{"position": n, **f} for n, f in enumerate(out)]
 
 
-@F.pandas_udf("array<struct<position:int,kind:string,content:string,source_context:string,heading:string,code_block:string>>")
+_TEXT = X.StringType()
+_FACT = X.ArrayType(X.StructType([X.StructField("position", X.IntegerType()), *(X.StructField(n, _TEXT) for n in ("kind", "content", "source_context", "heading", "code_block"))]))
+
+
+@F.pandas_udf(_FACT)
 def raw_facts_of(markdown: pd.Series) -> pd.Series:
     return markdown.map(raw_facts)
 

@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as X
 
 from kelpwork.functions import text as T
 
@@ -207,7 +208,7 @@ def _spaced(node: Node) -> str:
     return "".join(p if isinstance(p, str) else (f" {_spaced(p)} " if p.tag in _BLOCK or p.tag == "br" else _spaced(p)) for p in node.parts)
 
 
-@F.pandas_udf("title string, markdown string, text string")
+@F.pandas_udf(X.StructType([X.StructField(n, X.StringType()) for n in ("title", "markdown", "text")]))
 def extract(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([extracted(p) for p in pages], columns=["title", "markdown", "text"])
 

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as X
 
 DIMENSION, BATCH = 64, 32
 _WORD = re.compile(r"[^\W_]+")
@@ -52,7 +53,7 @@ def _by_batch(values: pd.Series, model: Callable, size: int) -> list:
 
 
 def embed(text: Column, model: Callable[[list[str]], np.ndarray] = hashed_words, dimension: int = DIMENSION, batch: int = BATCH) -> Column:
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(X.ArrayType(X.DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([None if v is None else fitted(np.asarray(v, float), dimension) for v in _by_batch(s, model, batch)], dtype=object)
@@ -63,7 +64,7 @@ def embed(text: Column, model: Callable[[list[str]], np.ndarray] = hashed_words,
 def generate(prompt: Column, model: Callable[[list[str]], list[str]], failed: str = "[Generation failed]", batch: int = BATCH) -> Column:
     """Text of a language model; an error leaves ``failed``."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(X.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([failed if x is None else x for x in _by_batch(s, model, batch)], dtype=object)
@@ -74,7 +75,7 @@ def generate(prompt: Column, model: Callable[[list[str]], list[str]], failed: st
 def score_pairs(query: Column, content: Column, model: Callable[[list[tuple[str, str]]], list[float]], otherwise: Column) -> Column:
     """Cross-encoder score of each pair; a pair that fails keeps ``otherwise``."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(X.DoubleType())
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for q, c in batches:
             yield pd.Series(_by_batch(pd.Series(list(zip(q, c))), model, BATCH), dtype="float64")

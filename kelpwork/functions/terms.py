@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as X
 
 # The English stop words of the sparse vectors.
 STOP_WORDS = frozenset(
@@ -97,11 +98,11 @@ def weigh(terms: list[str]) -> dict[str, float]:
     return {t: min(float(n) / (float(n) + pressure), 1.0) for t, n in counts.items()}
 
 
-@F.pandas_udf("map<string,double>")
+@F.pandas_udf(X.MapType(X.StringType(), X.DoubleType()))
 def sparse_vector(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: weigh(stems(t)))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(X.ArrayType(X.StringType()))
 def stemmed(texts: pd.Series) -> pd.Series:
     return texts.map(stems)

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as X
 
 # The words that tell English from German.
 ENGLISH = ("the", "and", "is", "are", "was", "were", "have", "has", "this", "that")
@@ -75,15 +76,20 @@ def path_excluded(url: Column, globs: list[str]) -> Column:
     return F.coalesce(path.rlike("^(?:" + "|".join(patterns) + ")"), F.lit(False)) if patterns else F.lit(False)
 
 
+def ascii_words(pattern: str) -> str:
+    """``pattern`` with word boundaries between ASCII letters, digits and underscores and all else, which Java's are not."""
+    return pattern.replace(r"\b", "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+
+
 def is_refusal(answer: Column) -> Column:
-    return answer.rlike("(?i)" + "|".join(f"(?:{p})" for p in REFUSALS))
+    return answer.rlike("(?i)" + "|".join(f"(?:{ascii_words(p)})" for p in REFUSALS))
 
 
 def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(X.StringType())
 def rolling_hash(texts: pd.Series) -> pd.Series:
     """31-fold rolling hash over UTF-16 units in 32 bits: its magnitude in hex, a dash, the length in hex."""
 

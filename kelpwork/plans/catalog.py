@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from kelpwork.plans import corpus, quality, search
+
+MODULES = (quality, search, corpus)
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+SQL: dict[str, str] = {name: text for m in MODULES for name, text in m.SQL.items()}

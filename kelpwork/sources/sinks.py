@@ -65,7 +65,7 @@ def patched(df: DataFrame, updates: DataFrame, key: str, limits: dict[str, tuple
         if kinds[c] == "string":
             n = F.nullif(F.trim(n), F.lit(""))
         if limits and c in limits:
-            n = F.greatest(F.least(n, F.lit(limits[c][1])), F.lit(limits[c][0]))
+            n = F.when(n.isNotNull(), F.greatest(F.least(n, F.lit(limits[c][1])), F.lit(limits[c][0])))
         return F.coalesce(n, F.col(c)).alias(c)
 
     return df.join(new, key, "left").select(*(value(c) if c in fields else c for c in df.columns))
