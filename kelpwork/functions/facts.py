@@ -167,12 +167,14 @@ def extract_facts(pages: DataFrame, key: str = "doc_id", markdown: str = "markdo
     of a page the first stays. One shuffle, by page, serves both windows."""
     rows = pages.select(key, F.explode(raw_facts_of(markdown)).alias("f")).select(key, "f.*")
     rows = rows.where((F.col("kind") != "sentence") | (F.length("content").between(SHORTEST, LONGEST) & is_fact(F.col("content"))))
-    rows = rows.withColumn("entities", entities(F.col("content")))
+    # each step is a row of its own (inline): else the optimiser would repeat every expression wherever it is used
+    rows = rows.select("*", F.inline(F.array(F.struct(entities(F.col("content")).alias("entities")))))
     base = confidence(F.col("content"), F.size("entities"))
-    rows = rows.withColumn("confidence", F.when(F.col("kind") == "code", 0.75).when(F.col("kind") == "list", F.round(base - 0.1, 6)).otherwise(base))
-    rows = rows.withColumn("category", F.when(F.col("kind") == "code", "PROC").otherwise(category(F.col("content")))).where(F.col("confidence") >= least)
+    scored = F.when(F.col("kind") == "code", 0.75).when(F.col("kind") == "list", F.round(base - 0.1, 6)).otherwise(base)
+    kind = F.when(F.col("kind") == "code", "PROC").otherwise(category(F.col("content")))
+    rows = rows.select("*", F.inline(F.array(F.struct(scored.alias("confidence"), kind.alias("category"), fact_key(F.col("content")).alias("fact_key"))))).where(F.col("confidence") >= least)
     first = W.partitionBy(key, "fact_key").orderBy("position")
     order = W.partitionBy(key).orderBy("position")
-    rows = rows.withColumn("fact_key", fact_key(F.col("content"))).withColumn("n", F.row_number().over(first)).where("n = 1")
+    rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1")
     rows = rows.withColumn("fact_index", F.row_number().over(order) - 1).where(F.col("fact_index") < most)
     return rows.select(key, "fact_index", "kind", "content", "category", "confidence", "source_context", "heading", "entities", "code_block")
