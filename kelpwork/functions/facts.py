@@ -49,7 +49,7 @@ def category(sentence: Column) -> Column:
     """Of the largest number of keywords; ties in the order SPEC, PROC, DEF, REL; OTHER for none."""
     low = F.lower(sentence)
     more = {"SPEC": F.when(sentence.rlike("(?i)" + _UNIT), 2).otherwise(0), "DEF": sentence.rlike("(?i)" + ascii_words(_DEFINES)).cast("int"), "PROC": sentence.rlike("(?i)" + ascii_words(_PROCEEDS)).cast("int")}
-    found = lambda words: F.size(F.filter(F.array(*map(F.lit, words)), lambda k: F.contains(low, k)))
+    found = lambda words: sum((F.contains(low, F.lit(k)).cast("int") for k in words), F.lit(0))
     scored = F.array(*(F.struct((found(ks) + more.get(c, F.lit(0))).alias("n"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, (c, ks) in enumerate(KEYWORDS.items())))
     best = F.array_max(F.array_append(scored, F.struct(F.lit(0).alias("n"), F.lit(1).alias("i"), F.lit("OTHER").alias("c"))))
     return best["c"]
@@ -60,7 +60,7 @@ def entities(sentence: Column) -> Column:
     runs = F.regexp_extract_all(sentence, F.lit(ascii_words(CAPITALS)), 1)
     lone = (F.size(runs) == 1) & F.startswith(sentence, F.coalesce(F.try_element_at(runs, F.lit(1)), F.lit("\0")))
     kept = F.filter(F.when(lone, F.array().cast("array<string>")).otherwise(runs), lambda x: ~x.isin(*_COMMON))
-    technical = F.regexp_extract_all(sentence, F.lit(ascii_words(TECHNICAL)), 1)
+    technical = F.regexp_extract_all(sentence, F.lit(ascii_words(TECHNICAL, strict=True)), 1)
     return F.array_distinct(F.concat(kept, technical, F.regexp_extract_all(sentence, F.lit("`([^`]+)`"), 1)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -76,9 +78,17 @@ def path_excluded(url: Column, globs: list[str]) -> Column:
     return F.coalesce(path.rlike("^(?:" + "|".join(patterns) + ")"), F.lit(False)) if patterns else F.lit(False)
 
 
-def ascii_words(pattern: str) -> str:
-    """``pattern`` with word boundaries between ASCII letters, digits and underscores and all else, which Java's are not."""
-    return pattern.replace(r"\b", "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+_ASCII = "[A-Za-z0-9_]"
+
+
+def ascii_words(pattern: str, strict: bool = False) -> str:
+    r"""``pattern`` with each ``\b`` between ASCII letters, digits and underscores and all else, which Java's is not.
+
+    A boundary before a letter or group is one that no word character precedes, any other one that none follows. That is
+    fast, and the same where words stand inside the boundaries; ``strict`` serves patterns that may end in other signs."""
+    if strict:
+        return pattern.replace(r"\b", f"(?:(?<={_ASCII})(?!{_ASCII})|(?<!{_ASCII})(?={_ASCII}))")
+    return re.sub(r"\\b(?=[A-Za-z(])", f"(?<!{_ASCII})", pattern).replace(r"\b", f"(?!{_ASCII})")
 
 
 def is_refusal(answer: Column) -> Column:
