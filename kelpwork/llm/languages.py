@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpwork.sources.tables import table
+from kelpwork.sources.tables import hashed_sample, table
 
 LANGUAGES = ("en", "de", "fr", "es")
 # Spellings of the languages besides code and code with region, and frequent words of each language.
@@ -179,7 +179,7 @@ def detect(documents: DataFrame, doc: str = "doc_id", text: str = "raw_content",
     of documents in several languages, with the posterior as confidence."""
     rows = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.col(label).alias("label"))
     spark = documents.sparkSession
-    drawn = rows.where(F.col("label").isNotNull() & (F.trim("label") != "")).orderBy(F.xxhash64("doc_id")).select("text", "label").limit(SAMPLE).toArrow()
+    drawn = hashed_sample(rows.where(F.col("label").isNotNull() & (F.trim("label") != "")), "doc_id", SAMPLE).select("text", "label").toArrow()
     model = spark.sparkContext.broadcast(fit(drawn["text"].to_pylist(), [label_language(x) for x in drawn["label"].to_pylist()], languages))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
