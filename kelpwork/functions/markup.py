@@ -54,12 +54,13 @@ class _Builder(HTMLParser):
         if tag in _BREAKS_P and self.open[-1].tag == "p":
             self.open.pop()
         if tag in _CLOSES:
+            cut = len(self.open)
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k].tag in _STOPS.get(tag, ()):
                     break
                 if self.open[k].tag in _CLOSES[tag]:
-                    del self.open[k:]
-                    break
+                    cut = k
+            del self.open[cut:]
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].parts.append(node)
         if tag not in _VOID and len(self.open) < 200:
