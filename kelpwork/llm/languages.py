@@ -42,6 +42,8 @@ SAMPLE, REFITS, LINE_WORDS = 4_000, 2, 10
 BUCKETS, SIZES = 1 << 17, (3, 4)
 #: Overlapping n-grams repeat evidence: likelihoods are scaled down by this. Penalty of a language in a document's set, in scaled units.
 TEMPER, PENALTY, ROUNDS = 4.0, 4.0, 8
+#: Smallest probability of an n-gram, in counts of the best known language; what a label adds to the first scores.
+FLOOR, LABEL_WEIGHT = 0.05, 3.0
 _CODE = re.compile(r"^\s*(?:```|\$ |>>> )|[{}]|;\s*$|\w\(.*\)\s*[;:]?$|^\S+\s*=\s*\S+$|^(?:curl|SELECT|export|import|def|for) .*[=(/]")
 
 
@@ -105,8 +107,8 @@ def _counts(lines: list[str], weight: np.ndarray) -> np.ndarray:
 
 
 def _model(counts: np.ndarray) -> np.ndarray:
-    p = counts + 0.05
-    p = np.log(p / p.sum(1, keepdims=True)).T
+    total = counts.sum(1, keepdims=True)
+    p = np.log(counts / np.maximum(total, 1) + FLOOR / max(total.max(), 1)).T  # one floor for all, or a rare language would like what is unknown
     return np.ascontiguousarray((p - p.max(1, keepdims=True)).astype(np.float32))
 
 
@@ -126,9 +128,9 @@ def fit(texts: list[str], labels: list[str | None], languages: tuple[str, ...] =
     lines, w = [lines[i] for i in keep], np.array(weight)[keep]
     if not lines:
         return _model(seeds)
-    model = _model(seeds + _counts(lines, w))
-    for _ in range(REFITS):
-        post = np.exp(line_scores(lines, model))
+    model = _model(seeds)
+    for n in range(REFITS + 1):
+        post = np.exp(line_scores(lines, model) + (LABEL_WEIGHT * w if n == 0 else 0))
         model = _model(seeds + _counts(lines, post / post.sum(1, keepdims=True)))
     return model
 
