@@ -1,7 +1,7 @@
 """Top-k search of all queries at once, re-ranking, fusion and diversity.
 
 Queries (query_id, dense, sparse) meet items (id, document_id, content, dense, sparse). The dense pool is exact: the
-queries are sent to the items in blocks of at most ``BLOCK`` vectors, every task keeps its own best per query, and
+queries are sent to the items in blocks of about ``BLOCK`` vectors, every task keeps its own best per query, and
 one window per query takes the best of the tasks. Only the pool is joined with sparse vectors. Ranks are by score,
 ties by id; scores are rounded to nine decimals, so that the order does not hang on the last bit.
 """
@@ -63,15 +63,13 @@ def dense_pool(queries: DataFrame, items: DataFrame, k: int, dimension: int = 64
 
         return rows.mapInArrow(run, kinds)
 
-    parts, pending, held = [], [], 0
-    for b in asked.toArrow().to_batches():  # vectors of the stated queries only, a block at a time
-        pending.append(b)
-        held += b.num_rows
-        if held >= BLOCK:
-            parts.append(against(pa.Table.from_batches(pending)))
-            pending, held = [], 0
-    if pending and held:
-        parts.append(against(pa.Table.from_batches(pending)))
+    blocks = -(-asked.count() // BLOCK)
+    numbered = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1))))
+    parts = []
+    for n in range(blocks):  # one block of vectors at a time comes to the driver and goes out again
+        block = numbered.where(F.col("block") == n).select("query_id", "dense").toArrow()
+        if block.num_rows:
+            parts.append(against(block))
     if not parts:
         return spark.createDataFrame([], kinds)
     found = parts[0]
