@@ -42,7 +42,8 @@ def is_fact(sentence: Column) -> Column:
     hedge = F.lit(False)
     for w in HEDGES:
         hedge = hedge | F.startswith(low, F.lit(w)) | F.contains(low, F.lit(", " + w))
-    return ~(sentence.rlike("(?i)" + "|".join(NOT_FACTS)) | F.endswith(sentence, F.lit("?")) | hedge)
+    mark = "(?i)^(?:" + "|".join(p.removeprefix("^") for p in NOT_FACTS) + ")"
+    return ~(sentence.rlike(mark) | F.endswith(sentence, F.lit("?")) | hedge)
 
 
 def category(sentence: Column) -> Column:
