@@ -280,6 +280,24 @@ def test_main_body(spark):
     assert body[1].count("\n") == 2 and body[901] is None and body[903] == "some line\nother"
 
 
+def test_join_path_and_salted_hosts_give_the_same(spark, monkeypatch):
+    rows = [(100 * k + i, h, *reversed(page(i, kind="p" if k == 0 else "div")), None) for i in range(16) for k, h in enumerate(("a-one.example", "b-two.example", "c-three.example", "d-four.example"))]
+    df = spark.createDataFrame(rows, "doc_id bigint, domain string, raw_html string, raw_content string, title string")
+    want = sorted(map(tuple, site_wrappers.site_matter(df).collect()))
+    monkeypatch.setattr(site_wrappers, "BROADCAST_FIELDS", -1)
+    assert sorted(map(tuple, site_wrappers.site_matter(df).collect())) == want
+    monkeypatch.setattr(site_wrappers, "GROUP_ROWS", 25)
+    assert len(set(map(tuple, site_wrappers.site_matter(df).collect())) ^ set(want)) <= 0.03 * len(want)
+
+
+def test_copies_beyond_the_broadcast_bound(spark, monkeypatch):
+    texts = ["a b c d e f g h i j"] * 5 + ["a b c d e f g h i k"] * 2 + ["q r s t u"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, raw_content string")
+    want = {(r.doc_a, r.doc_b) for r in near_copies.near_copy_pairs(df, 0.5, 3).collect()}
+    monkeypatch.setattr(near_copies, "BROADCAST_IDS", -1)
+    assert {(r.doc_a, r.doc_b) for r in near_copies.near_copy_pairs(df, 0.5, 3).collect()} == want == {(a, b) for a, b in itertools.combinations(range(7), 2)}
+
+
 def test_patterns():
     a, n = site_wrappers.align(("by", "anna", "x", "·", "0", "min"), ("by", "bert", "·", "0", "min"))
     assert a == ("by", None, "·", "0", "min") and n == 4
