@@ -319,3 +319,60 @@ def n09(s, d):
 def s01(s, d):
     e = table(s, d, "events")
     return e.groupBy(F.unix_micros(F.date_trunc("hour", "ts")).alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+
+
+@query("A06_domain_crawl", "SELECT url AS loc FROM documents WHERE doc_id = 20")
+def a06(s, d):
+    return crawl.deep_entries(_sitemaps(s, d), "index-20.xml", also_named=True).select("loc")
+
+
+@query("B03_appended", f"WITH {CHUNKS} SELECT document_id, count(*) AS n FROM chunks GROUP BY document_id")
+def b03(s, d):
+    c = I.chunks(s, d).select("id", "document_id")
+    return c.where("id % 2 = 0").unionByName(c.where("id % 2 = 1")).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("B07_deleted_ids", f"WITH {FACTS} SELECT id FROM facts WHERE id NOT IN (1, 2, 3, 5, 8)")
+def b07(s, d):
+    return sinks.deleted(I.facts(s, d), s.createDataFrame([(i,) for i in (1, 2, 3, 5, 8)], "id bigint"), "id").select("id")
+
+
+@query("B09_singleton", "SELECT 1 AS id, 'dark' AS theme, 'Docs' AS title")
+def b09(s, d):
+    old = s.createDataFrame([(1, "light", "Docs")], "id int, theme string, title string")
+    return sinks.singleton(old, s.createDataFrame([(1, " dark ", "  ")], "id int, theme string, title string"))
+
+
+@query("B10_json_lines", "SELECT doc_id, '{\"doc_id\":' || doc_id || ',\"domain\":\"' || domain || '\"}' AS line FROM documents WHERE domain IS NOT NULL")
+def b10(s, d):
+    return I.documents(s, d).where("domain IS NOT NULL").select("doc_id", F.to_json(F.struct("doc_id", "domain")).alias("line"))
+
+
+@query("B13_progress_frames", "SELECT doc_id, 'event: progress' || chr(10) || 'data: {\"url\":\"' || url || '\"}' || chr(10) || chr(10) AS frame FROM documents")
+def b13(s, d):
+    return I.documents(s, d).select("doc_id", F.concat(F.lit("event: progress\ndata: "), F.to_json(F.struct("url")), F.lit("\n\n")).alias("frame"))
+
+
+@query("C04_markdown")
+def c04(s, d):
+    return _pages(s, d)
+
+
+@query("D05_strategy", f"WITH {CHUNKS} SELECT id, CASE WHEN len(list_filter(regexp_split_to_array(content_markdown, '\\n\\n+'), lambda p: trim(p) <> '')) >= 2 THEN 'paragraph' WHEN regexp_matches(content_markdown, '[.!?][ \\t\\n\\r\\f\\v]+[^ \\t\\n\\r\\f\\v]') THEN 'sentence' ELSE 'window' END AS strategy FROM chunks WHERE content_markdown IS NOT NULL")
+def d05(s, d):
+    m = F.col("content_markdown")
+    paragraphs = F.size(F.filter(F.split(m, r"\n\n+"), lambda p: F.trim(p) != ""))
+    strategy = F.when(paragraphs >= 2, "paragraph").when(m.rlike(r"[.!?][ \t\n\r\f\x0B]+[^ \t\n\r\f\x0B]"), "sentence").otherwise("window")
+    return I.chunks(s, d).where(m.isNotNull()).select("id", strategy.alias("strategy"))
+
+
+@query("E06_length_filter", f"WITH {FACTS} SELECT id FROM facts WHERE length(content) BETWEEN 10 AND 500")
+def e06(s, d):
+    return I.facts(s, d).where(F.length("content").between(FX.SHORTEST, FX.LONGEST)).select("id")
+
+
+@query("E04_nearest_heading", f"WITH {FACTS}, h AS (SELECT document_id, fact_index, content AS heading FROM facts WHERE fact_index % 3 = 0) SELECT f.id, (SELECT arg_max(h.heading, h.fact_index) FROM h WHERE h.document_id = f.document_id AND h.fact_index <= f.fact_index) AS heading FROM facts f")
+def e04(s, d):
+    """As-of by position: the last heading at or before each row, in one window pass."""
+    w = W.partitionBy("document_id").orderBy("fact_index", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return I.facts(s, d).select("id", F.last(F.when(F.col("fact_index") % 3 == 0, F.col("content")), ignorenulls=True).over(w).alias("heading"))

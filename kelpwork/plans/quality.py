@@ -403,3 +403,45 @@ def m09(s, d):
 def m10(s, d):
     models = s.createDataFrame([], "base_model string, adapter_path string, dataset_size bigint, avg_quality_score double, active boolean")
     return FB.activated(FB.registered(models, I.preferences(s, d), "base"), "base_model", "base").drop("adapter_path")
+
+
+@query("K02_judge_calls")
+def k02(s, d):
+    """Three calls a row through the model interface; the stand-in judge replies with scores from the answer's length."""
+    from kelpwork.functions import models
+
+    def judge(prompts):
+        return ['{"groundedness": %d, "completeness": 3, "answer_quality": %d, "hallucination": false}' % (1 + len(p) % 5, 1 + len(p) % 4) for p in prompts]
+
+    e = I.evaluation(s, d).where("generated_answer IS NOT NULL").select("evaluation_id", F.substring(F.concat_ws("\n", "question", "retrieved_context", "generated_answer"), 1, 8000).alias("prompt"), F.explode(F.array(*(F.lit(v) for v in range(3)))).alias("v"))
+    replies = e.select("evaluation_id", K.parsed_reply(models.generate(F.concat("prompt", F.col("v").cast("string")), judge)).alias("r")).where("r IS NOT NULL")
+    return K.voted(replies.select("evaluation_id", "r.*"))
+
+
+@query("K07_refusal_override", f"WITH {JUDGED} SELECT evaluation_id, answerable FROM judged")
+def k07(s, d):
+    return I.judged(s, d).select("evaluation_id", "answerable")
+
+
+@query("L07_feedback", f"WITH {MESSAGES} SELECT id, CASE WHEN id % 5 = 0 THEN 'down' ELSE rating END AS rating, CASE WHEN id % 5 = 0 THEN 'other' ELSE rating_category END AS rating_category FROM messages")
+def l07(s, d):
+    from kelpwork.sources import sinks
+
+    m = I.messages(s, d).select("id", "rating", "rating_category")
+    return sinks.patched(m, m.where("id % 5 = 0").select("id", F.lit(" down ").alias("rating"), F.lit("other").alias("rating_category")), "id")
+
+
+@query("L10_mark_reviewed", f"WITH {MESSAGES} SELECT id, reviewed_at IS NOT NULL OR id % 3 = 0 AS reviewed FROM messages")
+def l10(s, d):
+    from kelpwork.sources import sinks
+
+    m = I.messages(s, d).select("id", "reviewed_at", "created_at")
+    marked = sinks.patched(m, m.where("id % 3 = 0").select("id", F.col("created_at").alias("reviewed_at")), "id")
+    return marked.select("id", F.col("reviewed_at").isNotNull().alias("reviewed"))
+
+
+@query("M11_exclusive_flag", f"WITH {EVAL} SELECT run_id, run_id = (SELECT max(run_id) FROM ev) AS active FROM (SELECT DISTINCT run_id FROM ev)")
+def m11(s, d):
+    runs = I.evaluation(s, d).select("run_id").distinct()
+    newest = runs.agg(F.max("run_id")).first()[0]
+    return FB.activated(runs, "run_id", newest)

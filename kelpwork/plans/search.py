@@ -214,3 +214,75 @@ def h04(s, d):
 @query("H05_diverse")
 def h05(s, d):
     return R.diverse(found(s, d, k=10).join(I.items(s, d).select("id", "dense"), "id"), 4)
+
+
+@query("F02_batched_embedding")
+def f02(s, d):
+    c = I.chunks(s, d)
+    return c.select("id", F.transform(models.embed(F.col("content"), batch=32), lambda x: F.round(x, 6)).alias("dense"))
+
+
+@query("F10_embedding_record", f"WITH {CHUNKS} SELECT id, coalesce(len(dense_embedding), -1) AS dimension, coalesce(cardinality(sparse_vector), -1) AS terms, CAST(ceil(length(content) / 4.0) AS INTEGER) AS token_count FROM chunks")
+def f10(s, d):
+    record = F.struct("dense_embedding", "sparse_vector", T.token_estimate(F.col("content")).alias("token_count"))
+    rows = I.chunks(s, d).select("id", record.alias("r"))
+    return rows.select("id", F.coalesce(F.size("r.dense_embedding"), F.lit(-1)).alias("dimension"), F.coalesce(F.size("r.sparse_vector"), F.lit(-1)).alias("terms"), "r.token_count")
+
+
+@query("F12_summary_target", f"WITH {SUMMARIES} SELECT id, summary AS dense_target, original_content AS sparse_target FROM summaries")
+def f12(s, d):
+    return I.summaries(s, d).select("id", F.col("summary").alias("dense_target"), F.col("original_content").alias("sparse_target"))
+
+
+@query("F13_cosine_distance", _NEXT + f"SELECT id, round(1 - {_SQL_COSINE}, 6) AS distance FROM p WHERE {_USABLE_PAIR}")
+def f13(s, d):
+    return _next(s, d).where("size(x) > 0 AND size(y) > 0").select("id", F.round(1 - vectors.cosine(F.col("x"), F.col("y"), strict=False), 6).alias("distance"))
+
+
+_FAN = " UNION ALL ".join(f"SELECT * FROM ({_sql_search(p, k=n * K)} SELECT '{p}' AS pipeline, query_id, id, CAST(rank AS INTEGER) AS rank FROM found WHERE rank <= {K})" for p, n in (("chunk", 2), ("fact", 4)))
+
+
+@query("J02_fan_out", _FAN)
+def j02(s, d):
+    from kelpwork.operators.evaluation import FETCH
+
+    parts = [found(s, d, p, k=FETCH[p] * K).where(F.col("rank") <= K).select(F.lit(p).alias("pipeline"), "query_id", "id", "rank") for p in ("chunk", "fact")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("J06_mean_score", _sql_search("chunk") + "SELECT query_id, round(avg(score), 6) AS mean_score FROM found GROUP BY query_id")
+def j06(s, d):
+    return found(s, d).groupBy("query_id").agg(F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+@query("J07_stored_results", _sql_search("chunk") + ", f AS (SELECT query_id, document_id, min(rank) AS rank FROM found GROUP BY ALL) SELECT r.query_id, r.ids, d.documents FROM (SELECT query_id, list(document_id ORDER BY rank) AS ids FROM found GROUP BY query_id) r JOIN (SELECT query_id, list(document_id ORDER BY rank) AS documents FROM f GROUP BY query_id) d USING (query_id)")
+def j07(s, d):
+    from kelpwork.operators.evaluation import distinct_documents
+
+    f = found(s, d)
+    ids = f.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "document_id"))), lambda x: x["document_id"]).alias("ids"))
+    return ids.join(distinct_documents(f, "query_id"), "query_id")
+
+
+@query("L12_chat_turn")
+def l12(s, d):
+    """Search, context, answer; no context gives a fixed reply. The stand-in answers with the first line of the prompt."""
+    f = found(s, d, least=0.3).join(I.items(s, d).select("id", "content"), "id")
+    turns = I.asked(s, d).select("query_id").join(R.context(f), "query_id", "left")
+    answer = models.generate(F.coalesce("context", F.lit("")), lambda prompts: [p.split("\n")[0] for p in prompts])
+    return turns.select("query_id", F.when(F.col("context").isNull(), "No matching content was found.").otherwise(answer).alias("answer"))
+
+
+@query("P01_generate", f"WITH {CHUNKS} SELECT id, upper(substr(content, 1, 10)) AS answer FROM chunks")
+def p01(s, d):
+    return I.chunks(s, d).select("id", models.generate(F.substring("content", 1, 10), lambda texts: [t.upper() for t in texts]).alias("answer"))
+
+
+@query("P05_generation_errors", f"WITH {CHUNKS} SELECT id, CASE WHEN contains(content, '7') THEN '[Generation failed]' ELSE 'ok' END AS answer FROM chunks")
+def p05(s, d):
+    def model(texts):
+        if any("7" in t for t in texts):
+            raise ValueError("no answer")
+        return ["ok"] * len(texts)
+
+    return I.chunks(s, d).select("id", models.generate(F.col("content"), model).alias("answer"))
