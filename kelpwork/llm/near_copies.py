@@ -13,8 +13,8 @@ which spills; candidates are made distinct and pass a comparison of 32-byte sket
 attached. The ids of copies are broadcast
 only if they were counted to be few, otherwise they are joined.
 
-Cases: null, empty and short texts (fewer than ``words`` words) have no runs and no partners; rows with a
-repeated id count once; equal texts are partners; extra columns are ignored.
+Cases: null, empty and short texts (fewer than ``words`` words) have no runs and no partners, nor have
+rows without id; rows with a repeated id count once; equal texts are partners; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def run_sets(documents: DataFrame, words: int, doc: str, text: str) -> DataFrame
                 keep = pa.array(np.diff(np.r_[0, ends]) > 0)
                 yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (b.column(0), digest, sets)], ["doc_id", "digest", "runs"])
 
-    rows = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
+    rows = documents.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, runs binary")
 
 

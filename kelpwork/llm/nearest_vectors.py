@@ -18,8 +18,8 @@ left out. Exact copies never meet in a list: a vector that a third of all rows s
 surplus copies are broadcast only if counted to be few. The centroids (at most ``CENTROIDS`` x dimension) are
 broadcast.
 
-Cases: null, empty, too short, too long, all-zero and non-finite vectors are unusable and take no part; rows with
-a repeated id count once; fewer than two usable vectors give no rows; extra columns are ignored.
+Cases: null, empty, too short, too long, all-zero and non-finite vectors are unusable and take no part, nor do rows
+without id; rows with a repeated id count once; fewer than two usable vectors give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def usable(vectors: DataFrame, dimension: int, key: str, vector: str) -> DataFra
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (b.column(0), digest, unit)], ["id", "digest", "unit"])
 
     fit = F.when(F.size(vector) == dimension, ~F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x))).otherwise(False)
-    rows = vectors.where(fit).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = vectors.where(fit & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     return rows.mapInArrow(make, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, unit binary")
 
 

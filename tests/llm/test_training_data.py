@@ -103,7 +103,7 @@ def test_near_copies_against_brute_force(spark):
                 t[rng.randrange(len(t))] = rng.choice(words)
             texts.append(" ".join(t).upper() if edits == 0 else " ".join(t))
     texts += [None, "", "two words", "two words", "one two three", "One, two: THREE!"]
-    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)] + [(0, texts[0], "z")], "doc_id bigint, raw_content string, runs string")
+    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)] + [(0, texts[0], "z"), (None, texts[0], "z")], "doc_id bigint, raw_content string, runs string")
     sets = [runs(t, 3) for t in texts]
     want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
     got = {(r.doc_a, r.doc_b) for r in near_copies.near_copy_pairs(df, 0.5, 3).collect()}
@@ -123,7 +123,7 @@ def test_estimates_are_unbiased():
 
 
 def brute(rows, k=5, least=0.9):
-    good = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v is not None and len(v) == 64 and None not in v and np.linalg.norm(v) > 0}
+    good = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i is not None and v is not None and len(v) == 64 and None not in v and np.isfinite(v).all() and np.linalg.norm(v) > 0}
     out = set()
     for i, v in good.items():
         near = sorted((-round(float(v @ w), 6), j) for j, w in good.items() if j != i)[:k]
@@ -138,7 +138,7 @@ def test_nearest_vectors_against_brute_force(spark):
         c = rng.normal(size=64)
         rows += [(len(rows) + k, (c + rng.normal(size=64) * s).tolist()) for k, s in enumerate((0, 0.1, 0.2, 0.3, 0.4))]
     rows += [(500 + i, [2.0 * x for x in rows[0][1]]) for i in range(9)]  # a group of equal directions
-    rows += [(600, None), (601, []), (602, [1.0] * 32), (603, [0.0] * 64), (604, [1.0, None] + [0.0] * 62), rows[0], rows[505 - 500]]
+    rows += [(600, None), (601, []), (602, [1.0] * 32), (603, [0.0] * 64), (604, [1.0, None] + [0.0] * 62), (605, [float("nan")] * 64), (606, [float("inf")] + [0.0] * 63), (None, rows[0][1]), rows[0], rows[505 - 500]]
     df = spark.createDataFrame(rows, "id bigint, dense_embedding array<double>").withColumn("digest", F.lit(1))
     got = {(r.id, r.other) for r in nearest_vectors.nearest_vectors(df).collect()}
     want = brute({i: v for i, v in rows}.items())
@@ -313,3 +313,18 @@ def test_aligned_patterns_match_both(x, y):
     assert loose(x) and loose(y)
     if x == y:
         assert p == tuple(x)
+
+
+def test_rows_without_id_do_no_harm(spark):
+    rows = [(None, "a.x", None, EN, EN, None), (None, None, None, None, None, None), (1, "a.x", "<h1>x</h1>", DE, DE, "src")]
+    df = spark.createDataFrame(rows, "doc_id bigint, domain string, raw_html string, raw_content string, text string, source string").select("*", F.lit(None).cast("struct<language:string>").alias("metadata"), F.lit(None).cast("string").alias("title"))
+    assert {(r.doc_id, r.language) for r in languages.detect(df).collect()} == {(None, "en"), (1, "de")}
+    assert site_lines.frequent_lines(df, min_documents=2).count() == 0
+    assert look_alike.same_looking_pairs(df).count() == 0
+    assert near_copies.near_copy_pairs(df, 0.5, 3).count() == 0
+    assert site_wrappers.site_matter(df).count() == 0
+    pairs = df.select(F.col("doc_id").alias("evaluation_id"), F.lit(None).cast("string").alias("question"), F.col("title").alias("generated_answer"))
+    assert {r.defect for r in pair_defects.pair_defects(pairs).collect()} == {"empty"}
+    if HAS_TOKENIZER:
+        assert byte_pairs.encode(df).count() == 3
+        assert source_mix.mix(source_mix.token_counts(df), spark.createDataFrame([("src", 1.0, 2)], "source string, target_share double, max_repeats int"))[0].where("copies > 0").count() == 1
