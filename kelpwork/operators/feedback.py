@@ -29,9 +29,9 @@ def _weight(kind: Column, base: dict[str, float], count: Column, total: Column)
 
 def _counted(df: DataFrame, kinds: DataFrame, column: str) -> DataFrame:
     """``df`` with the count of its kind and of all; the histogram has one row a kind of the fixed lists."""
-    counts = kinds.groupBy(column).agg(F.count(F.lit(1)).alias("kind_count")).where(F.col(column).isNotNull())
-    whole = kinds.where(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("kind_total"))
-    return df.join(counts, column, "left").withColumn("one", F.lit(1)).join(whole.withColumn("one", F.lit(1)), "one").drop("one")
+    counts = kinds.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("kind_count"))
+    whole = counts.withColumn("kind_total", F.sum("kind_count").over(W.partitionBy(F.lit(1))))  # over one row a kind
+    return df.join(F.broadcast(whole), column, "left")
 
 
 def rating_weights(messages: DataFrame) -> DataFrame:

@@ -76,9 +76,8 @@ def latency_stats(df: DataFrame, *by: str, value: str = "latency_ms") -> DataFra
 
 def compared(metrics: DataFrame, a: str, b: str, name: str = "pipeline", measures: tuple[str, ...] = ("recall_at_k", "mrr", "ndcg")) -> DataFrame:
     """One row: differences of two rows of means, and whether the first is strictly better."""
-    one = metrics.where(F.col(name) == a).select(*(F.col(m).alias("a_" + m) for m in measures))
-    two = metrics.where(F.col(name) == b).select(*(F.col(m).alias("b_" + m) for m in measures))
-    both = one.withColumn("k", F.lit(1)).join(two.withColumn("k", F.lit(1)), "k")  # one row by one row
+    of = lambda side, m: F.max(F.when(F.col(name) == side, F.col(m)))
+    both = metrics.agg(*(of(side, m).alias(p + m) for side, p in ((a, "a_"), (b, "b_")) for m in measures))
     return both.select(*(F.round(F.col("a_" + m) - F.col("b_" + m), 6).alias(m + "_diff") for m in measures), *((F.col("a_" + m) > F.col("b_" + m)).alias(m + "_better") for m in measures))
 
 
