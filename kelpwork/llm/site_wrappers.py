@@ -14,7 +14,8 @@ found on several hosts, with site names and rare words as slots, also serve host
 
 Scale: a page is parsed where it is read. What is aligned are the distinct (host, signature, text skeleton) rows
 that a partial aggregate leaves, with page counts; hosts with more than ``GROUP_ROWS`` of them are aligned in salted
-groups whose patterns are merged, so a host with a third of all pages is many tasks. Fields of a host are few
+groups whose patterns are merged, so a host with a third of all pages is many tasks; the last alignment of a host is one
+task over all patterns that its groups leave, those of one page included. Fields of a host are few
 and fixed by its templates. They are sent to all tasks only if counted to be at most ``BROADCAST_FIELDS``;
 otherwise pages are joined with them by host. At most ``SHARED_FIELDS`` cross-host fields are kept, by support.
 
@@ -434,8 +435,8 @@ def site_fields(documents: DataFrame, host: str = "domain", markup: str = "raw_h
     salted = blocks.join(groups, "host").withColumn("salt", F.pmod(F.xxhash64("pattern"), F.col("groups")))
     part = salted.select("host", "sig", "place", "pattern", "pages", "times", "salt").groupBy("host", "salt").applyInPandas(lambda pdf: _aligned(pdf.drop(columns="salt")), _FIELDS)
     # patterns of one shape from several groups are added up; then the patterns of a host are aligned once more
-    part = part.groupBy("host", "sig", "place", "pattern").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times")).where("pages > 1")
-    fields = part.groupBy("host").applyInPandas(_aligned, _FIELDS)
+    part = part.groupBy("host", "sig", "place", "pattern").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"))
+    fields = part.groupBy("host").applyInPandas(_aligned, _FIELDS).where("pages > 1")  # only now: variants of a field may stand one to a group
     top = F.max("pages").over(W.partitionBy("host"))
     return fields.withColumn("optional", F.col("pages") < top).withColumn("repeated", F.col("times") > F.col("pages"))
 

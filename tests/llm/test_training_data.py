@@ -290,6 +290,16 @@ def test_join_path_and_salted_hosts_give_the_same(spark, monkeypatch):
     assert len(set(map(tuple, site_wrappers.site_matter(df).collect())) ^ set(want)) <= 0.03 * len(want)
 
 
+def test_variants_that_fall_one_to_a_group(spark, monkeypatch):
+    names = "anna bert cleo dora emil fritz gerd hans".split()
+    pages = [f"<h1>T</h1><p>x</p></main><div class='by'>written by {n} for our readers</div>" for n in names]
+    df = spark.createDataFrame([(i, "a-one.example", h, f"T\nx\nwritten by {n} for our readers") for i, (n, h) in enumerate(zip(names, pages))], "doc_id bigint, domain string, raw_html string, raw_content string").withColumn("raw_html", F.concat(F.lit("<main>"), "raw_html"))
+    want = {("div.class=by", '["written", "by", null, "for", "our", "readers"]', 8)}
+    for rows in (3_000, 0.01):  # one group, and about a hundred groups a block
+        monkeypatch.setattr(site_wrappers, "GROUP_ROWS", rows)
+        assert {(r.sig, r.pattern, r.pages) for r in site_wrappers.site_fields(df).where("sig LIKE 'div%'").collect()} == want
+
+
 def test_copies_beyond_the_broadcast_bound(spark, monkeypatch):
     texts = ["a b c d e f g h i j"] * 5 + ["a b c d e f g h i k"] * 2 + ["q r s t u"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, raw_content string")
