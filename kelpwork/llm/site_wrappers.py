@@ -29,8 +29,9 @@ from __future__ import annotations
 import bisect
 import html
 import json
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -294,50 +295,85 @@ def _labels(p: tuple) -> tuple:
 
 
 def align_all(rows: list[tuple[str, int, tuple, int, int]]) -> list[tuple[str, int, tuple, int, int]]:
-    """Align rows (signature, place, pattern, pages, times) into fields, the most frequent first."""
-    fields: list[list] = []
-    by: dict[tuple, list[int]] = defaultdict(list)
+    """Align rows (signature, place, pattern, pages, times) into fields, the most frequent first.
 
-    def keys(sig: str, p: tuple) -> list[tuple]:
-        own = [(sig, 0, p[0])] if p[0] is not None else []
-        own += [(sig, 1, p[-1])] if p[-1] is not None else []
-        inner = [w for w in p[1:4] if w is not None]
-        return own + [(sig, 2, w) for w in inner[:2]]
+    A row is held against every field of its signature that can take it: fields whose slots it fills, by the words at
+    their ends; fields with its label; and fields that share ``ALIKE`` of the words. Patterns that share so many words agree
+    in one of their rarest words, as many as may differ and one more, so only those are looked up."""
+    fields: list[list] = []
+    sizes: list[int] = []
+    has: list[frozenset] = []
+    slotted: dict[tuple, dict[int, None]] = defaultdict(dict)
+    labelled: dict[tuple, dict[int, None]] = defaultdict(dict)
+    rare: dict[tuple, dict[int, None]] = defaultdict(dict)
+    usual = Counter((r[0], w) for r in rows for w in r[2] if w is not None)
+
+    def rarest(sig: str, own: list) -> list:
+        """The rarest words, each occurrence of a word for itself."""
+        times: dict[str, int] = defaultdict(int)
+        told = []
+        for w in own:
+            times[w] += 1
+            told.append((usual[sig, w], w, times[w]))
+        return sorted(told)[: len(own) - math.ceil(ALIKE * len(own)) + 1]
+
+    def enter(i: int) -> None:
+        sig, _, p, *_ = fields[i]
+        own = [w for w in p if w is not None]
+        sizes[i], has[i] = len(own), frozenset(own)
+        keys = [(rare, (sig, w, n)) for _, w, n in rarest(sig, own)] + [(labelled, (sig, x)) for x in _labels(p)]
+        if None in p:
+            ends = ("first", p[0], p[-1]) if p[0] is not None else ("last", p[-1]) if p[-1] is not None else ("inner", own[0])
+            keys.append((slotted, (sig, *ends)))
+        for by, k in keys:
+            by[k][i] = None
+
+    def filled(sig: str, p: tuple) -> int:
+        """The first field whose slots ``p`` fills, or -1."""
+        for k in (("first", p[0], p[-1]), ("first", p[0], None), ("last", p[-1]), *(("inner", w) for w in dict.fromkeys(p[1:]))):
+            for i in slotted.get((sig, *k), ()):
+                if None in fields[i][2] and matches(fields[i][2], p):
+                    return i
+        return -1
 
     for sig, place, p, pages, times in sorted(rows, key=lambda r: (-r[3], r[0], r[1], tuple(w or "" for w in r[2]))):
         best, made, share = -1, None, 0.0
-        if len(p) <= ALIGNED_WORDS:
-            own = sum(w is not None for w in p)
-            labels = _labels(p) if place != INSIDE or "." in sig or "/" in sig else ()
-            tried = []
-            for k in keys(sig, p):
-                tried += by.get(k, ())[:12]
-            for i in dict.fromkeys(tried):
-                q = fields[i][2]
-                if None in q and None not in p and matches(q, p):
-                    best, made, share = i, q, 1.0
-                    break
-                if label := next((x for x in labels if x in _labels(q)), None):  # one label before different texts: the text is a slot
-                    best, made, share = i, label + (None,), 1.0
-                    break
-                merged, n = align(q, p)
-                s = n / max(own, sum(w is not None for w in q))
+        labels = _labels(p) if place != INSIDE or "." in sig or "/" in sig else ()
+        if None not in p and (best := filled(sig, p)) >= 0:
+            made, share = fields[best][2], 1.0
+        elif found := next(((i, x) for x in labels for i in labelled.get((sig, x), ()) if x in _labels(fields[i][2])), None):
+            best, made, share = found[0], found[1] + (None,), 1.0  # one label before different texts: the text is a slot
+        else:
+            words = [w for w in p if w is not None]
+            own = len(words)
+            near = set()
+            for _, w, n in rarest(sig, words):
+                near.update(rare.get((sig, w, n), ()))
+            for i in sorted(near):
+                least = max(own, sizes[i])
+                bound = min(own, sizes[i])
+                if bound < ALIKE * least or bound <= share * least:
+                    continue
+                bound = sum(w in has[i] for w in words)
+                if bound < ALIKE * least or bound <= share * least:
+                    continue
+                merged, n = align(fields[i][2], p)
+                s = n / least
                 if s > share and telling(merged):
                     best, made, share = i, merged, s
         if best >= 0 and share >= ALIKE:
             f = fields[best]
             if made != f[2]:
                 f[2] = made
-                for k in keys(sig, made):
-                    if best not in by[k]:
-                        by[k].append(best)
+                enter(best)
             f[3] += pages
             f[4] += times
             f[1] = min(f[1], place)
         else:
-            for k in keys(sig, p):
-                by[k].append(len(fields))
             fields.append([sig, place, p, pages, times])
+            sizes.append(0)
+            has.append(frozenset())
+            enter(len(fields) - 1)
     return [tuple(f) for f in fields]
 
 
@@ -494,8 +530,9 @@ def page_matter(content: str, markup: str | None, title: str | None, host: str |
             out.append(i + 1)
         elif i != start:
             words = skeleton(text).split(" ")
-            if words != [""] and len(words) <= 3 * ALIGNED_WORDS:
-                if own.find(list(without_site_words(words, host))) or shared.find(list(without_site_words(words, host))):
+            if words != [""]:
+                words = list(without_site_words(words, host))
+                if own.find(words) or shared.find(words):
                     out.append(i + 1)
     return out
 

@@ -300,6 +300,19 @@ def test_variants_that_fall_one_to_a_group(spark, monkeypatch):
         assert {(r.sig, r.pattern, r.pages) for r in site_wrappers.site_fields(df).where("sig LIKE 'div%'").collect()} == want
 
 
+def test_every_field_is_tried():
+    rows = [("div.x", 2, ("share", f"a{k}{v}", f"b{k}{v}", f"c{k}", f"d{k}", f"e{k}", f"z{k}{v}"), 2 - v, 1) for k in range(40) for v in range(2)]
+    assert [f[3] for f in site_wrappers.align_all(rows)] == [3] * 40
+    rows = [("div.x", 2, (f"a{v}", f"b{v}", f"c{v}", f"d{v}", *(f"w{i}" for i in range(100)), f"z{v}"), 1, 1) for v in range(3)]
+    assert [(f[2], f[3]) for f in site_wrappers.align_all(rows)] == [((None, *(f"w{i}" for i in range(100)), None), 3)]
+
+
+def test_long_lines_are_matched():
+    notice = " ".join("abcdefghij"[i % 10] * (2 + i // 10) for i in range(100))
+    for p in (tuple(notice.split()), (*notice.split()[:60], None)):
+        assert site_wrappers.page_matter(f"T\nown text\n{notice}", None, "T", "a-one.example", "p", site_wrappers.Index([p]), site_wrappers.Index([])) == [3]
+
+
 def test_copies_beyond_the_broadcast_bound(spark, monkeypatch):
     texts = ["a b c d e f g h i j"] * 5 + ["a b c d e f g h i k"] * 2 + ["q r s t u"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, raw_content string")
