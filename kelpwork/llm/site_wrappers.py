@@ -17,7 +17,8 @@ that a partial aggregate leaves, with page counts; hosts with more than ``GROUP_
 groups whose patterns are merged, so a host with a third of all pages is many tasks; the last alignment of a host is one
 task over all patterns that its groups leave, those of one page included. Fields of a host are few
 and fixed by its templates. They are sent to all tasks only if counted to be at most ``BROADCAST_FIELDS``;
-otherwise pages are joined with them by host. At most ``SHARED_FIELDS`` cross-host fields are kept, by support.
+otherwise pages are joined with them by host. All fields found on three or more hosts are kept: more of them than that are
+joined with the distinct lines by word, and more than ``BROADCAST_WORDS`` words of several hosts are told by a join too.
 
 Cases: null or empty markup: text only; null or empty text: no lines; markup that does not hold the text: text
 only; a null host has no wrapper of its own; repeated ids give repeated rows; an empty table gives no rows;
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from kelpwork.sources.tables import cut, table
 
-GROUP_ROWS, BROADCAST_FIELDS, SHARED_FIELDS = 3_000, 100_000, 5_000
+GROUP_ROWS, BROADCAST_FIELDS, BROADCAST_WORDS = 3_000, 100_000, 200_000
 ALIGNED_WORDS, ALIKE, SHARED_HOSTS, BODY_SHARE = 30, 0.5, 3, 0.1
 BEFORE, INSIDE, BEHIND, UNKNOWN = range(4)
 
@@ -477,22 +478,28 @@ def site_fields(documents: DataFrame, host: str = "domain", markup: str = "raw_h
     return fields.withColumn("optional", F.col("pages") < top).withColumn("repeated", F.col("times") > F.col("pages"))
 
 
-def shared_fields(fields: DataFrame) -> list[tuple]:
-    """Patterns of site matter found on several hosts; words of fewer hosts are slots."""
+def shared_fields(fields: DataFrame) -> DataFrame:
+    """(pattern): the patterns of site matter found on several hosts, as JSON; words of fewer hosts are slots."""
     matter = fields.where("pattern <> ''").select("host", "sig", "place", "pattern", "pages")
     words = matter.select("host", F.explode(F.array_distinct(F.from_json("pattern", "array<string>"))).alias("w")).where("w IS NOT NULL").distinct()
-    usual = {r["w"] for r in words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED_HOSTS).orderBy(F.desc("n"), "w").limit(20 * SHARED_FIELDS).collect()}
-    known = matter.sparkSession.sparkContext.broadcast(usual)
+    usual = cut(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED_HOSTS).select("w"))
+    sites = matter.where(~_plain_inside()).select("host", "pattern").distinct()
+    if usual.count() <= BROADCAST_WORDS:
+        known = matter.sparkSession.sparkContext.broadcast({r["w"] for r in usual.collect()})
+    else:  # the words of each pattern that are not usual become null by a join
+        known = None
+        each = sites.select("host", "pattern", F.posexplode(F.from_json("pattern", "array<string>")).alias("at", "w"))
+        kept = each.join(usual.select("w", F.col("w").alias("k")), "w", "left").groupBy("host", "pattern").agg(F.sort_array(F.collect_list(F.struct("at", "k"))).alias("ws"))
+        sites = kept.select("host", F.to_json(F.col("ws.k"), {"ignoreNullFields": "false"}).alias("pattern"))
 
     def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = [_slots(_pattern(x), lambda w: w not in known.value) for x in b.column(1).to_pylist()]
+            p = [_slots(_pattern(x), lambda w: known is not None and w not in known.value) for x in b.column(1).to_pylist()]
             keep = [telling(x) for x in p]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), pa.array([_words(x) for x, k in zip(p, keep) if k], pa.string())], ["host", "pattern"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), pa.array([_words(x) for x, k in zip(p, keep) if k], pa.string())], ["host", "pattern"])
 
-    sites = matter.where(~_plain_inside()).select("host", "pattern").mapInArrow(slotted, "host string, pattern string").distinct()
-    top = sites.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED_HOSTS).orderBy(F.desc("n"), "pattern").limit(SHARED_FIELDS)
-    return [_pattern(r["pattern"]) for r in top.collect()]
+    sites = sites.mapInArrow(slotted, "host string, pattern string").distinct()
+    return sites.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED_HOSTS).select("pattern")
 
 
 def _plain_inside():
@@ -511,8 +518,9 @@ def host_wrapper(rows: list[tuple[str, int, str, int]]) -> tuple[str, list[tuple
     return body, [p for p in dict.fromkeys(matter) if telling(p)]
 
 
-def page_matter(content: str, markup: str | None, title: str | None, host: str | None, body: str, own: Index, shared: Index) -> list[int]:
-    """Numbers of the lines of ``content`` that are not main body."""
+def page_matter(content: str, markup: str | None, title: str | None, host: str | None, body: str, own: Index, shared: Index, open_lines: list | None = None) -> list[int]:
+    """Numbers of the lines of ``content`` that are not main body. ``open_lines`` takes (number, words) of the lines
+    that the fields of several hosts may yet match."""
     lines = placed_lines(content, markup)
     headline = " ".join(title.split()).lower() if title else None
     start = -1
@@ -534,6 +542,8 @@ def page_matter(content: str, markup: str | None, title: str | None, host: str |
                 words = list(without_site_words(words, host))
                 if own.find(words) or shared.find(words):
                     out.append(i + 1)
+                elif open_lines is not None:
+                    open_lines.append((i + 1, " ".join(words)))
     return out
 
 
@@ -548,7 +558,9 @@ def site_matter(documents: DataFrame, doc: str = "doc_id", host: str = "domain",
     """(doc_id, line_no) of each line that is not main body."""
     spark = documents.sparkSession
     fields = cut(site_fields(documents, host, markup, content))
-    shared = spark.sparkContext.broadcast(shared_fields(fields))
+    patterns = cut(shared_fields(fields))
+    few = patterns.count() <= BROADCAST_FIELDS
+    shared = spark.sparkContext.broadcast([_pattern(r["pattern"]) for r in patterns.sort("pattern").collect()] if few else [])
     rows = documents.where(F.col(content).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(host).alias("host"), F.col(markup).alias("markup"), F.col(content).alias("content"), F.col(title).alias("title"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     small = fields.count() <= BROADCAST_FIELDS
@@ -566,21 +578,45 @@ def site_matter(documents: DataFrame, doc: str = "doc_id", host: str = "domain",
         common = Index(shared.value)
         wrappers: dict = {}
         for b in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):
-            ids, numbers = [], []
+            ids, numbers, words = [], [], []
             packed_rows = b.column(5).to_pylist() if not small else [None] * b.num_rows
             for k, (h, m, c, t, w) in enumerate(zip(*(b.column(j).to_pylist() for j in (1, 2, 3, 4)), packed_rows)):
                 if h not in wrappers:
                     if len(wrappers) > 2000:
                         wrappers.clear()
                     own = known.value.get(h, []) if small else [(s, int(p), x, int(n)) for s, p, x, n in json.loads(w or "[]")]
-                    body, patterns = host_wrapper(own)
-                    wrappers[h] = body, Index(patterns)
-                found = page_matter(c, m, t, h, *wrappers[h], common)
+                    body, matter = host_wrapper(own)
+                    wrappers[h] = body, Index(matter)
+                left = None if few else []
+                found = [(n, None) for n in page_matter(c, m, t, h, *wrappers[h], common, left)] + (left or [])
                 ids += [k] * len(found)
-                numbers += found
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(numbers, pa.int32())], ["doc_id", "line_no"])
+                numbers += [n for n, _ in found]
+                words += [w for _, w in found]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(numbers, pa.int32()), pa.array(words, pa.string())], ["doc_id", "line_no", "words"])
+
+    lines = rows.mapInArrow(make, f"doc_id {kind}, line_no int, words string")
+    if few:
+        return lines.select("doc_id", "line_no")
+    lines = cut(lines)
+    matched = lines.join(_matched(lines.select("words").where("words IS NOT NULL").distinct(), patterns), "words", "left_semi")
+    return lines.where("words IS NULL").select("doc_id", "line_no").unionByName(matched.select("doc_id", "line_no"))
+
+
+def _matched(lines: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(words): the distinct ``words`` that one of ``patterns`` matches. Both meet on the word by which ``Index`` looks."""
+    p = F.from_json("pattern", "array<string>")
+    first, last, inner = F.element_at(p, 1), F.element_at(p, -1), F.get(F.filter(p, lambda w: w.isNotNull()), F.lit(0))
+    keyed = patterns.select("pattern", F.when(first.isNotNull(), F.concat(F.lit("f"), first)).when(last.isNotNull(), F.concat(F.lit("l"), last)).otherwise(F.concat(F.lit("i"), inner)).alias("key"))
+    w = F.split("words", " ")
+    keys = F.concat(F.array(F.concat(F.lit("f"), F.element_at(w, 1)), F.concat(F.lit("l"), F.element_at(w, -1))), F.transform(F.array_distinct(F.slice(w, 2, F.size(w))), lambda x: F.concat(F.lit("i"), x)))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [matches(_pattern(x), t.split(" ")) for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], ["words"])
 
-    return rows.mapInArrow(make, f"doc_id {kind}, line_no int")
+    met = lines.select("words", F.explode(keys).alias("key")).join(keyed, "key").select("words", "pattern")
+    return met.mapInArrow(tell, "words string").distinct()
 
 
 def main_body(documents: DataFrame, doc: str = "doc_id", content: str = "raw_content", **names: str) -> DataFrame:

@@ -313,6 +313,26 @@ def test_long_lines_are_matched():
         assert site_wrappers.page_matter(f"T\nown text\n{notice}", None, "T", "a-one.example", "p", site_wrappers.Index([p]), site_wrappers.Index([])) == [3]
 
 
+def test_all_shared_fields_are_kept(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrst"
+    words = [a + b + c for a in letters for b in letters for c in letters][:5_100]
+    fields = spark.createDataFrame([(f"{h}.example", "div", 2, f'["{w}", "{w}{w}"]', 2, 2) for w in words for h in ("one", "two", "three")], "host string, sig string, place int, pattern string, pages bigint, times bigint")
+    assert site_wrappers.shared_fields(fields).count() == 5_100
+    monkeypatch.setattr(site_wrappers, "BROADCAST_WORDS", -1)
+    assert site_wrappers.shared_fields(fields).count() == 5_100
+
+
+def test_shared_fields_by_join_give_the_same(spark, monkeypatch):
+    rows = [(100 * k + i, h, *reversed(page(i, kind="p" if k == 0 else "div")), None) for i in range(16) for k, h in enumerate(("a-one.example", "b-two.example", "c-three.example", "d-four.example"))]
+    rows += [(900 + i, host, None, r[3], None) for host in (None, "e-five.example") for i, r in enumerate(rows[:12])]  # no field of their own
+    df = spark.createDataFrame(rows, "doc_id bigint, domain string, raw_html string, raw_content string, title string")
+    want = sorted(map(tuple, site_wrappers.site_matter(df).collect()))
+    assert any(i >= 900 for i, _ in want)
+    monkeypatch.setattr(site_wrappers, "BROADCAST_FIELDS", -1)
+    monkeypatch.setattr(site_wrappers, "BROADCAST_WORDS", -1)
+    assert sorted(map(tuple, site_wrappers.site_matter(df).collect())) == want
+
+
 def test_copies_beyond_the_broadcast_bound(spark, monkeypatch):
     texts = ["a b c d e f g h i j"] * 5 + ["a b c d e f g h i k"] * 2 + ["q r s t u"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, raw_content string")
