@@ -1,10 +1,9 @@
 """Main body of web pages, by wrappers inferred from the pages of each site.
 
-Pages of one host are streams of blocks (tag signature, text). Streams are aligned block by block and word by
-word: where blocks of one signature agree in some words and differ in others, the differing words become text
-slots; blocks that some pages lack become optional, blocks that a page holds several times become repeated. What
-comes out is a union-free regular expression a host: a list of fields, each a token pattern with slots, a place
-(before, inside or behind the element that holds the headline), a quantifier and its support.
+Pages of one host are bags of blocks (tag signature, text). Distinct blocks are aligned word by word: where blocks of
+one signature agree in some words and differ in others, the differing words become text slots. What comes out is a list
+of fields a host, each a token pattern with slots, a place (before, inside or behind the element that holds the headline)
+and its support. Blocks are not aligned in their order; ``optional`` and ``repeated`` only describe a field.
 
 A page is then read with the wrapper of its host: blocks outside the headline's element are site matter; inside
 it headings, code, table rows and plain list items are main body, blocks of the host's paragraph signature are
