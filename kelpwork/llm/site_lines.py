@@ -4,15 +4,15 @@ Every line is reduced to a normal form (lower case, no digits, runs of white spa
 none at the ends), the distinct documents of each (site, line) are counted, and lines found in
 enough documents of their site are removed.
 
-Scale: the lines of one document are made distinct inside its own row, so the count needs no
-``count(distinct)``: one partial aggregate per map task goes over the network, and a line that stands
-in a third of all documents arrives as one row per task. The frequent (site, line) keys are joined back
+Scale: the lines of one row are made distinct inside it. The (site, line, document) rows are made distinct over all
+three, so that a line that stands in a third of all documents is spread over all tasks; then they are counted by partial
+aggregates, and that line arrives as one row per task. The frequent (site, line) keys are joined back
 by a left-semi join on two 64-bit hashes; adaptive execution broadcasts the keys only if their measured
 size is small and splits skewed partitions otherwise. Texts are never shuffled.
 
 Cases: null ``raw_content`` has no lines; a null site forms no site, its lines are never frequent;
 lines that are empty in normal form (blank, digits only) are lines like any other, unless ``keep_blank``
-asks to keep them; repeated document ids are counted once; extra columns are
+asks to keep them; repeated document ids are counted once, rows without id not at all; extra columns are
 ignored, whatever their names.
 """
 
@@ -43,8 +43,8 @@ def _lines(documents: DataFrame, doc: str, site: str, text: str) -> DataFrame:
 def frequent_lines(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, doc: str = "doc_id", site: str = "domain", text: str = "raw_content", keep_blank: bool = False) -> DataFrame:
     """(doc_id, line_no) of every line that stands in at least ``min_documents`` documents of its site."""
     rows = _lines(documents, doc, site, text)
-    keys = rows.select("site", F.explode(F.array_distinct("lines")).alias("l"))
-    counted = keys.groupBy("site", "l.h", "l.g", "l.blank").agg(F.count(F.lit(1)).alias("n"))
+    keys = rows.select("doc_id", "site", F.explode(F.array_distinct("lines")).alias("l"))
+    counted = keys.groupBy("site", "l.h", "l.g", "l.blank").agg(F.count_distinct("doc_id").alias("n"))
     often = counted.where((F.col("n") >= min_documents) & (~F.col("blank") if keep_blank else F.lit(True))).select("site", "h", "g")
     placed = rows.select("doc_id", "site", F.posexplode("lines").alias("at", "l")).select("doc_id", "site", "l.h", "l.g", (F.col("at") + 1).alias("line_no"))
     return placed.join(often, ["site", "h", "g"], "left_semi").select("doc_id", "line_no")

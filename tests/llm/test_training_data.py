@@ -29,6 +29,13 @@ def test_repeated_lines(spark):
     assert site_lines.frequent_lines(df.where("false")).count() == 0
 
 
+def test_copies_of_a_row_are_one_document(spark):
+    rows = [(1, "a.x", "one\ntwo")] * 8 + [(i, "b.x", "seven") for i in range(10, 17)] + [(10, "b.x", "seven")] + [(i, "c.x", "eight") for i in range(20, 28)]
+    df = spark.createDataFrame(rows, "doc_id bigint, domain string, raw_content string")
+    assert {r.doc_id for r in site_lines.frequent_lines(df).collect()} == set(range(20, 28))
+    assert {(r.clean, r.removed) for r in site_lines.without_frequent_lines(df).where("doc_id < 20").collect()} == {("one\ntwo", 0), ("seven", 0)}
+
+
 # p9: look-alike texts ---------------------------------------------------------------------------------------------------
 
 
