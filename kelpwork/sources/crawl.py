@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import time
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -72,7 +73,7 @@ def sitemap_entries(sitemaps: DataFrame, url: str = "url", xml: str = "xml") ->
     return rows.select("url", "place", "is_index", _tag(F.col("block"), "loc").alias("loc"), _tag(F.col("block"), "lastmod").alias("lastmod"), _tag(F.col("block"), "priority").try_cast("double").alias("priority")).where("loc IS NOT NULL")
 
 
-def deep_entries(sitemaps: DataFrame, root: str, most: int = 20, also_named: bool = False) -> DataFrame:
+def deep_entries(sitemaps: DataFrame, root: str, also_named: bool = False) -> DataFrame:
     """(loc, lastmod, priority, depth) of all pages below ``root``, level by level; a sitemap is read once, so cycles end.
     ``also_named``: locations that end in .xml or hold "sitemap" are read as sitemaps too."""
     entries = cut(sitemap_entries(sitemaps))
@@ -81,7 +82,7 @@ def deep_entries(sitemaps: DataFrame, root: str, most: int = 20, also_named: boo
     front = sitemaps.select("url").where(F.col("url") == root)
     seen = front
     pages = None
-    for depth in range(most):
+    for depth in count():
         level = front.join(entries, "url")
         found = level.where(~child).select("loc", "lastmod", "priority", F.lit(depth).alias("depth"))
         pages = found if pages is None else pages.unionByName(found)

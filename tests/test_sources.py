@@ -77,3 +77,9 @@ def test_event_windows(spark, tmp_path):
     q = incremental.windowed(stream).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.event_type, r.n, r.mean_value) for r in spark.table("w").collect()) == [("a", 2, 2.0), ("b", 1, 5.0)]
+
+
+def test_sitemaps_of_any_depth(spark):
+    rows = [(f"m{i}", f"<sitemapindex><sitemap><loc>m{i + 1}</loc></sitemap></sitemapindex>") for i in range(22)] + [("m22", "<urlset><url><loc>page</loc></url></urlset>")]
+    maps = spark.createDataFrame(rows, "url string, xml string").coalesce(1)
+    assert [(r.loc, r.depth) for r in crawl.deep_entries(maps, "m0").collect()] == [("page", 22)]
