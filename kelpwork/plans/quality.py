@@ -413,7 +413,7 @@ def k02(s, d):
     def judge(prompts):
         return ['{"groundedness": %d, "completeness": 3, "answer_quality": %d, "hallucination": false}' % (1 + len(p) % 5, 1 + len(p) % 4) for p in prompts]
 
-    e = I.evaluation(s, d).where("generated_answer IS NOT NULL").select("evaluation_id", F.substring(F.concat_ws("\n", "question", "retrieved_context", "generated_answer"), 1, 8000).alias("prompt"), F.explode(F.array(*(F.lit(v) for v in range(3)))).alias("v"))
+    e = I.evaluation(s, d).where("generated_answer IS NOT NULL").select("evaluation_id", F.concat_ws("\n", "question", F.substring("retrieved_context", 1, 8000), "generated_answer").alias("prompt"), F.explode(F.array(*(F.lit(v) for v in range(3)))).alias("v"))
     replies = e.select("evaluation_id", K.parsed_reply(models.generate(F.concat("prompt", F.col("v").cast("string")), judge)).alias("r")).where("r IS NOT NULL")
     return K.voted(replies.select("evaluation_id", "r.*"))
 

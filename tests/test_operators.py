@@ -109,3 +109,11 @@ def test_overlap_of_means_equals_mean_of_pairs(spark):
 def test_ids_are_decoded(spark):
     df = spark.createDataFrame([("[1,2]",), ('"[3]"',), ("no",), (None,)], "raw string").coalesce(1)
     assert [r[0] for r in df.select(E.decoded_ids(F.col("raw"))).collect()] == [[1, 2], [3], [], []]
+
+
+def test_judge_sees_the_answer_behind_a_long_context(spark, tmp_path):
+    from kelpwork.plans import quality
+
+    rows = [(i, "chunk", "q", "x" * 9_000, "a" * i) for i in range(1, 6)]
+    spark.createDataFrame(rows, "evaluation_id bigint, pipeline_name string, question string, retrieved_context string, generated_answer string").write.parquet(f"{tmp_path}/evaluation.parquet")
+    assert len({r.groundedness for r in quality.k02(spark, str(tmp_path)).collect()}) == 5
