@@ -1,23 +1,24 @@
 """Main body of web pages, by wrappers inferred from the pages of each site.
 
-Pages of one host are bags of blocks (tag signature, text). Distinct blocks are aligned word by word: where blocks of
-one signature agree in some words and differ in others, the differing words become text slots. What comes out is a list
-of fields a host, each a token pattern with slots, a place (before, inside or behind the element that holds the headline)
-and its support. Blocks are not aligned in their order; ``optional`` and ``repeated`` only describe a field.
-
-A page is then read with the wrapper of its host: blocks outside the headline's element are site matter; inside
-it headings, code, table rows and plain list items are main body, blocks of the host's paragraph signature are
-main body unless a field of site matter matches their text, and all other blocks are interruptions. Lines of
-pages without markup, or behind the cut of a truncated page, are matched against the fields by their text. Fields
-found on several hosts, with site names and rare words as slots, also serve hosts that say little about themselves.
-
-Scale: a page is parsed where it is read. What is aligned are the distinct (host, signature, text skeleton) rows
-that a partial aggregate leaves, with page counts; hosts with more than ``GROUP_ROWS`` of them are aligned in salted
-groups whose patterns are merged, so a host with a third of all pages is many tasks; the last alignment of a host is one
-task over all patterns that its groups leave, those of one page included. Fields of a host are few
-and fixed by its templates. They are sent to all tasks only if counted to be at most ``BROADCAST_FIELDS``;
-otherwise pages are joined with them by host. All fields found on three or more hosts are kept: more of them than that are
-joined with the distinct lines by word, and more than ``BROADCAST_WORDS`` words of several hosts are told by a join too.
+A page is a stream of tokens in page order, tags and lines. The streams of one host are aligned one after the other
+(``page_streams``): what only some pages have becomes optional, what comes again becomes a repeated group, and the texts become
+slots. The wrapper so inferred tells which slots are the main body: those of the list that holds the running text, between
+the fixed tokens around its repeated group, unless all pages have one text there; and the fixed heading of the page. All other slots
+are site matter. A second alignment, word by word, turns the texts of each slot of site matter into fields: word patterns in
+which the words that differ are text slots.
+
+A page is then read with the wrapper of its host. Lines in slots of site matter go; headings, code, cells and list items of the main list
+stay; lines in slots of paragraphs stay unless a field of site matter matches their text, since site matter also comes in
+plain paragraphs. Lines without markup, or behind the cut of a truncated page, are matched against the fields by their
+text. Fields found on several hosts, with site names and rare words as slots, also serve hosts that say little about
+themselves. A page without host is read with a wrapper of its own.
+
+Scale: a page is parsed once; paths and texts are kept in the checkpoint folder. Streams are aligned in salted groups of at most about
+``GROUP_ROWS`` distinct ones, then group by group, so a host with a third of all pages is many tasks; distinct texts of
+site matter are what a partial aggregate leaves, and are aligned in the same two steps. Roles and fields are sent to all tasks only if
+counted to be at most ``BROADCAST_BYTES`` and ``BROADCAST_FIELDS``; otherwise pages are joined with them by host. All
+fields found on three or more hosts are kept: more of them than that are joined with the distinct lines by word, and more
+than ``BROADCAST_WORDS`` words of several hosts are told by a join too.
 
 Cases: null or empty markup: text only; null or empty text: no lines; markup that does not hold the text: text
 only; a null host has no wrapper of its own; repeated ids give repeated rows; an empty table gives no rows;
@@ -31,6 +32,7 @@ import html
 import json
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,14 +40,13 @@ from functools import lru_cache
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kelpwork.llm import page_streams
 from kelpwork.sources.tables import cut, table
 
-GROUP_ROWS, BROADCAST_FIELDS, BROADCAST_WORDS = 3_000, 100_000, 200_000
-ALIGNED_WORDS, ALIKE, SHARED_HOSTS, BODY_SHARE = 30, 0.5, 3, 0.1
-BEFORE, INSIDE, BEHIND, UNKNOWN = range(4)
+GROUP_ROWS, BROADCAST_FIELDS, BROADCAST_WORDS, BROADCAST_BYTES = 3_000, 100_000, 200_000, 32_000_000
+ALIGNED_WORDS, ALIKE, SHARED_HOSTS = 30, 0.5, 3
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>|<!--.*?(?:-->|$)|<![^>]*>", re.S)
 _ATTR = re.compile(r"""\b(class|role|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -54,28 +55,29 @@ _DIGITS = re.compile(r"\d+")
 # Elements of HTML by their part in the page.
 _BLOCKS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 _INLINE = frozenset("a abbr b big button cite em font i label mark q s small span strike strong sub sup u".split())
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SENTENCES = re.compile(r"[^\W\d][.!?] ")
 _IMPLIED = {"li": ({"li"}, {"ul", "ol"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"})}
 _CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template")}
 
 
 def _attributes(raw: str) -> str:
-    return ".".join(f"{m[1].lower()}={m[2] or m[3] or m[4] or ''}" for m in _ATTR.finditer(raw) if m[1].lower() != "id") if "=" in raw else ""
+    found = ".".join(f"{m[1].lower()}={m[2] or m[3] or m[4] or ''}" for m in _ATTR.finditer(raw) if m[1].lower() != "id") if "=" in raw else ""
+    return " ".join(found.replace(">", " ").split())
 
 
-def text_runs(markup: str) -> list[tuple[str, int, str, bool]]:
-    """(signature, place, text, in a link) of each run of text between tags, without head, scripts and styles."""
-    stack: list[tuple[str, str]] = []
+def text_runs(markup: str) -> list[tuple[str, str, tuple[str, ...], tuple[int, ...]]]:
+    """(path, text, inline marks, elements) of each run of text between tags, without head, scripts and styles. A path holds
+    the open blocks with their classes, ``elements`` their numbers on the page."""
+    stack: list[tuple[str, str, tuple[int, ...]]] = []
+    number = 0
     inline: list[str] = []
     runs = []
-    container = -1
-    place = BEFORE
     at, end, head = 0, len(markup), False
     while at < end:
         m = _TAG.search(markup, at)
         stop = m.start() if m else end
         if stop > at and not head and (text := markup[at:stop]) and not text.isspace():
-            runs.append((stack[-1] if stack else ("body", ""), tuple(inline), place, text, len(stack)))
+            runs.append((stack[-1][1] if stack else "body", text, tuple(inline), stack[-1][2] if stack else ()))
         if not m:
             break
         at = m.end()
@@ -108,69 +110,64 @@ def text_runs(markup: str) -> list[tuple[str, int, str, bool]]:
                         if stack[k][0] in shut:
                             del stack[k:]
                             break
-                if name == "h1" and container < 0:
-                    container, place = len(stack), INSIDE
-                stack.append((name, _attributes(m[3])))
-            if place == INSIDE and len(stack) < container:
-                place = BEHIND
+                if name != "body":
+                    marks = _attributes(m[3])
+                    number += 1
+                    stack.append((name, (stack[-1][1] + ">" if stack else "") + (f"{name}.{marks}" if marks else name), (*stack[-1][2], number) if stack else (number,)))
         elif name in _INLINE:
             if closing:
                 if name in inline:
                     del inline[len(inline) - 1 - inline[::-1].index(name) :]
             elif not m[3].endswith("/"):
                 inline.append(name)
-    out = []
-    for block, marks, where, text, _ in runs:
-        out.append((block[0] + ("." + block[1] if block[1] else ""), where, text, marks))
-    return out
+    return runs
 
 
 def _bare(text: str) -> str:
     return _SIGNS.sub("", html.unescape(text) if "&" in text else text)
 
 
-def placed_lines(content: str, markup: str | None) -> list[tuple[str, int, str]]:
-    """(signature, place, text) of each line of ``content``; the signature is empty where the markup lacks the line.
+def line_paths(lines: list[str], markup: str | None) -> tuple[list[str | None], list[int]]:
+    """The path of each line, None where the markup lacks it, and how many open blocks it shares with the line before.
 
-    A signature is the tag and class of the block, with ``/a`` for blocks of links and ``/mark`` for blocks that are
-    wholly in one inline mark."""
-    lines = content.split("\n")
+    The last part of a path has ``/a`` for blocks of links and ``/mark`` for blocks that are wholly in one inline mark."""
     if not markup:
-        return [("", UNKNOWN, t) for t in lines]
+        return [None] * len(lines), [0] * len(lines)
     runs = text_runs(markup)
-    bare = [_bare(r[2]) for r in runs]
+    bare = [_bare(r[1]) for r in runs]
     whole = "".join(bare)
     starts = [0]
     for b in bare:
         starts.append(starts[-1] + len(b))
-    at, out = 0, []
+    at, out, joins = 0, [], []
+    before: tuple[int, ...] = ()
     for t in lines:
         key = _SIGNS.sub("", t)
         pos = whole.find(key, at) if key else -1
+        joins.append(0)
         if pos < 0:
-            out.append(("", UNKNOWN, t))
+            out.append(None)
             continue
         at = pos + len(key)
         first = bisect.bisect_right(starts, pos) - 1
         last = max(first, bisect.bisect_left(starts, at) - 1)
         own = [runs[i] for i in range(first, last + 1) if bare[i]]
-        sig, place = own[0][0], own[0][1]
-        linked = sum(len(r[2]) for r in own if "a" in r[3])
-        if 2 * linked > sum(len(r[2]) for r in own):
-            sig += "/a"
+        path = own[0][0]
+        here = own[0][3]
+        while joins[-1] < min(len(here), len(before)) and here[joins[-1]] == before[joins[-1]]:
+            joins[-1] += 1
+        before = here
+        linked = sum(len(r[1]) for r in own if "a" in r[2])
+        if 2 * linked > sum(len(r[1]) for r in own):
+            path += "/a"
         else:
-            marks = set(own[0][3])
+            marks = set(own[0][2])
             for r in own[1:]:
-                marks &= set(r[3])
+                marks &= set(r[2])
             if marks:
-                sig += "/" + sorted(marks)[0]
-        out.append((sig, place, t))
-    return out
-
-
-def structural(sig: str) -> bool:
-    """Headings, code, table cells and plain list items."""
-    return sig in _HEADINGS or sig in ("pre", "pre/code", "li", "td", "th", "dd", "dt", "blockquote") or sig.startswith("pre")
+                path += "/" + sorted(marks)[0]
+        out.append(path)
+    return out, joins
 
 
 def skeleton(text: str) -> str:
@@ -294,8 +291,8 @@ def _labels(p: tuple) -> tuple:
     return ()
 
 
-def align_all(rows: list[tuple[str, int, tuple, int, int]]) -> list[tuple[str, int, tuple, int, int]]:
-    """Align rows (signature, place, pattern, pages, times) into fields, the most frequent first.
+def align_all(rows: list[tuple[str, tuple, int, int]]) -> list[tuple[str, tuple, int, int]]:
+    """Align rows (signature, pattern, pages, times) into fields, the most frequent first.
 
     A row is held against every field of its signature that can take it: fields whose slots it fills, by the words at
     their ends; fields with its label; and fields that share ``ALIKE`` of the words. Patterns that share so many words agree
@@ -306,7 +303,7 @@ def align_all(rows: list[tuple[str, int, tuple, int, int]]) -> list[tuple[str, i
     slotted: dict[tuple, dict[int, None]] = defaultdict(dict)
     labelled: dict[tuple, dict[int, None]] = defaultdict(dict)
     rare: dict[tuple, dict[int, None]] = defaultdict(dict)
-    usual = Counter((r[0], w) for r in rows for w in r[2] if w is not None)
+    usual = Counter((r[0], w) for r in rows for w in r[1] if w is not None)
 
     def rarest(sig: str, own: list) -> list:
         """The rarest words, each occurrence of a word for itself."""
@@ -318,7 +315,7 @@ def align_all(rows: list[tuple[str, int, tuple, int, int]]) -> list[tuple[str, i
         return sorted(told)[: len(own) - math.ceil(ALIKE * len(own)) + 1]
 
     def enter(i: int) -> None:
-        sig, _, p, *_ = fields[i]
+        sig, p, *_ = fields[i]
         own = [w for w in p if w is not None]
         sizes[i], has[i] = len(own), frozenset(own)
         keys = [(rare, (sig, w, n)) for _, w, n in rarest(sig, own)] + [(labelled, (sig, x)) for x in _labels(p)]
@@ -332,16 +329,16 @@ def align_all(rows: list[tuple[str, int, tuple, int, int]]) -> list[tuple[str, i
         """The first field whose slots ``p`` fills, or -1."""
         for k in (("first", p[0], p[-1]), ("first", p[0], None), ("last", p[-1]), *(("inner", w) for w in dict.fromkeys(p[1:]))):
             for i in slotted.get((sig, *k), ()):
-                if None in fields[i][2] and matches(fields[i][2], p):
+                if None in fields[i][1] and matches(fields[i][1], p):
                     return i
         return -1
 
-    for sig, place, p, pages, times in sorted(rows, key=lambda r: (-r[3], r[0], r[1], tuple(w or "" for w in r[2]))):
+    for sig, p, pages, times in sorted(rows, key=lambda r: (-r[2], r[0], tuple(w or "" for w in r[1]))):
         best, made, share = -1, None, 0.0
-        labels = _labels(p) if place != INSIDE or "." in sig or "/" in sig else ()
+        labels = _labels(p)
         if None not in p and (best := filled(sig, p)) >= 0:
-            made, share = fields[best][2], 1.0
-        elif found := next(((i, x) for x in labels for i in labelled.get((sig, x), ()) if x in _labels(fields[i][2])), None):
+            made, share = fields[best][1], 1.0
+        elif found := next(((i, x) for x in labels for i in labelled.get((sig, x), ()) if x in _labels(fields[i][1])), None):
             best, made, share = found[0], found[1] + (None,), 1.0  # one label before different texts: the text is a slot
         else:
             words = [w for w in p if w is not None]
@@ -357,20 +354,19 @@ def align_all(rows: list[tuple[str, int, tuple, int, int]]) -> list[tuple[str, i
                 bound = sum(w in has[i] for w in words)
                 if bound < ALIKE * least or bound <= share * least:
                     continue
-                merged, n = align(fields[i][2], p)
+                merged, n = align(fields[i][1], p)
                 s = n / least
                 if s > share and telling(merged):
                     best, made, share = i, merged, s
         if best >= 0 and share >= ALIKE:
             f = fields[best]
-            if made != f[2]:
-                f[2] = made
+            if made != f[1]:
+                f[1] = made
                 enter(best)
-            f[3] += pages
-            f[4] += times
-            f[1] = min(f[1], place)
+            f[2] += pages
+            f[3] += times
         else:
-            fields.append([sig, place, p, pages, times])
+            fields.append([sig, p, pages, times])
             sizes.append(0)
             has.append(frozenset())
             enter(len(fields) - 1)
@@ -411,80 +407,216 @@ def without_site(p: tuple, host: str) -> tuple:
     return _slots(p, lambda w: False) if not any(mark) else _slots(tuple(None if next(at) else w for w in p), lambda w: False)
 
 
-_BODY = "body"  # rows that tell the host's paragraph signature and the texts of main bodies
+def is_running(path: str, text: str) -> bool:
+    """Running text: long, or several sentences in a block without class or mark."""
+    tag = path[path.rfind(">") + 1 :]
+    return text.count(" ") >= ALIGNED_WORDS or "." not in tag and "/" not in tag and bool(_SENTENCES.search(text))
 
 
-def _page_rows(host: str, markup: str, content: str) -> dict[tuple[str, str, int, str], int]:
-    rows: dict[tuple, int] = defaultdict(int)
-    for sig, place, text in placed_lines(content, markup):
-        if not sig:
-            continue
-        if place != INSIDE:
-            rows[(host, sig, place, skeleton(text))] += 1
-        elif not structural(sig):
-            n = text.count(" ") + 1
-            if n > ALIGNED_WORDS or sig.count("/") == 0 and "." not in sig and re.search(r"[^\W\d][.!?] ", text):
-                rows[(host, sig, INSIDE, "")] += n
-            else:
-                rows[(host, sig, INSIDE, skeleton(text))] += 1
-    return rows
+def path_texts(lines: list[str], paths: list[str | None]) -> tuple[dict[str, list[int]], list[tuple[str, int]]]:
+    """Lines, running lines and running words of each path, and the least and largest hash of its lines; and the hash of
+    each running line, without its digits."""
+    out: dict[str, list[int]] = {}
+    runs = []
+    for t, p in zip(lines, paths):
+        if p is not None:
+            h = zlib.crc32(t.strip().encode("utf-8", "replace"))
+            x = out.setdefault(p, [0, 0, 0, h, h])
+            x[0] += 1
+            if is_running(p, t):
+                x[1] += 1
+                x[2] += t.count(" ") + 1
+                runs.append((p, zlib.crc32(skeleton(t).encode("utf-8", "replace"))))
+            x[3], x[4] = min(x[3], h), max(x[4], h)
+    return out, runs
+
+
+def read_pages(documents: DataFrame, doc: str, host: str, markup: str, content: str, title: str | None) -> DataFrame:
+    """(doc_id, host, title, content, paths, joins, stream, known, texts, run_paths, runs) of each page with text: ``line_paths``,
+    the stream of paths with neighbours of one path as one, and ``path_texts`` flattened. Markup is parsed here and nowhere else."""
+    rows = documents.where(F.col(content).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(host).cast("string").alias("host"), (F.col(title).cast("string") if title else F.lit(None).cast("string")).alias("title"), F.col(content).alias("content"), F.col(markup).alias("markup"))
+    texts = pa.list_(pa.int64())
+    strings = pa.list_(pa.string())
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):  # a few pages at a time as Python strings
+            out: list[list] = [[], [], [], [], [], [], []]
+            for c, m in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
+                lines = c.split("\n")
+                paths, joins = line_paths(lines, m)
+                held = [p for p in paths if p is not None]
+                told, runs = path_texts(lines, paths)
+                out[0].append(paths if held else None)
+                out[1].append("\n".join(p for k, p in enumerate(held) if k < 2 or p != held[k - 1] or p != held[k - 2]) if held else None)
+                out[2].append(list(told))
+                out[3].append([n for x in told.values() for n in x])
+                out[4].append(joins if held else None)
+                out[5].append([p for p, _ in runs])
+                out[6].append([h for _, h in runs])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out[0], strings), pa.array(out[4], pa.list_(pa.int32())), pa.array(out[1], pa.string()), pa.array(out[2], strings), pa.array(out[3], texts), pa.array(out[5], strings), pa.array(out[6], texts)], ["doc_id", "host", "title", "content", "paths", "joins", "stream", "known", "texts", "run_paths", "runs"])
+
+    return rows.mapInArrow(make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, host string, title string, content string, paths array<string>, joins array<int>, stream string, known array<string>, texts array<bigint>, run_paths array<string>, runs array<bigint>")
+
+
+def _inferred(pdf: pd.DataFrame) -> pd.DataFrame:
+    rows = sorted(zip(-pdf["pages"], pdf["stream"]))
+    wrapper, pages = page_streams.infer((json.loads(t) if t[:1] == "[" else page_streams.times(page_streams.stream(t.split("\n")), int(-n)), int(-n)) for n, t in rows)
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "stream": [json.dumps(wrapper, ensure_ascii=False)], "pages": [pages]})
+
+
+def _judged(pdf: pd.DataFrame) -> pd.DataFrame:
+    one = _inferred(pdf)
+    told = json.loads(pdf["told"].iloc[0] or "[]")
+    one["roles"] = json.dumps(page_streams.roles(json.loads(one["stream"].iloc[0]), int(one["pages"].iloc[0]), {p: tuple(map(int, x)) for p, *x in told}), ensure_ascii=False)
+    return one.rename(columns={"stream": "wrapper"})
+
+
+def site_streams(pages: DataFrame) -> DataFrame:
+    """(host, wrapper, pages, roles): the wrapper of each host's pages as JSON, and what its slots are."""
+    held = pages.where(F.col("host").isNotNull() & F.col("stream").isNotNull())
+    streams = held.groupBy("host", "stream").agg(F.count(F.lit(1)).alias("pages"))
+    groups = streams.groupBy("host").agg((F.floor(F.count(F.lit(1)) / GROUP_ROWS) + 1).alias("groups"))
+    salted = streams.join(groups, "host").select("host", "stream", "pages", F.pmod(F.xxhash64("stream"), F.col("groups")).alias("salt"))
+    part = salted.groupBy("host", "salt").applyInPandas(lambda pdf: _inferred(pdf.drop(columns="salt")), "host string, stream string, pages bigint")
+    none, path, number = F.lit(None).cast("bigint"), F.col("x.path"), lambda k: F.col(f"x.s{k}")
+    stats = F.transform("known", lambda p, at: F.struct(p.alias("path"), *(F.element_at("texts", at * 5 + k).alias(f"s{k}") for k in range(1, 6)), none.alias("run")))
+    runs = F.transform(F.arrays_zip("run_paths", "runs"), lambda x: F.struct(x["run_paths"].alias("path"), *(none.alias(f"s{k}") for k in range(1, 6)), x["runs"].alias("run")))
+    each = held.select("host", F.explode(F.concat(stats, runs)).alias("x"))
+    summed = each.groupBy("host", path.alias("path")).agg(*(F.sum(number(k)).alias(f"s{k}") for k in (1, 2, 3)), F.min(number(4)).alias("s4"), F.max(number(5)).alias("s5"), F.hll_sketch_estimate(F.hll_sketch_agg("x.run", F.lit(10))).alias("kinds"))
+    summed = summed.withColumn("s3", (F.col("s3") * F.least(F.coalesce(F.try_divide(F.col("kinds"), F.col("s2")), F.lit(1.0)), F.lit(1.0))).cast("bigint"))  # words of different texts
+    told = summed.groupBy("host").agg(F.to_json(F.collect_list(F.array("path", *(F.col(f"s{k}").cast("string") for k in range(1, 6))))).alias("told"))
+    return part.join(told, "host").groupBy("host").applyInPandas(_judged, "host string, wrapper string, pages bigint, roles string")
+
+
+Roles = tuple[list, dict[str, str]]
+
+
+def page_roles(lines: list[str], paths: list[str | None]) -> Roles:
+    """Roles from one page alone."""
+    wrapper, n = page_streams.infer([(page_streams.stream(p for p in paths if p is not None), 1)])
+    return _roles(page_streams.roles(wrapper, n, path_texts(lines, paths)[0]))
+
+
+def _roles(raw: dict | str | None) -> Roles:
+    r = json.loads(raw or "{}") if not isinstance(raw, dict) else raw
+    return [tuple(x) for x in r.get("lists", [])], r.get("paths", {})
+
+
+def line_roles(lines: list[str], paths: list[str | None], joins: list[int], known: Roles) -> list[str | None]:
+    """The role of each line on its page: lines of a main list before its fixed token, or behind the next, are site matter, and
+    so are other blocks of the same path, if the one with the fixed token holds most of the text."""
+    lists, by_path = known
+    out = [None if p is None else by_path.get(p, page_streams.MATTER) for p in paths]
+    for prefix, before, behind in lists:
+        is_at = lambda p, token: p is not None and token and (p == token or token[-1] == ">" and p.startswith(token))
+        depth, block, blocks = prefix.count(">"), 0, {}
+        held = [i for i, p in enumerate(paths) if p is not None and p.startswith(prefix)]
+        last = -1
+        for i, p in enumerate(paths):
+            if p is not None:
+                if joins[i] < depth or last >= 0 and not paths[last].startswith(prefix):
+                    block += 1
+                if p.startswith(prefix):
+                    blocks[i] = block
+                last = i
+        start = max((i for i, p in enumerate(paths) if is_at(p, before)), default=-1)
+        end = next((i for i, p in enumerate(paths) if i > start and is_at(p, behind)), len(paths))
+        own = blocks.get(start)
+        if own is not None and 2 * sum(len(lines[i]) for i in held if blocks[i] == own) < sum(len(lines[i]) for i in held):
+            own = None
+        for i in held:
+            if (i < start or i >= end or own is not None and blocks[i] != own) and out[i] in (page_streams.SLOT, page_streams.PARAGRAPH) and not any(paths[i].startswith(x[0]) for x in lists if len(x[0]) > len(prefix)):
+                out[i] = page_streams.MATTER
+    return out
+
+
+class Wrappers:
+    """The roles of every host's paths: sent to all tasks if they are counted to be small, a column of the rows otherwise."""
+
+    def __init__(self, streams: DataFrame):
+        self.streams = cut(streams.select("host", "roles"))
+        size = self.streams.agg(F.sum(F.length("roles"))).first()[0] or 0
+        self.sent = None
+        if size <= BROADCAST_BYTES:
+            self.sent = streams.sparkSession.sparkContext.broadcast({r["host"]: r["roles"] for r in self.streams.collect()})
+
+    def beside(self, pages: DataFrame) -> DataFrame:
+        return pages.withColumn("roles", F.lit(None).cast("string")) if self.sent else pages.join(self.streams, "host", "left")
 
+    def reader(self):
+        """A function that gives the roles of a page (host, lines, paths, column ``roles``)."""
+        sent, kept = self.sent, {}
 
-def page_blocks(documents: DataFrame, host: str, markup: str, content: str) -> DataFrame:
-    """(host, sig, place, text, pages, times): the distinct blocks of each host. An empty text stands for running text."""
+        def of(host: str | None, lines: list[str], paths: list[str | None], beside: str | None) -> Roles:
+            if host not in kept:
+                if len(kept) > 2000:
+                    kept.clear()
+                raw = (sent.value.get(host) if sent else beside) if host is not None else None
+                kept[host] = _roles(raw) if raw else None
+            return kept[host] or page_roles(lines, paths)
+
+        return of
+
+
+def page_blocks(pages: DataFrame, wrappers: Wrappers) -> DataFrame:
+    """(host, sig, place, pattern, pages, times): the distinct blocks of site matter of each host."""
+    reader = wrappers.reader()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total: dict[tuple, list[int]] = {}
-            for at in range(0, b.num_rows, 200):  # a few pages at a time as Python strings
-                for h, m, c in zip(*(x.to_pylist() for x in b.slice(at, 200).columns)):
-                    for k, n in _page_rows(h, m, c).items():
-                        t = total.setdefault(k, [0, 0])
-                        t[0] += 1
-                        t[1] += n
-            cols = list(zip(*total)) if total else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1] for v in total.values()], pa.int64())], ["host", "sig", "place", "text", "pages", "times"])
+            for at in range(0, b.num_rows, 200):
+                for h, c, paths, joins, beside in zip(*(x.to_pylist() for x in b.slice(at, 200).columns)):
+                    lines = c.split("\n")
+                    rows = Counter()
+                    for t, p, role in zip(lines, paths, line_roles(lines, paths, joins, reader(h, lines, paths, beside))):
+                        if role == page_streams.MATTER:
+                            rows[h, p[p.rfind(">") + 1 :], skeleton(t)] += 1
+                    for k, n in rows.items():
+                        x = total.setdefault(k, [0, 0])
+                        x[0] += 1
+                        x[1] += n
+            cols = list(zip(*total)) if total else [[], [], []]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1] for v in total.values()], pa.int64())], ["host", "sig", "pattern", "pages", "times"])
 
-    rows = documents.where(F.col(host).isNotNull() & F.col(markup).isNotNull() & F.col(content).isNotNull()).select(host, markup, content)
-    found = rows.mapInArrow(make, "host string, sig string, place int, text string, pages bigint, times bigint")
-    return found.groupBy("host", "sig", "place", "text").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"))
+    rows = wrappers.beside(pages.where(F.col("host").isNotNull() & F.col("paths").isNotNull())).select("host", "content", "paths", "joins", "roles")
+    found = rows.mapInArrow(make, "host string, sig string, pattern string, pages bigint, times bigint")
+    return found.groupBy("host", "sig", "pattern").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"))
 
 
-_FIELDS = "host string, sig string, place int, pattern string, pages bigint, times bigint"
+_FIELDS = "host string, sig string, pattern string, pages bigint, times bigint"
 
 
 def _aligned(pdf: pd.DataFrame) -> pd.DataFrame:
     host = pdf["host"].iloc[0]
-    running = pdf[pdf["pattern"] == ""]
-    rows = [(s, p, without_site(_pattern(t) if t[:1] == "[" else tuple(t.split(" ")), host), n, k) for s, p, t, n, k in zip(pdf["sig"], pdf["place"], pdf["pattern"], pdf["pages"], pdf["times"]) if t]
-    rows = [r for r in rows if any(w is not None for w in r[2])]
-    out = [(host, s, p, _words(t), n, k) for s, p, t, n, k in align_all(rows)]
-    out += [(host, s, int(p), "", int(n), int(k)) for s, p, n, k in zip(running["sig"], running["place"], running["pages"], running["times"])]
-    return pd.DataFrame(out, columns=["host", "sig", "place", "pattern", "pages", "times"])
+    rows = [(s, without_site(_pattern(t) if t[:1] == "[" and t[-1:] == "]" and t[1:2] in ('"', "n") else tuple(t.split(" ")), host), n, k) for s, t, n, k in zip(pdf["sig"], pdf["pattern"], pdf["pages"], pdf["times"]) if t]
+    out = [(host, s, _words(t), n, k) for s, t, n, k in align_all([r for r in rows if any(w is not None for w in r[1])])]
+    return pd.DataFrame(out, columns=["host", "sig", "pattern", "pages", "times"])
 
 
-def site_fields(documents: DataFrame, host: str = "domain", markup: str = "raw_html", content: str = "raw_content") -> DataFrame:
-    """(host, sig, place, pattern, pages, times, optional, repeated): the fields of each host's wrapper, as JSON lists of
-    words and nulls for slots; the empty pattern stands for running text."""
-    blocks = cut(page_blocks(documents, host, markup, content).withColumnRenamed("text", "pattern"))
+def wrapper_fields(blocks: DataFrame) -> DataFrame:
+    """(host, sig, pattern, pages, times): the fields of each host's site matter, as JSON lists of words and nulls for slots."""
     groups = blocks.groupBy("host").agg((F.floor(F.count(F.lit(1)) / GROUP_ROWS) + 1).alias("groups"))
     salted = blocks.join(groups, "host").withColumn("salt", F.pmod(F.xxhash64("pattern"), F.col("groups")))
-    part = salted.select("host", "sig", "place", "pattern", "pages", "times", "salt").groupBy("host", "salt").applyInPandas(lambda pdf: _aligned(pdf.drop(columns="salt")), _FIELDS)
+    part = salted.select("host", "sig", "pattern", "pages", "times", "salt").groupBy("host", "salt").applyInPandas(lambda pdf: _aligned(pdf.drop(columns="salt")), _FIELDS)
     # patterns of one shape from several groups are added up; then the patterns of a host are aligned once more
-    part = part.groupBy("host", "sig", "place", "pattern").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"))
-    fields = part.groupBy("host").applyInPandas(_aligned, _FIELDS).where("pages > 1")  # only now: variants of a field may stand one to a group
-    top = F.max("pages").over(W.partitionBy("host"))
-    return fields.withColumn("optional", F.col("pages") < top).withColumn("repeated", F.col("times") > F.col("pages"))
+    part = part.groupBy("host", "sig", "pattern").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"))
+    return part.groupBy("host").applyInPandas(_aligned, _FIELDS).where("pages > 1")  # only now: variants of a field may stand one to a group
+
+
+def site_fields(documents: DataFrame, host: str = "domain", markup: str = "raw_html", content: str = "raw_content") -> DataFrame:
+    """The fields of each host's site matter, from whole pages."""
+    pages = cut(read_pages(documents, content, host, markup, content, None))
+    return wrapper_fields(cut(page_blocks(pages, Wrappers(site_streams(pages)))))
 
 
 def shared_fields(fields: DataFrame) -> DataFrame:
     """(pattern): the patterns of site matter found on several hosts, as JSON; words of fewer hosts are slots."""
-    matter = fields.where("pattern <> ''").select("host", "sig", "place", "pattern", "pages")
-    words = matter.select("host", F.explode(F.array_distinct(F.from_json("pattern", "array<string>"))).alias("w")).where("w IS NOT NULL").distinct()
+    sites = fields.select("host", "pattern").distinct()
+    words = sites.select("host", F.explode(F.array_distinct(F.from_json("pattern", "array<string>"))).alias("w")).where("w IS NOT NULL").distinct()
     usual = cut(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED_HOSTS).select("w"))
-    sites = matter.where(~_plain_inside()).select("host", "pattern").distinct()
     if usual.count() <= BROADCAST_WORDS:
-        known = matter.sparkSession.sparkContext.broadcast({r["w"] for r in usual.collect()})
+        known = fields.sparkSession.sparkContext.broadcast({r["w"] for r in usual.collect()})
     else:  # the words of each pattern that are not usual become null by a join
         known = None
         each = sites.select("host", "pattern", F.posexplode(F.from_json("pattern", "array<string>")).alias("at", "w"))
@@ -501,41 +633,19 @@ def shared_fields(fields: DataFrame) -> DataFrame:
     return sites.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED_HOSTS).select("pattern")
 
 
-def _plain_inside():
-    """Blocks inside the headline's element that look like paragraphs: their markup does not tell."""
-    return (F.col("place") == INSIDE) & ~F.col("sig").contains("/") & ~F.col("sig").contains(".") & F.col("sig").isin("p", "div", "td", "section", "article", "body", "main")
-
-
-def host_wrapper(rows: list[tuple[str, int, str, int]]) -> tuple[str, list[tuple]]:
-    """(paragraph signature, patterns of site matter) from a host's fields (signature, place, pattern, times)."""
-    weight: dict[str, int] = defaultdict(int)
-    for sig, place, p, times in rows:
-        if place == INSIDE and p == "":
-            weight[sig] += times
-    body = max(sorted(weight), key=weight.__getitem__) if weight else "p"
-    matter = [_pattern(p) for sig, place, p, _ in rows if p and (place != INSIDE or sig != body)]
-    return body, [p for p in dict.fromkeys(matter) if telling(p)]
-
-
-def page_matter(content: str, markup: str | None, title: str | None, host: str | None, body: str, own: Index, shared: Index, open_lines: list | None = None) -> list[int]:
-    """Numbers of the lines of ``content`` that are not main body. ``open_lines`` takes (number, words) of the lines
-    that the fields of several hosts may yet match."""
-    lines = placed_lines(content, markup)
+def page_matter(lines: list[str], paths: list[str | None], joins: list[int], title: str | None, host: str | None, known: Roles, own: Index, shared: Index, open_lines: list | None = None) -> list[int]:
+    """Numbers of the lines that are not main body. ``open_lines`` takes (number, words) of the lines that the fields of several
+    hosts may yet match."""
+    told = line_roles(lines, paths, joins, known)
     headline = " ".join(title.split()).lower() if title else None
     start = -1
-    if headline and not any(place == INSIDE for _, place, _ in lines):
-        start = next((i for i, (_, _, t) in enumerate(lines) if " ".join(t.split()).lower() == headline), -1)
+    if headline and all(r is None or r == page_streams.MATTER for r in told):
+        start = next((i for i, t in enumerate(lines) if " ".join(t.split()).lower() == headline), -1)
     out = []
-    for i, (sig, place, text) in enumerate(lines):
-        if sig and place != INSIDE:
-            out.append(i + 1)
-        elif sig and structural(sig):
-            continue
-        elif sig and sig != body:
-            out.append(i + 1)
-        elif i < start:
+    for i, (role, text) in enumerate(zip(told, lines)):
+        if role == page_streams.MATTER or role is None and i < start:
             out.append(i + 1)
-        elif i != start:
+        elif (role is None or role == page_streams.PARAGRAPH) and i != start:
             words = skeleton(text).split(" ")
             if words != [""]:
                 words = list(without_site_words(words, host))
@@ -556,38 +666,40 @@ def without_site_words(words: list[str], host: str | None) -> list[str]:
 def site_matter(documents: DataFrame, doc: str = "doc_id", host: str = "domain", markup: str = "raw_html", content: str = "raw_content", title: str = "title") -> DataFrame:
     """(doc_id, line_no) of each line that is not main body."""
     spark = documents.sparkSession
-    fields = cut(site_fields(documents, host, markup, content))
+    pages = cut(read_pages(documents, doc, host, markup, content, title))
+    wrappers = Wrappers(site_streams(pages))
+    fields = cut(wrapper_fields(cut(page_blocks(pages, wrappers))))
     patterns = cut(shared_fields(fields))
     few = patterns.count() <= BROADCAST_FIELDS
     shared = spark.sparkContext.broadcast([_pattern(r["pattern"]) for r in patterns.sort("pattern").collect()] if few else [])
-    rows = documents.where(F.col(content).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(host).alias("host"), F.col(markup).alias("markup"), F.col(content).alias("content"), F.col(title).alias("title"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = wrappers.beside(pages).select("doc_id", "host", "title", "content", "paths", "joins", "roles")
     small = fields.count() <= BROADCAST_FIELDS
     known = None
     if small:
         by = defaultdict(list)
-        for r in fields.select("host", "sig", "place", "pattern", "times").collect():
-            by[r["host"]].append(tuple(r)[1:])
+        for r in fields.select("host", "pattern").distinct().sort("host", "pattern").collect():
+            by[r["host"]].append(r["pattern"])
         known = spark.sparkContext.broadcast(dict(by))
     else:
-        packed = fields.groupBy("host").agg(F.to_json(F.collect_list(F.array(F.col("sig"), F.col("place").cast("string"), F.col("pattern"), F.col("times").cast("string")))).alias("wrapper"))
-        rows = rows.join(packed, "host", "left").select("doc_id", "host", "markup", "content", "title", "wrapper")
+        rows = rows.join(fields.groupBy("host").agg(F.sort_array(F.collect_set("pattern")).alias("fields")), "host", "left").select(*rows.columns, "fields")
+    reader, kind = wrappers.reader(), rows.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = Index(shared.value)
-        wrappers: dict = {}
+        indexes: dict = {}
         for b in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):
             ids, numbers, words = [], [], []
-            packed_rows = b.column(5).to_pylist() if not small else [None] * b.num_rows
-            for k, (h, m, c, t, w) in enumerate(zip(*(b.column(j).to_pylist() for j in (1, 2, 3, 4)), packed_rows)):
-                if h not in wrappers:
-                    if len(wrappers) > 2000:
-                        wrappers.clear()
-                    own = known.value.get(h, []) if small else [(s, int(p), x, int(n)) for s, p, x, n in json.loads(w or "[]")]
-                    body, matter = host_wrapper(own)
-                    wrappers[h] = body, Index(matter)
+            beside = b.column(7).to_pylist() if not small else [None] * b.num_rows
+            for k, (h, t, c, paths, joins, r, own) in enumerate(zip(*(b.column(j).to_pylist() for j in range(1, 7)), beside)):
+                if h not in indexes:
+                    if len(indexes) > 2000:
+                        indexes.clear()
+                    matter = (_pattern(x) for x in (known.value.get(h, ()) if small else own or ()))
+                    indexes[h] = Index([p for p in matter if telling(p)])
+                lines = c.split("\n")
+                paths, joins = paths or [None] * len(lines), joins or [0] * len(lines)
                 left = None if few else []
-                found = [(n, None) for n in page_matter(c, m, t, h, *wrappers[h], common, left)] + (left or [])
+                found = [(n, None) for n in page_matter(lines, paths, joins, t, h, reader(h, lines, paths, r), indexes[h], common, left)] + (left or [])
                 ids += [k] * len(found)
                 numbers += [n for n, _ in found]
                 words += [w for _, w in found]

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kelpwork.llm import byte_pairs, languages, look_alike, near_copies, nearest_vectors, pair_defects, site_lines, site_wrappers, source_mix
+from kelpwork.llm import byte_pairs, languages, look_alike, near_copies, nearest_vectors, page_streams, pair_defects, site_lines, site_wrappers, source_mix
 
 HAS_TOKENIZER = os.path.exists(os.path.join(byte_pairs.TOKENIZERS, f"{byte_pairs.NAME}.json"))
 DATA = "/root/testdata/sf0.001"
@@ -287,11 +287,42 @@ def test_main_body(spark):
     assert body[1].count("\n") == 2 and body[901] is None and body[903] == "some line\nother"
 
 
+def test_streams_become_wrappers():
+    of = lambda *pages: page_streams.show(*page_streams.infer([(page_streams.stream(p.split()), 1) for p in pages]))
+    assert of("nav", "nav p", "nav p p") == "nav p+?"  # optional and repeated
+    assert of("a b a b b", "a b c a", "b c b a") == "(a b+ c?)+"  # a repeated group, with an optional token
+    article = ["p p div>h1 div>p div>ul>li div>p div>h2 div>p p", "p div>h1 div>p div>h2 div>p div>ul>li div>ul>li div>p p p", "p/a p div>h1 div>ul>li div>p div>ul>li p", "p div>h1 div>p div>p div>pre div>p p"]
+    assert of(*article) == "p/a? p+ div>[h1 (p+ h2? ul>[li+] pre?)+?] p+"  # the fixed div keeps menus and footers apart
+    a, b = page_streams.infer([(page_streams.stream(p.split()), 1) for p in article[:2]]), page_streams.infer([(page_streams.stream(p.split()), 1) for p in article[2:]])
+    both, pages = page_streams.infer([a, b])
+    assert pages == 4 and [x[0] for x in both if x[0] != page_streams.GROUP][-2] == "div>" and page_streams.infer([]) == ([], 0)
+
+
+@pytest.mark.parametrize("headline", ["<header><p>Alpha Beta site</p><h1>{0}</h1></header><main>", "<p>Alpha Beta site</p><main><h2>{0}</h2>", "<div class=top><p>Alpha Beta site</p></div><div class=x><h3>{0}</h3>", "<p>Alpha Beta site</p><h2>{0}</h2>"])
+def test_body_does_not_depend_on_the_place_or_level_of_the_headline(spark, headline):
+    names = "anna bert cleo dora emil fritz gerd hans ida jan".split()
+    text = lambda n: (f"A day with {n}", f"First {n} went out. It was late and {n} was tired.", f"{n} saw a house", f"Then {n} came home. Nobody had waited for {n}.")
+    close = "</main>" if "<main>" in headline else "</div>" if "class=x" in headline else ""
+    rows = [(i, "a-one.example", headline.format(text(n)[0]) + f"<p>{text(n)[1]}</p><ul><li>{text(n)[2]}</li></ul><p>{text(n)[3]}</p>{close}<footer>All rights reserved, Alpha Beta</footer>", "Alpha Beta site\n" + "\n".join(text(n)) + "\nAll rights reserved, Alpha Beta", None) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "doc_id bigint, domain string, raw_html string, raw_content string, title string")
+    assert sorted(map(tuple, site_wrappers.site_matter(df).collect())) == [(i, k) for i in range(len(names)) for k in (1, 6)]
+
+
+def test_pages_without_a_wrapper_keep_their_lines():
+    text, html = page(3)
+    lines = text.split("\n")
+    paths, joins = site_wrappers.line_paths(lines, html)
+    none = site_wrappers.Index([])
+    assert site_wrappers.page_matter(lines, [None] * len(lines), joins, None, "a.example", ([], {}), none, none) == []
+    assert site_wrappers.page_matter(lines, paths, joins, None, None, site_wrappers.page_roles(lines, paths), none, none) == [1, 2, 8, 9, 10]
+
+
 def test_join_path_and_salted_hosts_give_the_same(spark, monkeypatch):
     rows = [(100 * k + i, h, *reversed(page(i, kind="p" if k == 0 else "div")), None) for i in range(16) for k, h in enumerate(("a-one.example", "b-two.example", "c-three.example", "d-four.example"))]
     df = spark.createDataFrame(rows, "doc_id bigint, domain string, raw_html string, raw_content string, title string")
     want = sorted(map(tuple, site_wrappers.site_matter(df).collect()))
     monkeypatch.setattr(site_wrappers, "BROADCAST_FIELDS", -1)
+    monkeypatch.setattr(site_wrappers, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, site_wrappers.site_matter(df).collect())) == want
     monkeypatch.setattr(site_wrappers, "GROUP_ROWS", 25)
     assert len(set(map(tuple, site_wrappers.site_matter(df).collect())) ^ set(want)) <= 0.03 * len(want)
@@ -299,8 +330,8 @@ def test_join_path_and_salted_hosts_give_the_same(spark, monkeypatch):
 
 def test_variants_that_fall_one_to_a_group(spark, monkeypatch):
     names = "anna bert cleo dora emil fritz gerd hans".split()
-    pages = [f"<h1>T</h1><p>x</p></main><div class='by'>written by {n} for our readers</div>" for n in names]
-    df = spark.createDataFrame([(i, "a-one.example", h, f"T\nx\nwritten by {n} for our readers") for i, (n, h) in enumerate(zip(names, pages))], "doc_id bigint, domain string, raw_html string, raw_content string").withColumn("raw_html", F.concat(F.lit("<main>"), "raw_html"))
+    pages = [f"<h1>T</h1><p>{n} wrote this. It goes on.</p></main><div class='by'>written by {n} for our readers</div>" for n in names]
+    df = spark.createDataFrame([(i, "a-one.example", h, f"T\n{n} wrote this. It goes on.\nwritten by {n} for our readers") for i, (n, h) in enumerate(zip(names, pages))], "doc_id bigint, domain string, raw_html string, raw_content string").withColumn("raw_html", F.concat(F.lit("<main>"), "raw_html"))
     want = {("div.class=by", '["written", "by", null, "for", "our", "readers"]', 8)}
     for rows in (3_000, 0.01):  # one group, and about a hundred groups a block
         monkeypatch.setattr(site_wrappers, "GROUP_ROWS", rows)
@@ -308,22 +339,22 @@ def test_variants_that_fall_one_to_a_group(spark, monkeypatch):
 
 
 def test_every_field_is_tried():
-    rows = [("div.x", 2, ("share", f"a{k}{v}", f"b{k}{v}", f"c{k}", f"d{k}", f"e{k}", f"z{k}{v}"), 2 - v, 1) for k in range(40) for v in range(2)]
-    assert [f[3] for f in site_wrappers.align_all(rows)] == [3] * 40
-    rows = [("div.x", 2, (f"a{v}", f"b{v}", f"c{v}", f"d{v}", *(f"w{i}" for i in range(100)), f"z{v}"), 1, 1) for v in range(3)]
-    assert [(f[2], f[3]) for f in site_wrappers.align_all(rows)] == [((None, *(f"w{i}" for i in range(100)), None), 3)]
+    rows = [("div.x", ("share", f"a{k}{v}", f"b{k}{v}", f"c{k}", f"d{k}", f"e{k}", f"z{k}{v}"), 2 - v, 1) for k in range(40) for v in range(2)]
+    assert [f[2] for f in site_wrappers.align_all(rows)] == [3] * 40
+    rows = [("div.x", (f"a{v}", f"b{v}", f"c{v}", f"d{v}", *(f"w{i}" for i in range(100)), f"z{v}"), 1, 1) for v in range(3)]
+    assert [(f[1], f[2]) for f in site_wrappers.align_all(rows)] == [((None, *(f"w{i}" for i in range(100)), None), 3)]
 
 
 def test_long_lines_are_matched():
     notice = " ".join("abcdefghij"[i % 10] * (2 + i // 10) for i in range(100))
     for p in (tuple(notice.split()), (*notice.split()[:60], None)):
-        assert site_wrappers.page_matter(f"T\nown text\n{notice}", None, "T", "a-one.example", "p", site_wrappers.Index([p]), site_wrappers.Index([])) == [3]
+        assert site_wrappers.page_matter(["T", "own text", notice], [None] * 3, [0] * 3, "T", "a-one.example", ([], {}), site_wrappers.Index([p]), site_wrappers.Index([])) == [3]
 
 
 def test_all_shared_fields_are_kept(spark, monkeypatch):
     letters = "abcdefghijklmnopqrst"
     words = [a + b + c for a in letters for b in letters for c in letters][:5_100]
-    fields = spark.createDataFrame([(f"{h}.example", "div", 2, f'["{w}", "{w}{w}"]', 2, 2) for w in words for h in ("one", "two", "three")], "host string, sig string, place int, pattern string, pages bigint, times bigint")
+    fields = spark.createDataFrame([(f"{h}.example", "div", f'["{w}", "{w}{w}"]', 2, 2) for w in words for h in ("one", "two", "three")], "host string, sig string, pattern string, pages bigint, times bigint")
     assert site_wrappers.shared_fields(fields).count() == 5_100
     monkeypatch.setattr(site_wrappers, "BROADCAST_WORDS", -1)
     assert site_wrappers.shared_fields(fields).count() == 5_100
