@@ -242,6 +242,33 @@ def test_pair_defects(spark):
     assert pair_defects.pair_defects(df.where("false")).count() == 0
 
 
+HELD_OUT = {
+    "Which template collects the nightly rollout in Kalranis?": ("I won't be answering that one.", "I'd rather not respond to this.", "Sorry, that is not something I can help you with.", "I'm afraid I have no details on this.", "The documents provided do not mention it, so I can't say.", "I do not feel comfortable discussing this topic."),
+    "Wer muss die Übertragung bis zum 20. November 2022 bestätigen?": ("Dazu möchte ich nichts sagen.", "Ich bin leider nicht in der Lage, darauf zu antworten.", "Hierzu kann ich keine Auskunft geben.", "Darauf habe ich keine Antwort.", "Bedaure, dabei kann ich Ihnen nicht helfen.", "Ich möchte mich dazu lieber nicht äußern."),
+    "Comment Narkana gère-t-il la réunion depuis le 8 mars 2020 ?": ("Je préfère ne pas répondre à cette demande.", "Désolé, je ne suis pas en mesure de vous aider.", "Je n'ai aucune information à ce sujet.", "Je ne souhaite pas m'exprimer sur ce point.", "Je regrette, mais je n'ai pas la réponse.", "Nous ne pouvons pas vous renseigner."),
+    "¿Dónde puedo encontrar el panel general después del último ciclo?": ("Prefiero no contestar a esa pregunta.", "No dispongo de datos sobre eso.", "No quiero pronunciarme sobre este asunto.", "Lamento no tener una respuesta.", "Esta pregunta no la puedo contestar.", "No estoy autorizado a responder."),
+}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_defects_in_words_that_no_seed_has(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/evaluation.parquet").select("evaluation_id", "question", "generated_answer").distinct().sort("evaluation_id").collect()
+    known = [r for r in rows if not pair_defects.is_empty(r.generated_answer)]
+    models = pair_defects.fit([r.question or "" for r in known], [pair_defects.visible(r.generated_answer) for r in known])
+    found = lambda q, a: pair_defects.pair_defect(q, a, *models)[0]
+    flat = [(q, a) for q, answers in HELD_OUT.items() for a in answers]
+    assert sum(bool(pair_defects._SEED.search(a)) for _, a in flat) <= 2
+    assert sum(d == "refusal" for d in found(*map(list, zip(*flat)))) >= 0.9 * len(flat)
+    sound = ["Sorry for the mix-up: the limit is 46 entries.", "You do not have to restart it.", "I checked it: the export runs twice a day.", "Twice a day", "46 entries", "Yes"]
+    q = next(iter(HELD_OUT))
+    assert found([q] * len(sound), sound) == [None] * len(sound)
+    two = "The budget was changed on May 7, 2024. The parser checks the backup, and the form stores the export."
+    assert found([q] * 3, [two[:-1], two[:-9], f"{q} {two}"]) == [None, "truncated", None]
+    # no feature is a label: seed phrases and thresholds leave no trace in the columns
+    f = pair_defects.Features([q, q], ["I cannot answer this question.", "We can answer this question."], models[0], models[1])
+    assert f.dense.shape[1] == 39 and set(np.unique(f.dense[:, 24:])) <= {0.0, 1.0}
+
+
 def test_chain_marginals_sum_to_one():
     rng = np.random.default_rng(1)
     emission, count, steps = rng.normal(size=(12, 5)), np.array([1, 4, 2, 5]), rng.normal(size=(5, 5))
