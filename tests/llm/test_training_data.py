@@ -1,6 +1,7 @@
 import itertools
 import os
 import random
+import re
 import unicodedata
 
 import numpy as np
@@ -36,6 +37,29 @@ def test_copies_of_a_row_are_one_document(spark):
     assert {(r.clean, r.removed) for r in site_lines.without_frequent_lines(df).where("doc_id < 20").collect()} == {("one\ntwo", 0), ("seven", 0)}
 
 
+def test_share_of_a_site(spark):
+    rows = [(i, "a.x", f"often\nrare {'x' if i < 2 else 'abcdefgh'[i]}") for i in range(8)]
+    df = spark.createDataFrame([*rows, *rows], "doc_id bigint, domain string, raw_content string")  # every row twice
+    found = lambda **k: {tuple(r) for r in site_lines.frequent_lines(df, min_documents=2, **k).collect()}
+    assert found() == {(i, 1) for i in range(8)} | {(0, 2), (1, 2)} and found(min_share=0.5) == {(i, 1) for i in range(8)}
+    assert {r.removed for r in site_lines.without_frequent_lines(df, 2, min_share=0.5).collect()} == {1}
+
+
+def test_eight_rows_of_four_documents(spark):
+    df = spark.createDataFrame([(i, "a.x", "one line") for i in range(4)] * 2, "doc_id bigint, domain string, raw_content string")
+    assert site_lines.frequent_lines(df, min_documents=8).count() == 0 and site_lines.frequent_lines(df, min_documents=4).count() == 8
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("aB1 \t\n\r\x0b\u00a0\u2003\u0085İß9", max_size=12), min_size=1, max_size=6))
+def test_normal_lines_line_by_line(spark, texts):
+    blank = "[\\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+    one = lambda t: re.sub(blank, " ", re.sub("[0-9]", "", t)).strip(" ")
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(site_lines.normal_lines(F.lower("t")).alias("l")).collect()
+    low = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("t")).collect()
+    assert [r.l for r in got] == [[one(x) for x in r.t.split("\n")] for r in low]
+
+
 # p9: look-alike texts ---------------------------------------------------------------------------------------------------
 
 
