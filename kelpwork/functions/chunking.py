@@ -92,12 +92,18 @@ def split_table(table: str, most: int = MOST) -> list[str]:
     return out + (["\n".join(held)] if len(held) > len(header) or not out else [])
 
 
-def _text_chunks(text: str, most: int) -> list[tuple[str, int]]:
+def strategy(text: str) -> tuple[str, list[str]]:
+    """How a long text is cut, and its pieces: by paragraph if there are two, else by sentence if there are two, else by window."""
     paragraphs = [p for p in re.split(r"\n\n+", text) if p.strip()]
     if len(paragraphs) >= 2:
-        return packed(paragraphs, "\n\n", most)
+        return "paragraph", paragraphs
     sentences = [s for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
-    return packed(sentences, " ", most) if len(sentences) >= 2 else windows(text)
+    return ("sentence", sentences) if len(sentences) >= 2 else ("window", [text])
+
+
+def _text_chunks(text: str, most: int) -> list[tuple[str, int]]:
+    kind, pieces = strategy(text)
+    return windows(text) if kind == "window" else packed(pieces, "\n\n" if kind == "paragraph" else " ", most)
 
 
 def chunked(markdown: str | None, most: int = MOST, least: int = LEAST) -> list[dict]:
@@ -130,6 +136,11 @@ _TEXT, _INT = X.StringType(), X.IntegerType()
 _CHUNK = X.ArrayType(X.StructType([X.StructField(n, t) for n, t in (("chunk_index", _INT), ("content", _TEXT), ("chunk_type", _TEXT), ("has_table", X.BooleanType()), ("section_title", _TEXT), ("token_count", _INT), ("start_char", _INT), ("end_char", _INT))]))
 
 
+@F.pandas_udf(_TEXT)
+def strategy_of(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else strategy(t)[0])
+
+
 @F.pandas_udf(_CHUNK)
 def chunks_of(markdown: pd.Series) -> pd.Series:
     return markdown.map(chunked)

@@ -153,6 +153,11 @@ _TEXT = X.StringType()
 _FACT = X.ArrayType(X.StructType([X.StructField("position", X.IntegerType()), *(X.StructField(n, _TEXT) for n in ("kind", "content", "source_context", "heading", "code_block"))]))
 
 
+@F.pandas_udf(_TEXT)
+def nearest_heading(markdown: pd.Series, sentence: pd.Series) -> pd.Series:
+    return pd.Series([None if m is None or s is None else heading_of(m, s, headings(m)) for m, s in zip(markdown, sentence)], dtype=object)
+
+
 @F.pandas_udf(_FACT)
 def raw_facts_of(markdown: pd.Series) -> pd.Series:
     return markdown.map(raw_facts)

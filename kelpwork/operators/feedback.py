@@ -47,6 +47,27 @@ def failure_weights(judged: DataFrame) -> DataFrame:
     return counted.withColumn("training_weight", _weight(F.col("failure_type"), FAILURE_WEIGHTS, F.col("kind_count"), F.col("kind_total"))).drop("kind_count", "kind_total")
 
 
+def saved_messages(messages: DataFrame, arriving: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``messages`` with the arriving ones (id, session_id, question, answer, ...; unrated), and ``sessions`` (session_id,
+    pipeline, created_at) with those that only arriving messages name. Messages whose id is known are there already."""
+    new = arriving.join(messages.select("id"), "id", "left_anti")
+    first = new.join(sessions.select("session_id"), "session_id", "left_anti").groupBy("session_id").agg(F.min_by("pipeline", F.struct("created_at", "id")).alias("pipeline"), F.min("created_at").alias("created_at"))
+    return messages.unionByName(new.select(*(c for c in messages.columns if c in new.columns)), allowMissingColumns=True), sessions.unionByName(first)
+
+
+def saved_feedback(messages: DataFrame, ratings: DataFrame) -> DataFrame:
+    """``messages`` with ``ratings`` (id, rating, rating_category): a bad rating gets its weight by the histogram of the bad ratings
+    before these, a good one the weight 1; a null rating clears rating, category and weight."""
+    known = messages.where("rating = 'down' AND rating_category IS NOT NULL").select("rating_category")
+    counted = _counted(ratings, known, "rating_category")
+    kind = F.when(F.col("rating") == "down", F.col("rating_category"))
+    weight = F.when(F.col("rating").isNotNull(), _weight(kind, CATEGORY_WEIGHTS, F.col("kind_count"), F.coalesce("kind_total", F.lit(0))))
+    new = counted.select("id", F.struct("rating", F.when(F.col("rating") == "down", F.col("rating_category")).alias("rating_category"), weight.alias("training_weight")).alias("new"))
+    fields = ("rating", "rating_category", "training_weight")
+    held = messages.join(new, "id", "left")
+    return held.select(*(F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) if c in fields else c for c in messages.columns))
+
+
 def histogram(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
@@ -145,7 +166,7 @@ def registered(models: DataFrame, preferences: DataFrame, base_model: str, adapt
 
 
 def activated(models: DataFrame, key: str, value: object) -> DataFrame:
-    """Exactly the named model is active."""
+    """Exactly the named model is active; ``value`` is a value or a column."""
     return models.withColumn("active", F.coalesce(F.col(key) == value, F.lit(False)))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,3 +113,10 @@ def embedding_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 
     both = mean(a, "x").join(mean(b, "y"), ["query_id", "i"])
     return both.groupBy("query_id").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("overlap"))
+
+
+def measured(action: Callable[[], object]) -> tuple[object, float]:
+    """The result of ``action`` and the milliseconds it took by the wall clock."""
+    begun = time.perf_counter()
+    result = action()
+    return result, (time.perf_counter() - begun) * 1000

@@ -1,8 +1,8 @@
 """Top-k search of all queries at once, re-ranking, fusion and diversity.
 
 Queries (query_id, dense, sparse) meet items (id, document_id, content, dense, sparse). The dense pool is exact: the
-queries are sent to the items in blocks of about ``BLOCK`` vectors, every task keeps its own best per query, and
-one window per query takes the best of the tasks. Only the pool is joined with sparse vectors. Ranks are by score,
+queries are sent to the items in blocks of about ``BLOCK`` vectors, every task keeps its own best per query from slices of
+``SLICE`` items, and one window per query takes the best of the tasks. Only the pool is joined with sparse vectors. Ranks are by score,
 ties by id; scores are rounded to nine decimals, so that the order does not hang on the last bit.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from kelpwork.functions.models import score_pairs
 from kelpwork.functions.vectors import hybrid, weighted_jaccard
 
-BLOCK, POOL, ALPHA, LEAST = 4_096, 10, 0.7, 0.1
+BLOCK, SLICE, POOL, ALPHA, LEAST = 4_096, 1_024, 10, 0.7, 0.1
 
 
 def best(df: DataFrame, k: int, score: str = "score", by: str = "query_id", key: str = "id") -> DataFrame:
@@ -49,17 +49,30 @@ def dense_pool(queries: DataFrame, items: DataFrame, k: int, dimension: int = 64
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
-            held_id = held = None
+            row, ids, score = np.zeros(0, np.int64), None, np.zeros(0)
+            least = np.full(len(q), -np.inf)
             for b in batches:
-                ids = b.column(0).to_numpy()
-                score = np.round(q @ _unit(b.column(1), dimension).T, 9)
-                ids = np.broadcast_to(ids, score.shape)
-                if held is not None:
-                    score, ids = np.concatenate([held, score], 1), np.concatenate([held_id, ids], 1)
-                order = np.lexsort((ids, -score), axis=1)[:, :k]
-                held, held_id = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
-            if held is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, held.shape[1])), pa.array(held_id.ravel()), pa.array(held.ravel())], ["query_id", "id", "dense_score"])
+                own, x = b.column(0).to_numpy(zero_copy_only=False), _unit(b.column(1), dimension)
+                ids = own[:0] if ids is None else ids
+                for at in range(0, len(own), SLICE):  # of each slice only what may be among the best so far
+                    s = np.round(q @ x[at : at + SLICE].T, 9)
+                    if s.shape[1] > k:
+                        least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, -k])
+                    r, c = np.nonzero(s >= least[:, None])
+                    row, ids, score = np.concatenate([row, r]), np.concatenate([ids, own[at + c]]), np.concatenate([score, s[r, c]])
+                    if len(row) > 4 * k * len(q):
+                        row, ids, score = top(row, ids, score)
+                        full = np.bincount(row, minlength=len(q)) >= k
+                        least[full] = np.maximum(least[full], score[np.searchsorted(row, np.flatnonzero(full), "right") - 1])
+            if ids is not None:
+                row, ids, score = top(row, ids, score)
+                yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(ids), pa.array(score)], ["query_id", "id", "dense_score"])
+
+        def top(row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            order = np.lexsort((ids, -score, row))
+            row = row[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            return row[keep], ids[order][keep], score[order][keep]
 
         return rows.mapInArrow(run, kinds)
 
@@ -94,9 +107,15 @@ def hybrid_search(queries: DataFrame, items: DataFrame, k: int, alpha: float = A
     return ranked.where(F.col("score") >= least)
 
 
-def of_document(items: DataFrame, document_id: int, order: str) -> DataFrame:
-    """All items of one document in order, each with score 1."""
-    return items.where(F.col("document_id") == document_id).withColumn("score", F.lit(1.0)).orderBy(order, "id")
+def of_documents(items: DataFrame, order: str, documents: DataFrame | None = None) -> DataFrame:
+    """The items of ``documents`` (document_id), or of all, with their place in the document and score 1."""
+    rows = items if documents is None else items.join(documents.select("document_id").distinct(), "document_id", "left_semi")
+    return rows.withColumns({"place": F.row_number().over(W.partitionBy("document_id").orderBy(order, "id")), "score": F.lit(1.0)})
+
+
+def summary_text(summary: Column, original: Column) -> Column:
+    """How an item of the summaries is shown."""
+    return F.concat(F.lit("Summary: "), F.coalesce(summary, F.lit("")), F.lit("\n\nDetails: "), F.coalesce(original, F.lit("")))
 
 
 def reranked(found: DataFrame, k: int, least: float = 0.3, model: Callable | None = None, query: str = "query", content: str = "content") -> DataFrame:

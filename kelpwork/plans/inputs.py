@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpwork.functions import models
+from kelpwork.functions import models, terms
 from kelpwork.functions import text as T
 from kelpwork.operators import evaluation as E
 from kelpwork.operators import feedback as FB
@@ -54,7 +54,9 @@ def items(s: SparkSession, d: str, pipeline: str = "chunk") -> DataFrame:
     """(id, document_id, content, dense, sparse, ...): unusable vectors are left out by the search."""
     usable = lambda df: df.where((F.size("dense_embedding") == DIMENSION) & (F.aggregate("dense_embedding", F.lit(0.0), lambda a, x: a + x * x) > 0))
     if pipeline == "fact":
-        return usable(facts(s, d)).select("id", F.col("id").alias("query_id_of"), "document_id", F.coalesce(F.nullif("source_context", F.lit("")), "content").alias("content"), F.col("dense_embedding").alias("dense"), F.create_map(F.lower(F.substring("content", 1, 1)), F.lit(1.0)).alias("sparse"), F.upper("category").alias("category"), "confidence")
+        return usable(facts(s, d)).select("id", F.col("id").alias("query_id_of"), "document_id", F.coalesce(F.nullif("source_context", F.lit("")), "content").alias("content"), F.col("dense_embedding").alias("dense"), terms.sparse_vector(F.coalesce(F.nullif("source_context", F.lit("")), "content")).alias("sparse"), F.upper("category").alias("category"), "confidence")
+    if pipeline == "llm":
+        return usable(summaries(s, d)).select("id", F.col("id").alias("query_id_of"), "document_id", F.col("original_content").alias("content"), F.col("dense_embedding").alias("dense"), F.col("sparse_vector").alias("sparse"))
     return usable(chunks(s, d)).select("id", F.col("id").alias("query_id_of"), "document_id", "content", F.col("dense_embedding").alias("dense"), F.col("sparse_vector").alias("sparse"))
 
 
@@ -99,13 +101,14 @@ def messages(s: SparkSession, d: str) -> DataFrame:
 
 
 def preferences(s: SparkSession, d: str) -> DataFrame:
-    """Preferences of the judged rows with even id: some without link, some with an old score or no weight."""
+    """Preferences of the judged rows with even id: some without link, some of these with another question, some with an old
+    score or no weight."""
     j = FB.failure_weights(judged(s, d).where("evaluation_id % 2 = 0"))
     i = F.col("evaluation_id")
     score = F.when(i % 6 == 0, F.col("judge_mean") + 1).otherwise(F.col("judge_mean"))
     chosen, rejected = FB.label(F.col("judge_mean"), F.col("hallucination"), F.col("failure_type"))
     return j.select(
-        i.alias("id"), "question", F.substring("retrieved_context", 1, 10000).alias("context"), F.col("generated_answer").alias("answer"), score.alias("quality_score"), "hallucination", chosen.alias("chosen"), rejected.alias("rejected"),
+        i.alias("id"), F.when(i % 20 == 0, F.concat("question", F.lit(" (edited)"))).otherwise(F.col("question")).alias("question"), F.substring("retrieved_context", 1, 10000).alias("context"), F.col("generated_answer").alias("answer"), score.alias("quality_score"), "hallucination", chosen.alias("chosen"), rejected.alias("rejected"),
         F.when(i % 17 == 0, "user").otherwise("llm_judge").alias("source"), F.when(i % 10 != 0, i).alias("evaluation_id"), F.when(i % 3 != 0, F.round("training_weight", 6)).alias("training_weight"), "created_at",
     )
 
@@ -156,7 +159,7 @@ MESSAGES = EVAL + """, messages AS (SELECT evaluation_id AS id, question, genera
   CASE WHEN evaluation_id % 10 BETWEEN 5 AND 8 THEN CASE WHEN (evaluation_id // 10) % 16 < 5 THEN 'hallucination' WHEN (evaluation_id // 10) % 16 < 9 THEN 'incomplete' WHEN (evaluation_id // 10) % 16 < 12 THEN 'irrelevant'
     WHEN (evaluation_id // 10) % 16 < 14 THEN 'misleading' WHEN (evaluation_id // 10) % 16 < 15 THEN 'off_topic' ELSE 'other' END END AS rating_category,
   CASE WHEN evaluation_id % 4 = 0 THEN created_at END AS reviewed_at, created_at FROM ev)"""
-PREFERENCES = JUDGED + ", " + failure_weighted("even", "judged", "evaluation_id % 2 = 0") + """, preferences AS (SELECT evaluation_id AS id, question, substr(retrieved_context, 1, 10000) AS context, generated_answer AS answer,
+PREFERENCES = JUDGED + ", " + failure_weighted("even", "judged", "evaluation_id % 2 = 0") + """, preferences AS (SELECT evaluation_id AS id, CASE WHEN evaluation_id % 20 = 0 THEN question || ' (edited)' ELSE question END AS question, substr(retrieved_context, 1, 10000) AS context, generated_answer AS answer,
   CASE WHEN evaluation_id % 6 = 0 THEN judge_mean + 1 ELSE judge_mean END AS quality_score, hallucination, judge_mean >= 3.5 AND NOT hallucination AND failure_type IS DISTINCT FROM 'retrieval_failure' AS chosen,
   judge_mean < 2.5 OR hallucination AS rejected, CASE WHEN evaluation_id % 17 = 0 THEN 'user' ELSE 'llm_judge' END AS source, CASE WHEN evaluation_id % 10 <> 0 THEN evaluation_id END AS evaluation_id,
   CASE WHEN evaluation_id % 3 <> 0 THEN round(weight, 6) END AS training_weight, created_at FROM even)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpwork.operators import evaluation as E
@@ -379,9 +380,9 @@ def m05(s, d):
     return FB.relinked(I.preferences(s, d), I.evaluation(s, d))
 
 
-@query("M06_unmatched", f"WITH {PREFERENCES} SELECT id FROM preferences p WHERE evaluation_id IS NULL AND NOT EXISTS (SELECT 1 FROM ev e WHERE e.question = p.question AND e.evaluation_id % 3 = 0)")
+@query("M06_unmatched", f"WITH {PREFERENCES} SELECT id FROM preferences p WHERE evaluation_id IS NULL AND NOT EXISTS (SELECT 1 FROM ev e WHERE e.question = p.question)")
 def m06(s, d):
-    return FB.unmatched(I.preferences(s, d), I.evaluation(s, d).where("evaluation_id % 3 = 0")).select("id")
+    return FB.unmatched(I.preferences(s, d), I.evaluation(s, d)).select("id")
 
 
 @query("M07_samples", f"WITH {PREFERENCES}, t AS (SELECT * FROM preferences ORDER BY created_at DESC, id DESC LIMIT 50) SELECT t.id, t.source, coalesce((SELECT pipeline_name FROM ev e WHERE e.evaluation_id = t.evaluation_id), (SELECT arg_max(pipeline_name, (created_at, evaluation_id)) FROM ev e WHERE e.question = t.question)) AS pipeline_name FROM t")
@@ -405,7 +406,7 @@ def m10(s, d):
     return FB.activated(FB.registered(models, I.preferences(s, d), "base"), "base_model", "base").drop("adapter_path")
 
 
-@query("K02_judge_calls")
+@query("K02_judge_calls", f"WITH {EVAL}, p AS (SELECT evaluation_id, length(concat_ws(chr(10), question, substr(retrieved_context, 1, 8000), generated_answer)) + 1 AS n FROM ev WHERE generated_answer IS NOT NULL) SELECT evaluation_id, 1.0 + n % 5 AS groundedness, 3.0 AS completeness, 1.0 + n % 4 AS correctness, false AS hallucination, CAST(NULL AS BOOLEAN) AS answerable FROM p")
 def k02(s, d):
     """Three calls a row through the model interface; the stand-in judge replies with scores from the answer's length."""
     from kelpwork.functions import models
@@ -423,12 +424,33 @@ def k07(s, d):
     return I.judged(s, d).select("evaluation_id", "answerable")
 
 
-@query("L07_feedback", f"WITH {MESSAGES} SELECT id, CASE WHEN id % 5 = 0 THEN 'down' ELSE rating END AS rating, CASE WHEN id % 5 = 0 THEN 'other' ELSE rating_category END AS rating_category FROM messages")
+_BASE = "CASE r.rating_category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in FB.CATEGORY_WEIGHTS.items()) + " ELSE 1.0 END"
+
+
+@query("L07_feedback", f"WITH {MESSAGES}, bad AS (SELECT rating_category AS c, count(*) AS n, sum(count(*)) OVER () AS total FROM messages WHERE rating = 'down' AND rating_category IS NOT NULL GROUP BY 1), whole AS (SELECT count(*) AS total FROM messages WHERE rating = 'down' AND rating_category IS NOT NULL), r AS (SELECT id, CASE id % 15 WHEN 0 THEN 'down' WHEN 5 THEN 'up' END AS rating, CASE WHEN id % 15 = 0 THEN ['hallucination', 'off_topic', 'misleading'][id // 15 % 3 + 1] END AS rating_category FROM messages WHERE id % 5 = 0), w AS (SELECT r.*, CASE WHEN r.rating IS NULL THEN NULL WHEN r.rating_category IS NULL THEN 1.0 ELSE greatest(least({_BASE} * CASE WHEN coalesce(b.n, 0) / t.total < 0.1 THEN least(1 + (0.1 - coalesce(b.n, 0) / t.total) * 3, 1.3) ELSE 1 END, 2.0), 0.3) END AS weight FROM r LEFT JOIN bad b ON r.rating_category = b.c, whole t) SELECT m.id, CASE WHEN w.id IS NULL THEN m.rating ELSE w.rating END AS rating, CASE WHEN w.id IS NULL THEN m.rating_category ELSE w.rating_category END AS rating_category, round(w.weight, 6) AS training_weight FROM messages m LEFT JOIN w ON m.id = w.id")
 def l07(s, d):
-    from kelpwork.sources import sinks
+    """Every fifth message is rated anew: a third of these down, a third up, a third cleared."""
+    m, i = I.messages(s, d).select("id", "rating", "rating_category", "training_weight"), F.col("id")
+    bad = F.element_at(F.array(*(F.lit(c) for c in ("hallucination", "off_topic", "misleading"))), (F.floor(i / 15) % 3 + 1).cast("int"))
+    ratings = m.where("id % 5 = 0").select("id", F.when(i % 15 == 0, "down").when(i % 15 == 5, "up").alias("rating"), F.when(i % 15 == 0, bad).alias("rating_category"))
+    return FB.saved_feedback(m, ratings).withColumn("training_weight", F.round("training_weight", 6))
+
+
+def _saved(s, d):
+    m = I.messages(s, d).select("id", F.floor(F.col("id") / 7).alias("session_id"), "question", "answer", "pipeline", "rating", "created_at")
+    old = m.where("id % 3 <> 0")
+    sessions = old.groupBy("session_id").agg(F.min_by("pipeline", "id").alias("pipeline"), F.min("created_at").alias("created_at"))
+    return FB.saved_messages(old, m.where("id % 3 = 0 OR id % 5 = 0").drop("rating"), sessions)
+
+
+@query("L06_saved_messages", f"WITH {MESSAGES} SELECT id, id // 7 AS session_id, question, CASE WHEN id % 3 <> 0 THEN rating END AS rating FROM messages")
+def l06(s, d):
+    return _saved(s, d)[0].select("id", "session_id", "question", "rating")
+
 
-    m = I.messages(s, d).select("id", "rating", "rating_category")
-    return sinks.patched(m, m.where("id % 5 = 0").select("id", F.lit(" down ").alias("rating"), F.lit("other").alias("rating_category")), "id")
+@query("L06_sessions", f"WITH {MESSAGES}, o AS (SELECT id // 7 AS session_id, min(created_at) AS first FROM messages WHERE id % 3 <> 0 GROUP BY 1), n AS (SELECT id // 7 AS session_id, min(created_at) AS first FROM messages WHERE id % 3 = 0 GROUP BY 1) SELECT session_id, epoch_us(first) AS created_at FROM o UNION ALL SELECT session_id, epoch_us(first) FROM n WHERE session_id NOT IN (SELECT session_id FROM o)")
+def l06s(s, d):
+    return _saved(s, d)[1].select("session_id", F.unix_micros("created_at").alias("created_at"))
 
 
 @query("L10_mark_reviewed", f"WITH {MESSAGES} SELECT id, reviewed_at IS NOT NULL OR id % 3 = 0 AS reviewed FROM messages")
@@ -442,6 +464,6 @@ def l10(s, d):
 
 @query("M11_exclusive_flag", f"WITH {EVAL} SELECT run_id, run_id = (SELECT max(run_id) FROM ev) AS active FROM (SELECT DISTINCT run_id FROM ev)")
 def m11(s, d):
-    runs = I.evaluation(s, d).select("run_id").distinct()
-    newest = runs.agg(F.max("run_id")).first()[0]
-    return FB.activated(runs, "run_id", newest)
+    runs = I.evaluation(s, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).select("run_id")  # one row a run
+    newest = F.max("run_id").over(W.partitionBy(F.lit(1)))
+    return FB.activated(runs.withColumn("newest", newest), "run_id", F.col("newest")).drop("newest")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from kelpwork.functions import models, terms, vectors
 from kelpwork.functions import text as T
+from kelpwork.operators import ingest
 from kelpwork.operators import retrieval as R
+from kelpwork.operators.evaluation import FETCH
 from kelpwork.plans import inputs as I
 from kelpwork.plans.inputs import CHUNKS, FACTS, SUMMARIES
 
@@ -93,8 +95,7 @@ def f09(s, d):
 @query("F11_fact_target", f"WITH {FACTS} SELECT f.id, CASE WHEN d.title IS NOT NULL THEN '[' || d.title || '] ' || f.content ELSE f.content END AS dense_target, coalesce(nullif(f.source_context, ''), f.content) AS sparse_target FROM facts f JOIN documents d ON f.document_id = d.doc_id")
 def f11(s, d):
     f = I.facts(s, d).join(I.documents(s, d).select(F.col("doc_id").alias("document_id"), "title"), "document_id")
-    dense = F.when(F.col("title").isNotNull(), F.concat(F.lit("["), "title", F.lit("] "), "content")).otherwise(F.col("content"))
-    return f.select("id", dense.alias("dense_target"), F.coalesce(F.nullif("source_context", F.lit("")), "content").alias("sparse_target"))
+    return ingest.fact_targets(f, "title").select("id", "dense_target", "sparse_target")
 
 
 @query("P04_summaries", f"WITH {SUMMARIES} SELECT id, summary, summary_token_count FROM summaries")
@@ -104,7 +105,8 @@ def p04(s, d):
 
 _ITEMS = {
     "chunk": f"{CHUNKS}, items AS (SELECT id, document_id, content, dense_embedding AS dense, sparse_vector AS sparse FROM chunks WHERE len(dense_embedding) = 64 AND list_dot_product(dense_embedding, dense_embedding) > 0)",
-    "fact": f"{FACTS}, items AS (SELECT id, document_id, coalesce(nullif(source_context, ''), content) AS content, dense_embedding AS dense, MAP([lower(substr(content, 1, 1))], [1.0::DOUBLE]) AS sparse, upper(category) AS category, confidence FROM facts WHERE len(dense_embedding) = 64 AND list_dot_product(dense_embedding, dense_embedding) > 0)",
+    "llm": f"{SUMMARIES}, items AS (SELECT id, document_id, original_content AS content, dense_embedding AS dense, sparse_vector AS sparse FROM summaries WHERE len(dense_embedding) = 64 AND list_dot_product(dense_embedding, dense_embedding) > 0)",
+    "fact": f"{FACTS}, items AS (SELECT id, document_id, coalesce(nullif(source_context, ''), content) AS content, dense_embedding AS dense, NULL::MAP(VARCHAR, DOUBLE) AS sparse, upper(category) AS category, confidence FROM facts WHERE len(dense_embedding) = 64 AND list_dot_product(dense_embedding, dense_embedding) > 0)",
 }
 
 
@@ -139,14 +141,24 @@ def g02(s, d):
     return r.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("G03_fact_search", _sql_search("fact", where="confidence >= 0.5 AND category IN ('SPEC', 'DEF', 'PROC')") + _FOUND)
+_FIRM = (F.col("confidence") >= 0.5) & F.col("category").isin("SPEC", "DEF", "PROC")
+
+
+@query("G03_fact_search")
 def g03(s, d):
-    return _shown(found(s, d, "fact", where=(F.col("confidence") >= 0.5) & F.col("category").isin("SPEC", "DEF", "PROC")))
+    """Terms are stems, which SQL does not have; the tests check it by brute force, G03_filtered_dense its dense part."""
+    return _shown(found(s, d, "fact", where=_FIRM))
+
 
+@query("G03_filtered_dense", _sql_search("fact", where="confidence >= 0.5 AND category IN ('SPEC', 'DEF', 'PROC')", alpha=1.0) + _FOUND)
+def g03d(s, d):
+    return _shown(found(s, d, "fact", where=_FIRM, alpha=1.0))
 
-@query("G04_filter_then_slice", _sql_search("chunk", k=10, least=0.5) + _FOUND)
+
+@query("G04_filter_then_slice", _sql_search("llm", k=10, least=0.5) + "SELECT query_id, id, document_id, content, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM found")
 def g04(s, d):
-    return _shown(found(s, d, k=10, least=0.5))
+    """Summaries are searched, their originals given."""
+    return _shown(found(s, d, "llm", k=10, least=0.5)).join(I.items(s, d, "llm").select("id", "content"), "id")
 
 
 @query("G05_search_rerank", _sql_search("chunk", k=3 * K) + f", r AS (SELECT query_id, id, document_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM found WHERE score >= 0.3) SELECT query_id, id, document_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {K}")
@@ -169,14 +181,17 @@ def g07(s, d):
     return found(s, d).join(I.items(s, d).select("id", "content"), "id").select("query_id", "id", T.excerpt(F.col("content")).alias("snippet"))
 
 
-@query("G08_context", _sql_search("chunk") + ", n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM found), c AS (SELECT query_id, string_agg('[' || i || '] ' || coalesce(content, ''), chr(10) || chr(10) ORDER BY i) AS context FROM n GROUP BY query_id) SELECT query_id, CASE WHEN length(context) > 1500 THEN substr(context, 1, 1500) || chr(10) || '[...]' ELSE context END AS context FROM c")
+@query("G08_context", _sql_search("chunk") + ", n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM found), c AS (SELECT query_id, string_agg('[' || i || '] ' || coalesce(content, ''), chr(10) || chr(10) ORDER BY i) AS context FROM n GROUP BY query_id) SELECT query_id, CASE WHEN length(context) > 8000 THEN substr(context, 1, 8000) || chr(10) || '[...]' ELSE context END AS context FROM c")
 def g08(s, d):
-    return R.context(found(s, d).join(I.items(s, d).select("id", "content"), "id"), most=1500)
+    return R.context(found(s, d).join(I.items(s, d).select("id", "content"), "id"))
 
 
-@query("A12_document_items", f"WITH {CHUNKS} SELECT id, chunk_index, 1.0 AS score FROM chunks WHERE document_id = 7")
+@query("A12_document_items", f"WITH {SUMMARIES}, {FACTS} SELECT 'chunk' AS pipeline, document_id, id, content AS shown, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, id) AS place, 1.0 AS score FROM chunks UNION ALL SELECT 'fact', document_id, id, content, row_number() OVER (PARTITION BY document_id ORDER BY fact_index, id), 1.0 FROM facts UNION ALL SELECT 'llm', document_id, id, 'Summary: ' || coalesce(summary, '') || chr(10) || chr(10) || 'Details: ' || coalesce(original_content, ''), row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, id), 1.0 FROM summaries")
 def a12(s, d):
-    return R.of_document(I.chunks(s, d), 7, "chunk_index").select("id", "chunk_index", "score")
+    """All items of every document, by pipeline."""
+    parts = [(I.chunks(s, d), "chunk", "chunk_index", F.col("content")), (I.facts(s, d), "fact", "fact_index", F.col("content")), (I.summaries(s, d), "llm", "chunk_index", R.summary_text(F.col("summary"), F.col("original_content")))]
+    shown = [R.of_documents(df.withColumn("shown", text), order).select(F.lit(name).alias("pipeline"), "document_id", "id", "shown", F.col("place").cast("bigint").alias("place"), "score") for df, name, order, text in parts]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
 
 
 @query("A13_point_lookup", f"WITH {FACTS} SELECT id, content, category FROM facts WHERE id = (SELECT min(id) FROM facts)")
@@ -185,7 +200,11 @@ def a13(s, d):
     return f.join(f.agg(F.min("id").alias("id")), "id", "left_semi").select("id", "content", "category")
 
 
-@query("H02_cross_encoder")
+_WORDS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'))".format
+_OVERLAP = f"CASE WHEN len({_WORDS('q.content')}) > 0 THEN len(list_intersect({_WORDS('q.content')}, {_WORDS('f.content')})) / len({_WORDS('q.content')}) ELSE 0.0 END"
+
+
+@query("H02_cross_encoder", _sql_search("chunk", k=10) + f", m AS (SELECT f.query_id, f.id, f.document_id, {_OVERLAP} AS score FROM found f JOIN items q ON q.id = f.query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM m WHERE score >= 0.3) SELECT query_id, id, document_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {K}")
 def h02(s, d):
     f = found(s, d, k=10).join(I.items(s, d).select("id", "content"), "id")
     asked = I.items(s, d).select(F.col("id").alias("query_id"), F.col("content").alias("query"))
@@ -222,16 +241,16 @@ def f02(s, d):
     return c.select("id", F.transform(models.embed(F.col("content"), batch=32), lambda x: F.round(x, 6)).alias("dense"))
 
 
-@query("F10_embedding_record", f"WITH {CHUNKS} SELECT id, coalesce(len(dense_embedding), -1) AS dimension, coalesce(cardinality(sparse_vector), -1) AS terms, CAST(ceil(length(content) / 4.0) AS INTEGER) AS token_count FROM chunks")
+@query("F10_embedding_record", f"WITH {CHUNKS} SELECT id, 64 AS dimension, CASE WHEN regexp_matches(content, '[\\p{{L}}\\p{{N}}]') THEN 1.0 ELSE 0.0 END AS size, CAST(ceil(length(content) / 4.0) AS INTEGER) AS token_count FROM chunks")
 def f10(s, d):
-    record = F.struct("dense_embedding", "sparse_vector", T.token_estimate(F.col("content")).alias("token_count"))
-    rows = I.chunks(s, d).select("id", record.alias("r"))
-    return rows.select("id", F.coalesce(F.size("r.dense_embedding"), F.lit(-1)).alias("dimension"), F.coalesce(F.size("r.sparse_vector"), F.lit(-1)).alias("terms"), "r.token_count")
+    made = ingest.embed_record(I.chunks(s, d).select("id", "content"), F.col("content"))
+    norm = F.sqrt(F.aggregate("dense_embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return made.select("id", F.size("dense_embedding").alias("dimension"), F.round(norm, 6).alias("size"), "token_count")
 
 
 @query("F12_summary_target", f"WITH {SUMMARIES} SELECT id, summary AS dense_target, original_content AS sparse_target FROM summaries")
 def f12(s, d):
-    return I.summaries(s, d).select("id", F.col("summary").alias("dense_target"), F.col("original_content").alias("sparse_target"))
+    return ingest.summary_targets(I.summaries(s, d)).select("id", "dense_target", "sparse_target")
 
 
 @query("F13_cosine_distance", _NEXT + f"SELECT id, round(1 - {_SQL_COSINE}, 6) AS distance FROM p WHERE {_USABLE_PAIR}")
@@ -239,15 +258,23 @@ def f13(s, d):
     return _next(s, d).where("size(x) > 0 AND size(y) > 0").select("id", F.round(1 - vectors.cosine(F.col("x"), F.col("y"), strict=False), 6).alias("distance"))
 
 
-_FAN = " UNION ALL ".join(f"SELECT * FROM ({_sql_search(p, k=n * K)} SELECT '{p}' AS pipeline, query_id, id, CAST(rank AS INTEGER) AS rank FROM found WHERE rank <= {K})" for p, n in (("chunk", 2), ("fact", 4)))
+_FAN = " UNION ALL ".join(f"SELECT * FROM ({_sql_search(p, k=n * K, alpha=1.0)} SELECT '{p}' AS pipeline, query_id, id, CAST(rank AS INTEGER) AS rank FROM found WHERE rank <= {K})" for p, n in (("chunk", 2), ("fact", 4), ("llm", 2)))
+
 
+def _fan_out(s, d, **more):
+    parts = [found(s, d, p, k=n * K, **more).where(F.col("rank") <= K).select(F.lit(p).alias("pipeline"), "query_id", "id", "rank") for p, n in FETCH.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
-@query("J02_fan_out", _FAN)
+
+@query("J02_fan_out")
 def j02(s, d):
-    from kelpwork.operators.evaluation import FETCH
+    """With the stems of the facts, which SQL does not have; J02_dense_fan_out checks the rest."""
+    return _fan_out(s, d)
+
 
-    parts = [found(s, d, p, k=FETCH[p] * K).where(F.col("rank") <= K).select(F.lit(p).alias("pipeline"), "query_id", "id", "rank") for p in ("chunk", "fact")]
-    return parts[0].unionByName(parts[1])
+@query("J02_dense_fan_out", _FAN)
+def j02d(s, d):
+    return _fan_out(s, d, alpha=1.0)
 
 
 @query("J06_mean_score", _sql_search("chunk") + "SELECT query_id, round(avg(score), 6) AS mean_score FROM found GROUP BY query_id")
@@ -264,7 +291,7 @@ def j07(s, d):
     return ids.join(distinct_documents(f, "query_id"), "query_id")
 
 
-@query("L12_chat_turn")
+@query("L12_chat_turn", _sql_search("chunk", least=0.3) + ", n AS (SELECT query_id, content, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM found) SELECT a.query_id, CASE WHEN n.query_id IS NULL THEN 'No matching content was found.' ELSE string_split(substr('[1] ' || coalesce(content, ''), 1, 8000), chr(10))[1] END AS answer FROM asked a LEFT JOIN n ON n.query_id = a.query_id AND n.i = 1")
 def l12(s, d):
     """Search, context, answer; no context gives a fixed reply. The stand-in answers with the first line of the prompt."""
     f = found(s, d, least=0.3).join(I.items(s, d).select("id", "content"), "id")
@@ -273,9 +300,9 @@ def l12(s, d):
     return turns.select("query_id", F.when(F.col("context").isNull(), "No matching content was found.").otherwise(answer).alias("answer"))
 
 
-@query("P01_generate", f"WITH {CHUNKS} SELECT id, upper(substr(content, 1, 10)) AS answer FROM chunks")
+@query("P01_generate", f"WITH {CHUNKS} SELECT id, 'length ' || length(content) AS answer FROM chunks")
 def p01(s, d):
-    return I.chunks(s, d).select("id", models.generate(F.substring("content", 1, 10), lambda texts: [t.upper() for t in texts]).alias("answer"))
+    return I.chunks(s, d).select("id", models.generate(F.col("content"), lambda texts: [f"length {len(t)}" for t in texts]).alias("answer"))
 
 
 @query("P05_generation_errors", f"WITH {CHUNKS} SELECT id, CASE WHEN contains(content, '7') THEN '[Generation failed]' ELSE 'ok' END AS answer FROM chunks")

@@ -90,7 +90,7 @@ def deep_entries(sitemaps: DataFrame, root: str, also_named: bool = False) -> Da
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    return pages.dropDuplicates(["loc"])
+    return pages.groupBy("loc").agg(F.min(F.struct("depth", "lastmod", "priority")).alias("p")).select("loc", "p.lastmod", "p.priority", "p.depth")
 
 
 def robots_sitemaps(robots: DataFrame, text: str = "text") -> DataFrame:

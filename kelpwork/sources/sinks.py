@@ -39,6 +39,17 @@ def reindexed(children: DataFrame, fresh: DataFrame, key: str = "document_id") -
     return children.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+def appended(existing: DataFrame, fresh: DataFrame, key: str = "id") -> DataFrame:
+    """``existing`` and the rows of ``fresh`` whose key it does not have; columns that ``fresh`` lacks are null."""
+    new = fresh.join(existing.select(key), key, "left_anti")
+    return existing.unionByName(new.select(*(c for c in existing.columns if c in new.columns)), allowMissingColumns=True)
+
+
+def append_rows(fresh: DataFrame, path: str) -> None:
+    """New part files beside those of the table; nothing that is there is read or written again."""
+    fresh.write.mode("append").parquet(path)
+
+
 def deleted(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among ``keys``; with a child's foreign key this is the cascade."""
     return df.join(keys.select(key).distinct(), key, "left_anti")

@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a
-    temporary folder of this machine is made.
+    A cluster names it in ``spark.checkpoint.dir``; only in local mode, where that is unset, a temporary folder of this
+    machine is made. A cluster without the setting is an error: a folder of one machine is lost with it.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and context.getCheckpointDir() is None and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not named:
         named = "file://" + os.path.join(tempfile.gettempdir(), "kelpwork-checkpoints")
     if context.getCheckpointDir() is None:

@@ -28,6 +28,11 @@ def frame(kind: str, **fields: object) -> str:
     return f"event: {kind}\ndata: {json.dumps(fields, ensure_ascii=False)}\n\n"
 
 
+def frames(rows: DataFrame, kind: str, *columns: str, name: str = "frame") -> DataFrame:
+    """``rows`` with a progress frame of ``columns`` each."""
+    return rows.withColumn(name, F.concat(F.lit(f"event: {kind}\ndata: "), F.to_json(F.struct(*columns)), F.lit("\n\n")))
+
+
 def run_incremental(stream: DataFrame, process: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, send: Callable[[str], None] = lambda f: None) -> StreamingQuery:
     """Process what is available in batches, append the result to ``target`` and send a frame a batch. A batch that is run
     again after a failure overwrites its own partition, so nothing is written twice."""
