@@ -141,18 +141,19 @@ def g02(s, d):
     return r.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-_FIRM = (F.col("confidence") >= 0.5) & F.col("category").isin("SPEC", "DEF", "PROC")
+def _firm():
+    return (F.col("confidence") >= 0.5) & F.col("category").isin("SPEC", "DEF", "PROC")
 
 
 @query("G03_fact_search")
 def g03(s, d):
     """Terms are stems, which SQL does not have; the tests check it by brute force, G03_filtered_dense its dense part."""
-    return _shown(found(s, d, "fact", where=_FIRM))
+    return _shown(found(s, d, "fact", where=_firm()))
 
 
 @query("G03_filtered_dense", _sql_search("fact", where="confidence >= 0.5 AND category IN ('SPEC', 'DEF', 'PROC')", alpha=1.0) + _FOUND)
 def g03d(s, d):
-    return _shown(found(s, d, "fact", where=_FIRM, alpha=1.0))
+    return _shown(found(s, d, "fact", where=_firm(), alpha=1.0))
 
 
 @query("G04_filter_then_slice", _sql_search("llm", k=10, least=0.5) + "SELECT query_id, id, document_id, content, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM found")
