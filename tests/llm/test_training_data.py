@@ -86,6 +86,36 @@ def test_forms_agree_with_python(texts):
         assert form(got)[0] in (got, form(form(got)[0])[0])
 
 
+def restored(*texts):
+    return look_alike.canonical(pa.array(list(texts), pa.string()), restore=True).to_pylist()
+
+
+def test_forms_keep_their_script():
+    russian, greek, korean = "Это сон, а ёлка и май — как всё", "Ο άνθρωπος και η πόλη", "한국어 텍스트 각"
+    for t in (russian, greek, korean):
+        assert restored(t, unicodedata.normalize("NFD", t)) == [unicodedata.normalize("NFC", t)] * 2
+    assert form(unicodedata.normalize("NFD", korean)) == [korean] and form(russian) != [russian]
+    assert restored("Этo coн", "Это сон") == ["Это сон"] * 2 and restored("rеgіоn plаn", "сор", None, "") == ["region plan", "cop", "", ""]
+    assert restored("сор это", "cop это", "сор plan") == ["сор это", "сор это", "cop plan"]  # a word of look-alike letters only follows its text
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("aаoоcсeёéеbdжлλαοpрρ хx́ ", max_size=8), min_size=2, max_size=5))
+def test_equal_keys_are_equal_forms(texts):
+    keys, forms = form(*texts), restored(*texts)
+    assert all((keys[i] == keys[j]) == (forms[i] == forms[j]) for i in range(len(texts)) for j in range(i))
+    assert restored(*texts) == [restored(t)[0] for t in texts]  # a row does not depend on its neighbours
+
+
+def test_same_looking_classes(spark):
+    rows = [(1, "plain text"), (2, "plаin text"), (3, "plain\u00a0text"), (4, "plain text"), (5, "Plain text"), (6, None), (7, ""), (8, "​"), (2, "plаin text"), (9, "eins"), (10, "еins"), (None, "еins")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("class_id", F.lit("x"))
+    assert {tuple(r) for r in look_alike.same_looking_classes(df).collect()} == {(1, 1, 2), (2, 1, 3), (3, 1, 3), (4, 1, 2), (9, 9, 1), (10, 9, 1)}
+    pairs = {(r.doc_a, r.doc_b) for r in look_alike.same_looking_pairs(df).collect()}
+    assert all(sum(i in p for p in pairs) == n for i, _, n in look_alike.same_looking_classes(df).collect())
+    assert look_alike.same_looking_classes(df.where("false")).count() == 0
+
+
 def test_same_looking_pairs(spark):
     rows = [(1, "plain text"), (2, "plаin text"), (3, "plain text"), (4, "plain text"), (5, "Plain text"), (6, None), (7, ""), (8, "​"), (2, "plаin text")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("form", F.lit("x"))
