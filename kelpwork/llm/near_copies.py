@@ -6,7 +6,9 @@ signature values; ``rows`` values form a band, documents that share a band are c
 overlap of the two sets decides.
 
 Scale: documents with the very same set are one class from the start, represented by the smallest id, so
-a text that a third of all rows copies is banded once; classes are expanded only in the result. The sets
+a text that a third of all rows copies is banded once; classes are expanded only in the result of ``near_copy_pairs``, of which the
+pairs of all copies are a part; ``near_copy_groups`` has one row a document. Number and length of the bands follow
+from the threshold. The sets
 (4 bytes a run) are written once to the shared checkpoint folder and read again for the check, so texts
 are read once and never shuffled. Bands are joined with themselves on a 64-bit key by a sort-merge join,
 which spills; candidates are made distinct and pass a comparison of 32-byte sketches before the sets are
@@ -30,9 +32,9 @@ from pyspark.sql import functions as F
 
 from kelpwork.sources.tables import cut, table
 
-#: 192 bands of 5 values: a pair of similarity 0.5 shares no band with probability 0.0023, one of 0.55 with 0.00005;
-#: unrelated pages at 0.05 meet with probability 0.00006.
-PERMUTATIONS, ROWS = 480, 5
+#: A pair at the threshold shares no band with at most this probability, and a set has at most so many values. At 0.5 that makes
+#: 192 bands of 5 values: a pair of 0.55 is lost with 0.00005, unrelated pages at 0.05 meet with 0.00006.
+LOST, VALUES = 0.0023, 960
 #: Sketches of one bit a value. Pairs whose bits differ by more than the mean at the threshold and this many
 #: standard deviations (lost at the threshold: 0.00003) are not given to the exact check.
 SKETCH_BITS, SKETCH_SDS = 256, 4.0
@@ -85,6 +87,18 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), np.uint32), (offsets[1:] - offsets[0]) // 4
 
 
+def band_plan(threshold: float) -> tuple[int, int]:
+    """(bands, values a band) for a threshold: the longest bands for which the values suffice, since longer ones bring fewer
+    candidates."""
+    best = (VALUES, 1)
+    for rows in range(1, 33):
+        hit = threshold**rows
+        count = 1 if hit >= 1 - LOST else int(np.ceil(np.log(LOST) / np.log1p(-hit)))
+        if count * rows <= VALUES:
+            best = (count, rows)
+    return best
+
+
 def run_sets(documents: DataFrame, words: int, doc: str, text: str) -> DataFrame:
     """(doc_id, digest, runs) of each document that has runs."""
 
@@ -116,15 +130,16 @@ def min_max(runs: np.ndarray, ends: np.ndarray, permutations: int) -> np.ndarray
     return out.T
 
 
-def bands(sets: DataFrame, permutations: int, rows: int) -> DataFrame:
-    """(band, doc_id): a 64-bit key for each band of each set."""
+def bands(sets: DataFrame, count: int, rows: int) -> DataFrame:
+    """(band, doc_id): a 64-bit key for each of ``count`` bands of each set."""
+    permutations = -(-count * rows // 2)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 values = min_max(*_flat(b.column(1)), permutations)
-                n = values.shape[1] // rows
+                n = count
                 key = np.broadcast_to(np.arange(n, dtype=np.uint64) + np.uint64(1), (len(values), n)).copy()
                 for r in range(rows):
                     key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + values[:, r : n * rows : rows])
@@ -181,7 +196,7 @@ def _checked(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(make, f"a {kind}, b {kind}, similarity double")
 
 
-def near_copy_classes(documents: DataFrame, threshold: float = 0.8, words: int = 5, doc: str = "doc_id", text: str = "raw_content", permutations: int = PERMUTATIONS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+def near_copy_classes(documents: DataFrame, threshold: float = 0.8, words: int = 5, doc: str = "doc_id", text: str = "raw_content") -> tuple[DataFrame, DataFrame]:
     """(links, copies): (a, b, similarity) between class representatives, and (rep, member) of the classes of
     equal sets that have more than one member, the representative among them."""
     sets = cut(run_sets(documents, words, doc, text))
@@ -192,7 +207,7 @@ def near_copy_classes(documents: DataFrame, threshold: float = 0.8, words: int =
     if surplus.count() <= BROADCAST_IDS:
         surplus = F.broadcast(surplus)
     single = sets.select("doc_id", "runs").join(surplus, "doc_id", "left_anti")
-    keyed = bands(single, permutations, rows)
+    keyed = bands(single, *band_plan(threshold))
     other = keyed.select("band", F.col("doc_id").alias("b"))
     pairs = keyed.select("band", F.col("doc_id").alias("a")).join(other.hint("merge"), "band").where("a < b").select("a", "b").distinct()
     pairs = _alike(pairs, sets, threshold)
@@ -210,10 +225,53 @@ def near_copy_pairs(documents: DataFrame, threshold: float = 0.8, words: int = 5
     return apart.unionByName(within).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(id, root) of every end of ``links`` (a, b): the least id that links lead to. Large and small stars in turn, until nothing
+    changes: the rounds grow with the logarithm of the longest chain. Each round is kept in the checkpoint folder."""
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+
+    def stars(edges: DataFrame, large: bool) -> DataFrame:
+        """Every neighbour above a node (large), or the node and its neighbours below (small), is tied to the least of them all."""
+        ends = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+        least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        tied = ends.join(least, "u")
+        made = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        return made.where("u <> v").distinct()
+
+    state = None
+    while True:
+        edges = cut(stars(cut(stars(edges, True)), False))
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        if now == state:
+            break
+        state = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
+
+
+def near_copy_groups(documents: DataFrame, threshold: float = 0.8, words: int = 5, doc: str = "doc_id", text: str = "raw_content") -> DataFrame:
+    """(doc_id, group_id, links): one row for each document with a near copy: the least id of its group, which links tie together,
+    and the number of documents similar to it. Copies are counted, not expanded: a text that a third of all rows share
+    is one row in every shuffle but the last."""
+    links, copies = near_copy_classes(documents, threshold, words, doc, text)
+    links = cut(links)
+    sizes = copies.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    size = F.coalesce("n", F.lit(1))
+    outer = ends.join(sizes.withColumnRenamed("rep", "b"), "b", "left").groupBy("a").agg(F.sum(size).alias("outer"))
+    reps = outer.select(F.col("a").alias("rep")).unionByName(sizes.select("rep")).distinct()
+    told = reps.join(components(links).withColumnRenamed("id", "rep"), "rep", "left").join(outer.withColumnRenamed("a", "rep"), "rep", "left").join(sizes, "rep", "left")
+    told = told.select("rep", F.coalesce("root", "rep").alias("group_id"), (F.coalesce("outer", F.lit(0)) + size - 1).alias("links"))
+    return told.join(copies, "rep", "left").select(F.coalesce("member", "rep").alias("doc_id"), "group_id", "links")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copy_pairs(table(spark, sf_dir, "documents"), threshold=0.5, words=3)
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copy_groups(table(spark, sf_dir, "documents"), threshold=0.8, words=5)
+
+
 SQL = {
     "p5_found": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(raw_content), '[\p{L}\p{N}]+') AS ws FROM documents),
@@ -223,4 +281,4 @@ n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2)
 SELECT p.a AS doc_a, p.b AS doc_b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE c >= 0.5 * (x.n + y.n - c)"""
 }
-QUERIES = {"p5_found": p5_found}
+QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}

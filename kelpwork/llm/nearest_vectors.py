@@ -125,8 +125,9 @@ def _words(bits: np.ndarray) -> np.ndarray:
     return np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1).view(np.uint64)
 
 
-def candidates(left: np.ndarray, right: np.ndarray, centroid: np.ndarray, turn: np.ndarray, least: float) -> np.ndarray:
-    """Pairs (i, j) of ``left`` x ``right`` whose estimated inner product, plus the bound, reaches ``least``."""
+def candidates(left: np.ndarray, right: np.ndarray, centroid: np.ndarray, turn: np.ndarray, least: float, sds: float = ERROR_SDS) -> np.ndarray:
+    """Pairs (i, j) of ``left`` x ``right`` whose estimated inner product, plus the bound of ``sds`` standard deviations, reaches
+    ``least``."""
     d = left.shape[1]
 
     def residual(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +140,7 @@ def candidates(left: np.ndarray, right: np.ndarray, centroid: np.ndarray, turn:
     bits = o > 0
     code = _words(bits)
     own = np.abs(o).sum(1) / np.sqrt(d)  # <code, residual>
-    bound = ERROR_SDS * np.sqrt(np.maximum(1 - own**2, 0)) / np.maximum(own, 1e-6) / np.sqrt(max(d - 1, 1))
+    bound = sds * np.sqrt(np.maximum(1 - own**2, 0)) / np.maximum(own, 1e-6) / np.sqrt(max(d - 1, 1))
     low = q.min(1)
     step = np.maximum(q.max(1) - low, 1e-12) / 15
     level = np.clip(np.rint((q - low[:, None]) / step[:, None]), 0, 15).astype(np.uint8)
@@ -171,7 +172,7 @@ def _best(a: np.ndarray, b: np.ndarray, micro: np.ndarray, nearest: int) -> np.n
     return order[place < nearest]
 
 
-def search_lists(t: pa.Table, centroids: np.ndarray, turn: np.ndarray, nearest: int, least: float) -> pa.Table:
+def search_lists(t: pa.Table, centroids: np.ndarray, turn: np.ndarray, nearest: int, least: float, sds: float = ERROR_SDS) -> pa.Table:
     """The best partners inside the lists of one group: columns list, side (0 or 1, 2 for both), id, unit."""
     t = t.combine_chunks()
     lists, side, ids = (t[c].to_numpy() for c in ("list", "side", "id"))
@@ -184,7 +185,7 @@ def search_lists(t: pa.Table, centroids: np.ndarray, turn: np.ndarray, nearest:
         left, right = (rows, rows) if both.any() else (rows[side[rows] == 0], rows[side[rows] == 1])
         if not len(left) or not len(right):
             continue
-        pair = candidates(unit[left], unit[right], centroids[one].astype(np.float64), turn, least)
+        pair = candidates(unit[left], unit[right], centroids[one].astype(np.float64), turn, least, sds)
         if both.any():
             pair = pair[pair[:, 0] != pair[:, 1]]
             pair = np.unique(np.sort(pair, axis=1), axis=0) if len(pair) else pair
@@ -198,9 +199,10 @@ def search_lists(t: pa.Table, centroids: np.ndarray, turn: np.ndarray, nearest:
     return pa.table({"a": a, "b": b, "micro": m})
 
 
-def nearest_vectors(vectors: DataFrame, nearest: int = NEAREST, least: float = LEAST, dimension: int = DIMENSION, key: str = "id", vector: str = "dense_embedding") -> DataFrame:
+def nearest_vectors(vectors: DataFrame, nearest: int = NEAREST, least: float = LEAST, dimension: int = DIMENSION, key: str = "id", vector: str = "dense_embedding", exact: bool = False) -> DataFrame:
     """(id, other, similarity) of the ``nearest`` most similar other vectors of each usable vector with a cosine,
-    rounded to six decimals, of at least ``least``; ties by the smaller id."""
+    rounded to six decimals, of at least ``least``; ties by the smaller id. ``exact``: one list, in blocks, all against all, and every
+    pair is reranked that the estimate with a bound of eight standard deviations does not rule out."""
     spark = vectors.sparkSession
     units = usable(vectors, dimension, key, vector)
     kind = units.schema["id"].dataType.simpleString()
@@ -215,7 +217,7 @@ def nearest_vectors(vectors: DataFrame, nearest: int = NEAREST, least: float = L
     drawn = usable(hashed_sample(vectors, key, SAMPLE), dimension, key, vector).select("unit").toArrow()
     sample = _fixed(drawn.combine_chunks()["unit"].chunk(0), dimension) if drawn.num_rows else np.eye(1, dimension)
     sample = np.unique(sample.astype(np.float32), axis=0)
-    centroids = fit_centroids(sample, int(np.clip(total // ROWS_PER_LIST, 1, min(CENTROIDS, len(sample)))))
+    centroids = sample[:1] if exact else fit_centroids(sample, int(np.clip(total // ROWS_PER_LIST, 1, min(CENTROIDS, len(sample)))))
     held = sum(np.bincount(near_lists(sample[i : i + 1000], centroids)[1], minlength=len(centroids)) for i in range(0, len(sample), 1000))
     expected = held * max(1.0, total / max(len(sample), 1))
     blocks = np.maximum(1, np.ceil(expected / LIST_ROWS)).astype(np.int64)
@@ -231,7 +233,7 @@ def nearest_vectors(vectors: DataFrame, nearest: int = NEAREST, least: float = L
                 split = n > 1
                 parts = [(row[~split], one[~split], one[~split] // GROUP, np.full((~split).sum(), 2, np.int8))]
                 for r, l, k in zip(row[split], one[split], n[split]):
-                    own = int(xxhash.xxh32_intdigest(b.column(0)[int(r)].as_py().to_bytes(8, "little", signed=True))) % int(k)
+                    own = xxhash.xxh32_intdigest(str(b.column(0)[int(r)].as_py())) % int(k)
                     mate = np.arange(k)
                     cell = -1 - (l << 32 | np.minimum(own, mate) << 16 | np.maximum(own, mate))
                     parts.append((np.full(k, r), np.full(k, l), cell, np.where(mate == own, 2, mate < own).astype(np.int8)))
@@ -240,7 +242,7 @@ def nearest_vectors(vectors: DataFrame, nearest: int = NEAREST, least: float = L
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(one, pa.int32()), pa.array(side, pa.int8()), b.column(0).take(take), b.column(1).take(take)], ["cell", "list", "side", "id", "unit"])
 
     cells = single.mapInArrow(assign, f"cell bigint, list int, side byte, id {kind}, unit binary")
-    found = cells.groupBy("cell").applyInArrow(lambda t: search_lists(t, index.value[0], index.value[2], nearest, least), f"a {kind}, b {kind}, micro bigint")
+    found = cells.groupBy("cell").applyInArrow(lambda t: search_lists(t, index.value[0], index.value[2], nearest, least, 8.0 if exact else ERROR_SDS), f"a {kind}, b {kind}, micro bigint")
     # copies: each member has the partners of its representative, and the other members
     spread = found.join(first.select(F.col("rep").alias("b"), F.col("member").alias("mb")), "b", "left").select("a", F.coalesce("mb", "b").alias("other"), "micro")
     spread = spread.join(copies.select(F.col("rep").alias("a"), F.col("member").alias("ma")), "a", "left").select(F.coalesce("ma", "a").alias("id"), "other", "micro")

@@ -172,6 +172,52 @@ def test_near_copies_against_brute_force(spark):
     assert near_copies.near_copy_pairs(df.where("false"), 0.5, 3).count() == 0
 
 
+def test_band_plan():
+    assert near_copies.band_plan(0.5) == (192, 5)
+    for t in (0.3, 0.5, 0.65, 0.8, 0.95, 1.0):
+        count, rows = near_copies.band_plan(t)
+        assert count * rows <= near_copies.VALUES and (1 - t**rows) ** count <= near_copies.LOST * 1.001
+
+
+def test_near_copy_groups_against_pairs(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    texts = []
+    for _ in range(12):
+        own = [word() for _ in range(40)]
+        for _ in range(rng.randrange(1, 6)):
+            texts.append(" ".join(own))
+            if rng.random() < 0.7:
+                own[rng.randrange(40)] = word()
+    rows = list(enumerate([*texts, *texts[:4], None, "", "too short"]))
+    df = spark.createDataFrame(rows, "doc_id bigint, raw_content string").withColumn("root", F.lit(1))
+    pairs = [(r.doc_a, r.doc_b) for r in near_copies.near_copy_pairs(df, 0.6, 3).collect()]
+    root = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {i: (root[i], sum(i in p for p in pairs)) for i, _ in rows if any(i in p for p in pairs)}
+    assert {r.doc_id: (r.group_id, r.links) for r in near_copies.near_copy_groups(df, 0.6, 3).collect()} == want
+    assert near_copies.near_copy_groups(df.where("false")).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(1, 3), (3, 9)], "a bigint, b bigint")
+    assert {(r.id, r.root) for r in near_copies.components(chain).collect()} == {(i, 100) for i in range(100, 161)} | {(1, 1), (3, 1), (9, 1)}
+
+
+def test_exact_search_and_other_ids(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 16)) + 1.2
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"v{i:03d}", v.tolist()) for i, v in enumerate(x)], "id string, dense_embedding array<double>")
+    monkeypatch.setattr(nearest_vectors, "LIST_ROWS", 100)  # several blocks
+    got = {(r.id, r.other) for r in nearest_vectors.nearest_vectors(df, 3, 0.5, 16, exact=True).collect()}
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -2)
+    assert got == {(f"v{i:03d}", f"v{j:03d}") for i in range(300) for j in np.lexsort((np.arange(300), -s[i]))[:3] if s[i, j] >= 0.5}
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**32, 300, np.uint32)
