@@ -2,10 +2,10 @@
 
 A batch of texts is cut into pieces by the tokenizer's pattern, its distinct pieces are put into
 length-bucketed, padded matrices of symbol ids, and every matrix is merged round by round: each row
-merges its leftmost pair of minimum rank, looked up in an open-addressed hash table of pairs, and is
-compacted; rows without a pair in the table leave the matrix. In rows longer than ``LONG`` symbols every
-occurrence of the minimum-rank pair is merged in the round (left to right, not overlapping), which gives
-the same ids, since a pair that a merge creates always has a higher rank than the merge itself.
+merges its leftmost pair of minimum rank, looked up in an open-addressed hash table of pairs, and the
+further occurrences of that pair to its right (not overlapping), and is compacted; rows without a pair in the table leave the
+matrix. That is what one leftmost merge a round comes to, since a pair that a merge creates always has a higher rank than
+the merge itself, and one unbroken run of 100,000 letters takes few rounds. Only the pairs beside new symbols are looked up anew.
 
 The vocabulary file is a parameter; the driver reads it once and sends its two arrays (50,000 merges, a
 size fixed by the vocabulary) to the tasks. Pieces already encoded by a Python worker are kept in a
@@ -34,7 +34,7 @@ from kelpwork.sources.tables import table
 
 TOKENIZERS = os.environ.get("KELPWORK_TOKENIZERS", "/opt/tokenizers")
 NAME = "byte_bpe_50k"
-CACHE, LONG = 300_000, 48
+CACHE = 300_000
 #: White space of the pattern: Unicode's, which the regex module's \s is not.
 _S = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
@@ -118,36 +118,31 @@ def _merged(sym: np.ndarray, size: np.ndarray, merges: Merges) -> tuple[np.ndarr
                 return out, sizes
         width = int(size.max())
         sym, rank = sym[:, :width], rank[:, : width - 1]
-        if width <= LONG:
-            at = rank.argmin(axis=1)
-            line = np.arange(len(rows))
-            sym[line, at] = merges.made[best]
-            # compaction: what stands behind the pair moves one to the left
+        hit = rank == best[:, None]
+        if (hit[:, 1:] & hit[:, :-1]).any():  # of a run of equal symbols every other pair
             col = np.arange(width - 1)
-            src = col + (col > at[:, None])
-            sym = np.concatenate([np.where(col <= at[:, None], sym[:, :-1], np.take_along_axis(sym, src, 1)), np.full((len(rows), 1), -1, sym.dtype)], 1)
-            rank = np.concatenate([np.take_along_axis(rank, np.minimum(src, width - 2), 1)[:, : width - 2], np.full((len(rows), 1), _NONE, rank.dtype)], 1)
-            size = size - 1
-            for side in (at - 1, at):  # only the two pairs beside the new symbol are new
-                ok = (side >= 0) & (side + 1 < size)
-                l, s = line[ok], side[ok]
-                rank[l, s] = merges.look(sym[l, s], sym[l, s + 1])
-                bad = (side >= 0) & ~ok & (side < width - 1)
-                rank[line[bad], side[bad]] = _NONE
-        else:
-            hit = rank == best[:, None]
-            for j in range(1, hit.shape[1]) if (hit[:, 1:] & hit[:, :-1]).any() else ():
-                hit[:, j] &= ~hit[:, j - 1]
-            r, c = np.nonzero(hit)
-            sym[r, c] = merges.made[best[r]]
-            keep = np.arange(width) < size[:, None]
-            keep[r, c + 1] = False
-            place = np.cumsum(keep, 1) - 1
-            kr, kc = np.nonzero(keep)
-            packed = np.full_like(sym, -1)
-            packed[kr, place[kr, kc]] = sym[kr, kc]
-            sym, size = packed, keep.sum(1)
-            rank = np.where(np.arange(width - 1) < (size - 1)[:, None], merges.look(sym[:, :-1], np.maximum(sym[:, 1:], 0)), _NONE)
+            first = hit & ~np.pad(hit[:, :-1], ((0, 0), (1, 0)))
+            hit &= (col - np.maximum.accumulate(np.where(first, col, 0), axis=1)) % 2 == 0
+        r, c = np.nonzero(hit)
+        sym[r, c] = merges.made[best[r]]
+        keep = np.arange(width) < size[:, None]
+        keep[r, c + 1] = False
+        place = np.cumsum(keep, 1) - 1
+        kr, kc = np.nonzero(keep)
+        to = place[kr, kc]
+        packed, ranks = np.full_like(sym, -1), np.full((len(rows), width), _NONE, rank.dtype)
+        packed[kr, to] = sym[kr, kc]
+        inner = kc < width - 1
+        ranks[kr[inner], to[inner]] = rank[kr[inner], kc[inner]]
+        sym, size = packed, keep.sum(1)
+        at = place[r, c]
+        for side in (at - 1, at):  # only the pairs beside the new symbols are new
+            ok = (side >= 0) & (side + 1 < size[r])
+            line, left = r[ok], side[ok]
+            ranks[line, left] = merges.look(sym[line, left], sym[line, left + 1])
+        end = at + 1 >= size[r]
+        ranks[r[end], at[end]] = _NONE
+        rank = ranks[:, : width - 1]
     if rank is None:
         out[:] = sym
     return out, sizes

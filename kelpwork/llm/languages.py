@@ -2,7 +2,9 @@
 
 Multilingual mixture inference: byte n-gram models give each line a likelihood in each language;
 expectation-maximisation over the lines of a document estimates the document's language proportions; a
-language stays in the document's set only if leaving it out costs more likelihood than the penalty. The
+language stays in the document's set only if leaving it out costs more likelihood than the penalty. The proportions are
+estimated until they settle (at most ``ROUNDS`` rounds). The languages are a closed set: a text in another language gets the
+nearest of them, with what confidence its n-grams leave. The
 lines then have the language of the largest posterior within the set.
 
 The models are fitted on at most ``SAMPLE`` documents that bear a label (the only place where labels count)
@@ -41,10 +43,11 @@ SEEDS = {
 SAMPLE, REFITS, LINE_WORDS = 4_000, 2, 10
 BUCKETS, SIZES = 1 << 17, (3, 4)
 #: Overlapping n-grams repeat evidence: likelihoods are scaled down by this. Penalty of a language in a document's set, in scaled units.
-TEMPER, PENALTY, ROUNDS = 4.0, 4.0, 8
+TEMPER, PENALTY, ROUNDS, SETTLED = 4.0, 4.0, 100, 1e-3
 #: Smallest probability of an n-gram, in counts of the best known language; what a label adds to the first scores.
 FLOOR, LABEL_WEIGHT = 0.05, 3.0
-_CODE = re.compile(r"^\s*(?:```|\$ |>>> )|[{}]|;\s*$|\w\(.*\)\s*[;:]?$|^\S+\s*=\s*\S+$|^(?:curl|SELECT|export|import|def|for) .*[=(/]")
+#: Code lines begin with a mark of code, or have one sign of code for every three words and four at least: prose has fewer.
+_CODE, _SIGNS, SIGN_WORDS = re.compile(r"\s*(?:```|\$ |>>> )"), re.compile(r"[{}\[\];=<>_\\$]|\w\(|\w\.\w+\("), 3
 
 
 def label_language(label: str | None) -> str | None:
@@ -73,6 +76,10 @@ def word_counts(lines: list[str]) -> np.ndarray:
     return np.diff(np.r_[0, np.cumsum(starts)[ends]])
 
 
+def is_code(line: str, words: int) -> bool:
+    return bool(_CODE.match(line)) or len(_SIGNS.findall(line)) >= max(4, words / SIGN_WORDS)
+
+
 def _grams(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each size: (buckets of all n-grams, first n-gram of each line). Lines end in a space."""
     raw = ("\n".join(lines) + "\n").lower().encode("utf-8", "replace")
@@ -151,7 +158,9 @@ def mixture(score: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[n
             joint = like * share[doc]
             mass = joint.sum(1, keepdims=True)
             post = joint / np.maximum(mass, 1e-300)
-            share = _per(post * weight[:, None], starts)
+            before, share = share, _per(post * weight[:, None], starts)
+            if np.abs(share - before).max() < SETTLED:
+                break
         joint = like * np.maximum(share, 1e-12 * allowed)[doc]
         mass = joint.sum(1)
         return joint / np.maximum(mass, 1e-300)[:, None], share, _per(np.log(np.maximum(mass, 1e-300)), starts)
@@ -176,7 +185,7 @@ def mixture(score: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[n
 
 
 def detect(documents: DataFrame, doc: str = "doc_id", text: str = "raw_content", label: str = "metadata.language", languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """(doc_id, line_no, language, confidence, labelled): line 0 is the document, with the share of its words as
+    """(doc_id, line_no, language, confidence, labelled): line 0 is the document, with the posterior of its language over all of its words as
     confidence and ``labelled`` telling whether its label names that language; lines from 1 are those
     of documents in several languages, with the posterior as confidence."""
     rows = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.col(label).alias("label"))
@@ -202,7 +211,7 @@ def _detected(b: pa.RecordBatch, model: np.ndarray, languages: tuple[str, ...])
     of = np.repeat(np.arange(len(count)), count)
     no = np.arange(len(lines)) - np.repeat(np.cumsum(count) - count, count) + 1
     keep = np.flatnonzero(n >= LINE_WORDS)
-    keep = np.array([i for i in keep if lines[i].count(" | ") < 2 and not _CODE.search(lines[i])], np.int64)
+    keep = np.array([i for i in keep if lines[i].count(" | ") < 2 and not is_code(lines[i], n[i])], np.int64)
     names = ["doc_id", "line_no", "language", "confidence", "labelled"]
     if not len(keep):
         empty = [pa.array([], b.schema.field(0).type), pa.array([], pa.int32()), pa.array([], pa.string()), pa.array([], pa.float64()), pa.array([], pa.bool_())]
@@ -213,6 +222,7 @@ def _detected(b: pa.RecordBatch, model: np.ndarray, languages: tuple[str, ...])
     best = post.argmax(1)
     held = _per(np.eye(len(languages))[best] * words[:, None], starts)
     main = held.argmax(1)
+    sure = _per(post[np.arange(len(keep)), np.repeat(main, np.diff(np.r_[starts, len(keep)]))] * words, starts) / _per(words.astype(float), starts)
     name = np.array(languages, object)
     labels = [label_language(x) for x in b.column(2).take(pa.array(docs)).to_pylist()]
     agree = [x == name[m] for x, m in zip(labels, main)]
@@ -224,7 +234,7 @@ def _detected(b: pa.RecordBatch, model: np.ndarray, languages: tuple[str, ...])
             b.column(0).take(pa.array(take)),
             pa.array(np.r_[np.zeros(len(docs), np.int64), no[keep][line]], pa.int32()),
             pa.array(np.r_[name[main], name[best[line]]], pa.string()),
-            pa.array(np.r_[held.max(1) / held.sum(1), post[line, best[line]]], pa.float64()),
+            pa.array(np.r_[sure, post[line, best[line]]], pa.float64()),
             pa.array([*agree, *[None] * len(line)], pa.bool_()),
         ],
         names,

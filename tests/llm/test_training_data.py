@@ -303,6 +303,20 @@ def test_labels():
     assert {k: languages.label_language(k) for k in same} == same
 
 
+def test_code_lines():
+    prose = ["for many users the new plan (which nobody had seen before) was a surprise", "import duties on spare parts (see table) have risen since May of last year", "a line with {braces} in it is no code just because it has them;", "we said it; they heard it; nobody wrote it down at all, which was bad;"]
+    code = ["$ run the tool with all of the files in the folder now", "for (int i = 0; i < n; i++) { sum[i] = a[i] + b[i]; total_sum += sum[i]; }", "x = [f(a), f(b), f(c)]; y = {k: v for k, v in z.items() if v}"]
+    count = lambda t: int(languages.word_counts([t])[0])
+    assert not any(languages.is_code(t, count(t)) for t in prose) and all(languages.is_code(t, count(t)) for t in code)
+
+
+def test_document_confidence_is_a_posterior(spark):
+    rows = [(1, EN, None), (2, f"{EN}\n{DE}\n{EN}", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, raw_content string, label string")
+    got = {r.doc_id: r.confidence for r in languages.detect(df, label="label").where("line_no = 0").collect()}
+    assert got[1] > 0.99 and 0.5 < got[2] < 0.8
+
+
 def test_languages(spark):
     rows = [(1, f"{EN}\n{EN}", "en"), (2, f"{DE}\n{DE}", "en"), (3, f"{EN}\nshort\n{FR}\n{EN}", "en-GB"), (4, None, "en"), (5, "", None), (6, FR, None), (7, "too short", "de"), (8, DE, "german")]
     df = spark.createDataFrame(rows, "doc_id bigint, raw_content string, l string").select("*", F.struct(F.col("l").alias("language")).alias("metadata"), F.lit(0).alias("line_no"))
