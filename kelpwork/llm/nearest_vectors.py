@@ -3,7 +3,8 @@
 1. Unit vectors are kept as 24-bit fixed-point numbers. Equal vectors (by digest) become one, represented
    by the smallest id and holding its k+1 smallest ids.
 2. Centroids are fitted on a sample of at most ``SAMPLE`` vectors. Every vector goes to its two nearest lists
-   and to all others whose centroid is nearly as near (``MARGIN``, at most ``LISTS``).
+   and to all others whose centroid is nearly as near (``MARGIN``, at most ``LISTS``, both for a least similarity of 0.9 and
+   wider below).
 3. In a list, the residual of each vector against the centroid is rotated at random and kept as one bit a
    dimension in packed words, with its norm and the inner product of code and residual as correction
    scalars. The inner product of two vectors is estimated from the popcounts of the code and the bit planes
@@ -37,7 +38,8 @@ from kelpwork.sources.tables import cut, hashed_sample, table
 
 DIMENSION, NEAREST, LEAST = 64, 5, 0.9
 SAMPLE, CENTROIDS, ROWS_PER_LIST = 32_768, 16_384, 100
-LISTS, MARGIN = 8, 0.03
+#: At least 0.9; both grow in proportion to the distance that the least similarity allows.
+LISTS, MARGIN = 8, 0.05
 LIST_ROWS, GROUP = 16_384, 16
 ERROR_SDS = 3.0
 BROADCAST_IDS = 200_000
@@ -100,15 +102,16 @@ def fit_centroids(sample: np.ndarray, count: int, rounds: int = 4, seed: int = 7
     return c
 
 
-def near_lists(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def near_lists(x: np.ndarray, centroids: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of every list that a row goes to."""
-    k = min(LISTS, len(centroids))
+    wide = max(1.0, (1 - least) / 0.1)
+    k = min(int(LISTS * wide), len(centroids))
     score = x.astype(np.float32) @ centroids.T
     top = np.argpartition(-score, k - 1, axis=1)[:, :k]
     value = np.take_along_axis(score, top, 1)
     order = np.argsort(-value, axis=1)
     top, value = np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
-    go = value >= value[:, :1] - MARGIN
+    go = value >= value[:, :1] - MARGIN * wide
     go[:, :2] = True
     row, at = np.nonzero(go)
     return row, top[row, at]
@@ -218,7 +221,7 @@ def nearest_vectors(vectors: DataFrame, nearest: int = NEAREST, least: float = L
     sample = _fixed(drawn.combine_chunks()["unit"].chunk(0), dimension) if drawn.num_rows else np.eye(1, dimension)
     sample = np.unique(sample.astype(np.float32), axis=0)
     centroids = sample[:1] if exact else fit_centroids(sample, int(np.clip(total // ROWS_PER_LIST, 1, min(CENTROIDS, len(sample)))))
-    held = sum(np.bincount(near_lists(sample[i : i + 1000], centroids)[1], minlength=len(centroids)) for i in range(0, len(sample), 1000))
+    held = sum(np.bincount(near_lists(sample[i : i + 1000], centroids, least)[1], minlength=len(centroids)) for i in range(0, len(sample), 1000))
     expected = held * max(1.0, total / max(len(sample), 1))
     blocks = np.maximum(1, np.ceil(expected / LIST_ROWS)).astype(np.int64)
     index = spark.sparkContext.broadcast((centroids, blocks, rotation(dimension)))
@@ -228,7 +231,7 @@ def nearest_vectors(vectors: DataFrame, nearest: int = NEAREST, least: float = L
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                row, one = near_lists(_fixed(b.column(1), c.shape[1]), c)
+                row, one = near_lists(_fixed(b.column(1), c.shape[1]), c, least)
                 n = cuts[one]
                 split = n > 1
                 parts = [(row[~split], one[~split], one[~split] // GROUP, np.full((~split).sum(), 2, np.int8))]
