@@ -100,10 +100,10 @@ def messages(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-def preferences(s: SparkSession, d: str) -> DataFrame:
+def preferences(s: SparkSession, d: str, judged_rows: DataFrame | None = None) -> DataFrame:
     """Preferences of the judged rows with even id: some without link, some of these with another question, some with an old
     score or no weight."""
-    j = FB.failure_weights(judged(s, d).where("evaluation_id % 2 = 0"))
+    j = FB.failure_weights((judged(s, d) if judged_rows is None else judged_rows).where("evaluation_id % 2 = 0"))
     i = F.col("evaluation_id")
     score = F.when(i % 6 == 0, F.col("judge_mean") + 1).otherwise(F.col("judge_mean"))
     chosen, rejected = FB.label(F.col("judge_mean"), F.col("hallucination"), F.col("failure_type"))

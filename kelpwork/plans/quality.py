@@ -11,6 +11,7 @@ from kelpwork.operators import judging as K
 from kelpwork.operators import metrics as M
 from kelpwork.plans import inputs as I
 from kelpwork.plans.inputs import EVAL, JUDGED, MESSAGES, PREFERENCES, RANKED, SUMMARIES, VOTED, VOTES, failure_weighted
+from kelpwork.sources.tables import cut
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -357,12 +358,14 @@ def m01(s, d):
 
 @query("M02_new_preferences", f"WITH {PREFERENCES}, {failure_weighted('w', 'judged')} SELECT evaluation_id, judge_mean AS quality_score, judge_mean >= 3.5 AND NOT hallucination AND failure_type IS DISTINCT FROM 'retrieval_failure' AS chosen, round(weight, 6) AS training_weight FROM w WHERE evaluation_id NOT IN (SELECT evaluation_id FROM preferences WHERE evaluation_id IS NOT NULL)")
 def m02(s, d):
-    return FB.new_preferences(I.judged(s, d), I.preferences(s, d)).select("evaluation_id", "quality_score", "chosen", F.round("training_weight", 6).alias("training_weight"))
+    j = cut(I.judged(s, d))  # read four times below
+    return FB.new_preferences(j, I.preferences(s, d, j)).select("evaluation_id", "quality_score", "chosen", F.round("training_weight", 6).alias("training_weight"))
 
 
 @query("M03_drifted", f"WITH {PREFERENCES}, {failure_weighted('w', 'judged')}, n AS (SELECT p.id, p.evaluation_id, w.judge_mean AS quality_score, w.judge_mean >= 3.5 AND NOT w.hallucination AND w.failure_type IS DISTINCT FROM 'retrieval_failure' AS chosen, w.judge_mean < 2.5 OR w.hallucination AS rejected, round(coalesce(p.training_weight, w.weight), 6) AS training_weight, p.quality_score AS s0, p.chosen AS c0, p.rejected AS r0 FROM preferences p JOIN w ON p.evaluation_id = w.evaluation_id) SELECT id, evaluation_id, quality_score, chosen, rejected, training_weight FROM n WHERE quality_score IS DISTINCT FROM s0 OR chosen IS DISTINCT FROM c0 OR rejected IS DISTINCT FROM r0")
 def m03(s, d):
-    return FB.drifted(I.preferences(s, d), I.judged(s, d)).withColumn("training_weight", F.round("training_weight", 6))
+    j = cut(I.judged(s, d))
+    return FB.drifted(I.preferences(s, d, j), j).withColumn("training_weight", F.round("training_weight", 6))
 
 
 @query("M04_training_lines", f"WITH {PREFERENCES} SELECT id, generate_series AS copy FROM preferences, generate_series(1, 3) WHERE chosen AND generate_series <= CAST(floor(coalesce(training_weight, 1.0) + 0.5) AS INTEGER)")
