@@ -123,7 +123,7 @@ def training_lines(preferences: DataFrame, only_chosen: bool = True, most: int |
     copies = round_half_up(F.greatest(F.coalesce("training_weight", F.lit(1.0)), F.lit(0.0))).cast("int")
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     asked = F.concat(F.lit("Question: "), "question", F.lit("\nContext: "), F.substring(F.coalesce("context", F.lit("")), 1, context_most))
-    line = F.to_json(F.struct(F.array(message("system", F.lit("Answer only using the provided context.")), message("user", asked), message("assistant", F.col("answer"))).alias("messages")))
+    line = F.to_json(F.struct(F.array(message("system", F.lit("Answer only using the provided context.")), message("user", asked), message("assistant", F.col("answer"))).alias("messages")), {"ignoreNullFields": "false"})
     return rows.select("id", line.alias("line"), F.explode(F.array_repeat(F.lit(1), copies)).alias("one")).select("id", F.row_number().over(W.partitionBy("id").orderBy("one")).alias("copy"), "line")
 
 

@@ -420,3 +420,43 @@ def e10(s, d):
     """Four sentences a fact, in one paragraph."""
     text = F.format_string("Alpha %1$d runs. Beta %1$d waits. Gamma %1$d stops. Delta %1$d ends.", "id")
     return I.facts(s, d).select("id", F.explode(FX.raw_facts_of(text)).alias("f")).select("id", F.col("f.position").cast("bigint").alias("position"), "f.content", F.col("f.source_context").alias("context"))
+
+
+_BUILT = (
+    "<html><head><title>Head {0}</title><style>p {{}}</style></head><body><nav>Menu of all pages</nav><article><h1>Title {0}</h1><p>Some <b>bold</b> text about number {0}, which is long enough to be taken as the article of its page, with <a href=\"/x/{0}\">a link</a> in it.</p>"
+    "<table><tr><th>name</th><th>size</th></tr><tr><td>row {0}</td></tr></table><ul><li>one</li><li>two of {0}</li></ul><pre><code class=\"language-py\">x = {0}</code></pre></article><footer>Foot of the page</footer></body></html>"
+)
+_BUILT_MARKDOWN = "# Title {0}\n\nSome **bold** text about number {0}, which is long enough to be taken as the article of its page, with [a link](/x/{0}) in it.\n\n| name | size |\n| --- | --- |\n| row {0} |   |\n\n- one\n- two of {0}\n\n```py\nx = {0}\n```"
+_BUILT_TEXT = "Title {0} Some bold text about number {0}, which is long enough to be taken as the article of its page, with a link in it. name size row {0} one two of {0} x = {0}"
+
+
+def _sql_filled(text: str) -> str:
+    return "replace('" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "', '{0}', CAST(doc_id AS VARCHAR))"
+
+
+@query("C16_built_pages", f"SELECT doc_id, 'Title ' || doc_id AS title, {_sql_filled(_BUILT_MARKDOWN)} AS markdown, {_sql_filled(_BUILT_TEXT)} AS text, true AS has_code, 'en' AS language FROM documents")
+def c16b(s, d):
+    """A page of every kind of block for each document: menus and footers go, the rest becomes markdown."""
+    page = F.replace(F.lit(_BUILT.replace("{{}}", "{}")), F.lit("{0}"), F.col("doc_id").cast("string"))
+    return markup.extract_pages(I.documents(s, d).select("doc_id", page.alias("raw_html"))).select("doc_id", "title", "markdown", F.trim(F.regexp_replace("text", " +", " ")).alias("text"), "has_code", "language")
+
+
+_PARTS = "SELECT doc_id, 'First ' || doc_id || repeat(' alpha', 240) AS a, 'Second ' || doc_id || repeat(' gamma', 200) AS b, 'The end of page ' || doc_id || '.' AS c FROM documents"
+
+
+@query("D06_packed_paragraphs", f"WITH p AS ({_PARTS}), t AS (SELECT *, substr(right(a, 512), strpos(right(a, 512), ' ') + 1) AS rest FROM p), k AS (SELECT doc_id, 0 AS chunk_index, a AS content, 0 AS start_char FROM t UNION ALL SELECT doc_id, 1, rest || chr(10) || chr(10) || b || chr(10) || chr(10) || c, length(a) - length(rest) FROM t) SELECT doc_id, chunk_index, content, CAST(ceil(length(content) / 4.0) AS INTEGER) AS token_count, CAST(start_char AS INTEGER) AS start_char FROM k")
+def d06(s, d):
+    """Three paragraphs, of which the first fills a chunk and hands its tail to the next."""
+    i = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("First "), i, F.repeat(F.lit(" alpha"), F.lit(240)), F.lit("\n\nSecond "), i, F.repeat(F.lit(" gamma"), F.lit(200)), F.lit("\n\nThe end of page "), i, F.lit("."))
+    return chunking.chunk_documents(I.documents(s, d).select("doc_id", text.alias("markdown"))).select("doc_id", "chunk_index", "content", "token_count", "start_char")
+
+
+@query("D09_split_tables", "SELECT doc_id, 120 AS rows FROM documents")
+def d09(s, d):
+    """A long table is split into parts under one header: all rows come out once, each part with the header and within the bound."""
+    row = lambda k: F.concat(F.lit("| row "), k.cast("string"), F.lit(" of document "), F.col("doc_id").cast("string"), F.lit(" | "), F.repeat(F.lit("x"), F.lit(20)), F.lit(" |"))
+    text = F.concat(F.lit("| name | size |\n| --- | --- |\n"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(119)), row), "\n"))
+    made = chunking.chunk_documents(I.documents(s, d).select("doc_id", text.alias("markdown")))
+    fair = made.where("startswith(content, '| name | size |\\n| --- | --- |\\n') AND chunk_type = 'table' AND token_count <= 512")
+    return fair.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.size(F.split("content", "\n")) - 2).alias("rows")).where("parts > 1").select("doc_id", "rows")

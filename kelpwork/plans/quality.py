@@ -373,7 +373,7 @@ def m04(s, d):
     return FB.training_lines(I.preferences(s, d), most=None).select("id", "copy")
 
 
-@query("M04_training_text")
+@query("M04_training_text", f"WITH {PREFERENCES} SELECT id, generate_series AS copy, to_json({{'messages': [{{'role': 'system', 'content': 'Answer only using the provided context.'}}, {{'role': 'user', 'content': 'Question: ' || question || chr(10) || 'Context: ' || substr(coalesce(context, ''), 1, 6000)}}, {{'role': 'assistant', 'content': answer}}]}}) AS line FROM preferences, generate_series(1, 3) WHERE chosen AND generate_series <= CAST(floor(coalesce(training_weight, 1.0) + 0.5) AS INTEGER)")
 def m04b(s, d):
     return FB.training_lines(I.preferences(s, d), most=None)
 

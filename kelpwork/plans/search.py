@@ -47,6 +47,22 @@ def f03(s, d):
     return I.chunks(s, d).select("id", terms.stemmed("content").alias("stems"))
 
 
+# Examples of Porter's publication, each word with its stem.
+_KNOWN_STEMS = "caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss failing fail filing file happy happi sky sky relational relat conditional condit rational ration digitizer digit operator oper feudalism feudal decisiveness decis hopefulness hope triplicate triplic formative form formalize formal electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin adjustable adjust replacement replac adoption adopt activate activ effective effect probate probat rate rate cease ceas controlling control roll roll".split()
+
+
+@query("F03_known_stems", "SELECT * FROM (VALUES " + ", ".join(f"('{w}', ['{t}'])" for w, t in zip(_KNOWN_STEMS[::2], _KNOWN_STEMS[1::2])) + ") AS t(word, stems)")
+def f03k(s, d):
+    return s.createDataFrame([(w,) for w in _KNOWN_STEMS[::2]], "word string").select("word", terms.stemmed("word").alias("stems"))
+
+
+@query("F05_known_weights", f"WITH {CHUNKS}, t AS (SELECT id, unnest(['gatewai', 'archiv', 'number' || id]) AS term, unnest([3, 2, 1]) AS n, 6 AS len FROM chunks) SELECT id, term, round(n / (n + 1.5 * (0.25 + 0.75 * len / 200)), 6) AS weight FROM t")
+def f05k(s, d):
+    """Six words of which stems and counts are known."""
+    text = F.concat(F.lit("The gateway, gateways of the GATEWAY: archive archived number"), F.col("id").cast("string"))
+    return I.chunks(s, d).select("id", F.explode(terms.sparse_vector(text)).alias("term", "weight")).select("id", "term", F.round("weight", 6).alias("weight"))
+
+
 @query("F04_term_frequency")
 def f04(s, d):
     words = I.chunks(s, d).select("id", F.explode(terms.stemmed("content")).alias("term"))
@@ -231,7 +247,18 @@ def h04(s, d):
     return R.fused(one.select(columns).unionByName(two.select(columns))).select("query_id", "id", F.round("fused", 6).alias("fused"), F.round("score", 6).alias("score"))
 
 
-@query("H05_diverse")
+def _sql_diverse() -> str:
+    """Four greedy choices of ten, one after the other."""
+    parts = ["c AS (SELECT query_id, count(*) AS c FROM found GROUP BY query_id), many AS (SELECT f.*, 0.0 AS near FROM found f JOIN c USING (query_id) WHERE c > 4)", "p1 AS (SELECT * FROM many WHERE rank = 1)"]
+    for k in (2, 3, 4):
+        old = "many" if k == 2 else f"s{k - 1}"
+        parts.append(f"s{k} AS (SELECT s.* EXCLUDE (near), greatest(s.near, list_cosine_similarity(s.dense, p.dense)) AS near FROM {old} s JOIN p{k - 1} p ON s.query_id = p.query_id WHERE s.id <> p.id)")
+        parts.append(f"p{k} AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 0.5 * score - 0.5 * near DESC, rank) AS n FROM s{k}) WHERE n = 1)")
+    taken = " UNION ALL ".join(f"SELECT query_id, id, {k} AS place FROM p{k}" for k in (1, 2, 3, 4))
+    return _sql_search("chunk", k=10) + ", " + ", ".join(parts) + f" {taken} UNION ALL SELECT query_id, id, CAST(rank AS INTEGER) FROM found JOIN c USING (query_id) WHERE c <= 4"
+
+
+@query("H05_diverse", _sql_diverse())
 def h05(s, d):
     return R.diverse(found(s, d, k=10).join(I.items(s, d).select("id", "dense"), "id"), 4)
 
