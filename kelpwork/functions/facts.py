@@ -17,17 +17,40 @@ from pyspark.sql import types as X
 from kelpwork.functions.text import ascii_words
 
 # Abbreviations, keywords by category (English and German), and marks of what is no fact.
-ABBREVIATIONS = "dr mr mrs ms prof inc ltd jr sr vs etc e.g i.e M.Sc B.Sc Ph.D M.A B.A Mag Dipl inkl bzw ggf usw z.B d.h u.a sog ca Nr Str Abs Tel bzgl".split()
+ABBREVIATIONS = (
+    "dr", "mr", "mrs", "ms", "prof", "inc", "ltd", "jr", "sr", "vs", "etc", "e.g", "i.e", "M.Sc", "B.Sc", "Ph.D", "M.A", "B.A", "Mag", "Dipl", "inkl",
+    "bzw", "ggf", "usw", "z.B", "d.h", "u.a", "sog", "ca", "Nr", "Str", "Abs", "Tel", "bzgl",
+)
 KEYWORDS = {
-    "SPEC": "parameter|value|dimension|size|width|height|version|limit|maximum|minimum|default|configuration|setting|requirement|specification|standard|format|type|unit|measure|metric|kb|mb|gb|ms|seconds|minutes|maximal|minimal|bis zu|mindestens|größe|anzahl|kapazität|speicher|zeitlimit|frist".split("|"),
-    "PROC": "step|first|then|next|finally|process|procedure|method|approach|how to|install|configure|setup|create|build|run|execute|deploy|start|stop|click|select|enter|press|navigate|open|close|schritt|zuerst|dann|anschließend|danach|klicken|wählen|eingeben|öffnen|starten|beenden|installieren|konfigurieren|erstellen|ausführen|navigieren|auswählen".split("|"),
-    "DEF": "is|are|means|refers to|defined as|known as|represents|describes|indicates|denotes|consists of|comprises|includes|contains|explanation|concept|ist ein|ist eine|sind|bedeutet|bezeichnet|umfasst|beinhaltet|besteht aus|ermöglicht|erlaubt|definiert als".split("|"),
-    "REL": "compared to|versus|vs|similar to|different from|related to|depends on|requires|uses|based on|derived from|extends|implements|inherits|connects|integrates|links|associated|connected|verglichen mit|im vergleich zu|basiert auf|verwendet|benötigt|integriert|verbunden mit|abhängig von|erfordert|unterstützt".split("|"),
+    "SPEC": (
+        "parameter", "value", "dimension", "size", "width", "height", "version", "limit", "maximum", "minimum", "default", "configuration", "setting",
+        "requirement", "specification", "standard", "format", "type", "unit", "measure", "metric", "kb", "mb", "gb", "ms", "seconds", "minutes",
+        "maximal", "minimal", "bis zu", "mindestens", "größe", "anzahl", "kapazität", "speicher", "zeitlimit", "frist",
+    ),
+    "PROC": (
+        "step", "first", "then", "next", "finally", "process", "procedure", "method", "approach", "how to", "install", "configure", "setup", "create",
+        "build", "run", "execute", "deploy", "start", "stop", "click", "select", "enter", "press", "navigate", "open", "close", "schritt", "zuerst",
+        "dann", "anschließend", "danach", "klicken", "wählen", "eingeben", "öffnen", "starten", "beenden", "installieren", "konfigurieren",
+        "erstellen", "ausführen", "navigieren", "auswählen",
+    ),
+    "DEF": (
+        "is", "are", "means", "refers to", "defined as", "known as", "represents", "describes", "indicates", "denotes", "consists of", "comprises",
+        "includes", "contains", "explanation", "concept", "ist ein", "ist eine", "sind", "bedeutet", "bezeichnet", "umfasst", "beinhaltet",
+        "besteht aus", "ermöglicht", "erlaubt", "definiert als",
+    ),
+    "REL": (
+        "compared to", "versus", "vs", "similar to", "different from", "related to", "depends on", "requires", "uses", "based on", "derived from",
+        "extends", "implements", "inherits", "connects", "integrates", "links", "associated", "connected", "verglichen mit", "im vergleich zu",
+        "basiert auf", "verwendet", "benötigt", "integriert", "verbunden mit", "abhängig von", "erfordert", "unterstützt",
+    ),
 }
 NOT_FACTS = (r"^\s*$", r"^(note|warning|tip|important|caution):", r"^(see also|related|learn more)", r"^(click here|read more|continue)", r"^\d+\.\s*$", r"^[-*•]\s*$", r"^(copyright|©|all rights reserved)")
 HEDGES = ("maybe", "perhaps", "might", "could be", "possibly", "probably")
-_COMMON = frozenset("The This That These Those It They We You I".split())
+# Capitalised words that name nothing.
+_COMMON = frozenset(("The", "This", "That", "These", "Those", "It", "They", "We", "You", "I"))
+# Lengths and confidence of facts, and their most for a page.
 SHORTEST, LONGEST, LEAST, MOST = 10, 500, 0.45, 200
+# Patterns of units, definitions, names, technical words, assertions, vague and open words, and procedures.
 _UNIT = r"\d+(\.\d+)?\s*(kb|mb|gb|ms|s|px|%|em|rem)"
 _DEFINES = r"\bis\s+(a|an|the)\b|\bare\s+(a|an|the)?\s*\w+"
 CAPITALS = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"

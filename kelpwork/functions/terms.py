@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as X
 
 # The English stop words of the sparse vectors.
-STOP_WORDS = frozenset(
-    "the a an and or but is are was were be been being have has had do does did will would could should may might must shall to of in for on with at by from as "
-    "into through during before after above below between under again further then once i you he she it we they me him her us them my your his its our their "
-    "this that these those what which who whom how when where why all each every both few more most other some such no nor not only own same so than too very just can".split()
-)
+STOP_WORDS = frozenset((
+    "the", "a", "an", "and", "or", "but", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will",
+    "would", "could", "should", "may", "might", "must", "shall", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through",
+    "during", "before", "after", "above", "below", "between", "under", "again", "further", "then", "once", "i", "you", "he", "she", "it", "we",
+    "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their", "this", "that", "these", "those", "what", "which", "who",
+    "whom", "how", "when", "where", "why", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only",
+    "own", "same", "so", "than", "too", "very", "just", "can",
+))
 K1, B, AVERAGE = 1.5, 0.75, 200
 _WORD = re.compile(r"[a-zа-яё0-9_]+")
 _VOWEL = "aeiou"

@@ -23,6 +23,7 @@ def unjudged(evaluation: DataFrame, judged: DataFrame, pipelines: list[str] | No
 def parsed_reply(reply: Column) -> Column:
     """Scores from a judge's reply: a bare object, one in a fence or one in prose, the first whose three scores are within
     1 to 5; null if there is none."""
+    # fixed values: the three shapes in which judges reply
     texts = (F.regexp_extract(reply, r"(?s)^\s*(\{.*\})\s*$", 1), F.regexp_extract(reply, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.regexp_extract(reply, r'(\{[^{}]*"groundedness"[^{}]*\})', 1))
 
     def read(text: Column) -> Column:
