@@ -291,6 +291,18 @@ def test_mixing(spark):
     assert source_mix.mix(counts, targets.where("false"))[0].agg(F.sum("copies")).first()[0] == 0
 
 
+def test_mix_of_an_asked_size(spark):
+    counts = spark.createDataFrame([(i, "ab"[i % 2], 10 + i % 7) for i in range(400)] + [(0, "b", 99)], "doc_id bigint, source string, n_tokens bigint").groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("r")).select("doc_id", "r.*")
+    targets = spark.createDataFrame([("a", 0.75, 2), ("b", 0.25, 1)], "source string, target_share double, max_repeats int")
+    for asked, reached in ((1_000, 1_000), (10**6, None)):
+        mixed, found = source_mix.mix(counts, targets, asked)
+        got = {r.source: r for r in source_mix.shares(mixed, targets, found).collect()}
+        assert abs(got["a"].reached_share - 0.75) < 0.01 and got["a"].most_copies <= 2 and got["b"].most_copies <= 1
+        assert got["a"].asked_tokens == 0.75 * asked
+        whole = got["a"].tokens + got["b"].tokens
+        assert abs(whole - reached) < 40 if reached else got["a"].missing_tokens > 0.9 * 0.75 * asked
+
+
 # p3: languages --------------------------------------------------------------------------------------------------------------
 
 
