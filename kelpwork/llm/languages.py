@@ -43,7 +43,7 @@ SEEDS = {
 SAMPLE, REFITS, LINE_WORDS = 4_000, 2, 10
 BUCKETS, SIZES = 1 << 17, (3, 4)
 #: Overlapping n-grams repeat evidence: likelihoods are scaled down by this. Penalty of a language in a document's set, in scaled units.
-TEMPER, PENALTY, ROUNDS, SETTLED = 4.0, 4.0, 100, 1e-3
+TEMPER, PENALTY, ROUNDS, SETTLED = 4.0, 4.0, 100, 1e-2
 #: Smallest probability of an n-gram, in counts of the best known language; what a label adds to the first scores.
 FLOOR, LABEL_WEIGHT = 0.05, 3.0
 #: Code lines begin with a mark of code, or have one sign of code for every three words and four at least: prose has fewer.
