@@ -11,7 +11,8 @@ pairs of all copies are a part; ``near_copy_groups`` has one row a document. Num
 from the threshold. The sets
 (4 bytes a run) are written once to the shared checkpoint folder and read again for the check, so texts
 are read once and never shuffled. Bands are joined with themselves on a 64-bit key by a sort-merge join,
-which spills; candidates are made distinct and pass a comparison of 32-byte sketches before the sets are
+which spills; a band that more than ``HOT`` documents share is cut into cells that meet in keys of their own, so that
+no task holds more than two cells; candidates are made distinct and pass a comparison of 32-byte sketches before the sets are
 attached. The ids of copies are broadcast
 only if they were counted to be few, otherwise they are joined.
 
@@ -39,6 +40,8 @@ LOST, VALUES = 0.0023, 960
 #: standard deviations (lost at the threshold: 0.00003) are not given to the exact check.
 SKETCH_BITS, SKETCH_SDS = 256, 4.0
 BROADCAST_IDS = 200_000
+#: Documents of a band from which it is cut into cells, and the share of the documents (one in so many) that tells such bands.
+HOT, DRAWN = 2_000, 16
 _WORD = re.compile(r"[^\W_]+")
 _words: dict[str, int] = {}
 
@@ -196,6 +199,33 @@ def _checked(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(make, f"a {kind}, b {kind}, similarity double")
 
 
+def _candidates(keyed: DataFrame, drawn: DataFrame, times: int) -> DataFrame:
+    """(a, b), distinct, a < b: documents that share a band.
+
+    A band of more than about ``HOT`` documents, as the bands ``drawn`` of one in ``times`` documents tell, is cut into cells of
+    about that many by a hash of the document, and cell meets cell under a key of its own, each pair of cells once: a document
+    goes to as many keys as its band has cells, no key holds more than two cells, and no pair is left out, however well the
+    hot bands are told."""
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+    counted = drawn.groupBy("band").agg((F.count(F.lit(1)) * times).alias("n")).where((F.col("n") > HOT) & (F.col("n") > times))
+    hot = cut(counted.select("band", F.ceil(F.col("n") / HOT).cast("int").alias("cells")))
+    if hot.isEmpty():
+        cold, split = keyed, None
+    else:  # the keys of hot bands are few: at most the rows over HOT
+        cold = keyed.join(hot, "band", "left_anti")
+        cell = F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int")
+        split = keyed.join(hot, "band").withColumn("cell", cell).select("band", "doc_id", "cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("mate"))
+        split = split.select("doc_id", "cell", F.struct("band", F.least("cell", "mate").alias("x"), F.greatest("cell", "mate").alias("y")).alias("band"))
+    other = cold.select("band", F.col("doc_id").alias("b"))
+    pairs = cold.select("band", F.col("doc_id").alias("a")).join(other.hint("merge"), "band").where("a < b").select("a", "b")
+    if split is not None:
+        left = split.where("cell = band.x").select("band", F.col("doc_id").alias("a"))
+        right = split.where("cell = band.y").select("band", F.col("doc_id").alias("b"))
+        met = left.join(right.hint("merge"), "band").where("a <> b")
+        pairs = pairs.unionByName(met.select(F.least("a", "b").cast(kind).alias("a"), F.greatest("a", "b").cast(kind).alias("b")))
+    return pairs.distinct()
+
+
 def near_copy_classes(documents: DataFrame, threshold: float = 0.8, words: int = 5, doc: str = "doc_id", text: str = "raw_content") -> tuple[DataFrame, DataFrame]:
     """(links, copies): (a, b, similarity) between class representatives, and (rep, member) of the classes of
     equal sets that have more than one member, the representative among them."""
@@ -207,10 +237,9 @@ def near_copy_classes(documents: DataFrame, threshold: float = 0.8, words: int =
     if surplus.count() <= BROADCAST_IDS:
         surplus = F.broadcast(surplus)
     single = sets.select("doc_id", "runs").join(surplus, "doc_id", "left_anti")
-    keyed = bands(single, *band_plan(threshold))
-    other = keyed.select("band", F.col("doc_id").alias("b"))
-    pairs = keyed.select("band", F.col("doc_id").alias("a")).join(other.hint("merge"), "band").where("a < b").select("a", "b").distinct()
-    pairs = _alike(pairs, sets, threshold)
+    plan = band_plan(threshold)
+    drawn = bands(single.where(F.pmod(F.xxhash64("doc_id"), F.lit(DRAWN)) == 0), *plan)
+    pairs = _alike(_candidates(bands(single, *plan), drawn, DRAWN), sets, threshold)
     whole = sets.select("doc_id", "runs")
     held = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("runs").alias("x")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("runs").alias("y")), "b")
     return _checked(held.select("a", "b", "x", "y"), threshold).dropDuplicates(["a", "b"]), copies

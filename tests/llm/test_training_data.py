@@ -201,6 +201,16 @@ def test_near_copy_groups_against_pairs(spark):
     assert near_copies.near_copy_groups(df.where("false")).count() == 0
 
 
+def test_hot_bands_lose_no_pair(spark, monkeypatch):
+    rows = [("hot", i) for i in range(57)] + [("warm", i) for i in (3, 7, 90)] + [("alone", 5)]
+    keyed = spark.createDataFrame([(sum(map(ord, b)), i) for b, i in rows], "band bigint, doc_id bigint")
+    want = {(a, b) for a, b in itertools.combinations(range(57), 2)} | {(3, 90), (7, 90)}
+    for most in (2_000, 10):
+        monkeypatch.setattr(near_copies, "HOT", most)
+        got = [tuple(r) for r in near_copies._candidates(keyed, keyed.where('doc_id % 2 = 0'), 2).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(1, 3), (3, 9)], "a bigint, b bigint")
     assert {(r.id, r.root) for r in near_copies.components(chain).collect()} == {(i, 100) for i in range(100, 161)} | {(1, 1), (3, 1), (9, 1)}
