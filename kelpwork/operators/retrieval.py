@@ -96,11 +96,12 @@ def dense_search(queries: DataFrame, items: DataFrame, k: int, least: float = 0.
     return found.where(F.col("dense_score") >= least).withColumnRenamed("dense_score", "score")
 
 
-def hybrid_search(queries: DataFrame, items: DataFrame, k: int, alpha: float = ALPHA, least: float = LEAST, pool: int = POOL, where: Column | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, items: DataFrame, k: int, alpha: float = ALPHA, least: float = LEAST, pool: int = POOL, where: Column | None = None, index: Callable[[DataFrame, DataFrame, int], DataFrame] = dense_pool) -> DataFrame:
     """(query_id, id, document_id, score, rank): dense pool of ``pool`` x k, rescored with the sparse vectors, cut to k, then
-    to scores of at least ``least``. ``where`` filters the items before."""
+    to scores of at least ``least``. ``where`` filters the items before. ``index`` gives the dense pool (query_id, id,
+    dense_score): the exact scan, or an approximate index of the same form."""
     live = items if where is None else items.where(where)
-    found = dense_pool(queries, live, pool * k)
+    found = index(queries, live, pool * k)
     held = found.join(live.select("id", "document_id", F.col("sparse").alias("item_sparse")), "id").join(queries.select("query_id", "sparse"), "query_id")
     score = F.round(hybrid(F.col("dense_score"), weighted_jaccard(F.col("sparse"), F.col("item_sparse")), alpha), 9)
     ranked = best(held.select("query_id", "id", "document_id", score.alias("score")), k)
