@@ -460,3 +460,26 @@ def d09(s, d):
     made = chunking.chunk_documents(I.documents(s, d).select("doc_id", text.alias("markdown")))
     fair = made.where("startswith(content, '| name | size |\\n| --- | --- |\\n') AND chunk_type = 'table' AND token_count <= 512")
     return fair.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.size(F.split("content", "\n")) - 2).alias("rows")).where("parts > 1").select("doc_id", "rows")
+
+
+@query("D07_packed_sentences", "WITH p AS (SELECT doc_id, list_transform(range(1, 61), lambda k: 'Sentence ' || lpad(CAST(k AS VARCHAR), 2, '0') || ' of page ' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || ' goes.') AS l FROM documents), a AS (SELECT doc_id, array_to_string(l[1:58], ' ') AS a, array_to_string(l[59:60], ' ') AS b FROM p), t AS (SELECT *, substr(right(a, 512), strpos(right(a, 512), ' ') + 1) AS rest FROM a), k AS (SELECT doc_id, 0 AS chunk_index, a AS content, 0 AS start_char FROM t UNION ALL SELECT doc_id, 1, rest || ' ' || b, length(a) - length(rest) FROM t) SELECT doc_id, chunk_index, content, CAST(start_char AS INTEGER) AS start_char FROM k")
+def d07(s, d):
+    """Sixty sentences of 34 characters in one paragraph: 58 fill a chunk."""
+    one = lambda k: F.concat(F.lit("Sentence "), F.lpad(k.cast("string"), 2, "0"), F.lit(" of page "), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(" goes."))
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), one), " ")
+    return chunking.chunk_documents(I.documents(s, d).select("doc_id", text.alias("markdown"))).select("doc_id", "chunk_index", "content", "start_char")
+
+
+@query("D08_windows", "WITH t AS (SELECT doc_id, 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || repeat(' alpha', 500) AS t FROM documents) SELECT doc_id, 0 AS chunk_index, substr(t, 1, 2044) AS content, 0 AS start_char FROM t UNION ALL SELECT doc_id, 1, substr(t, 1533), 1532 FROM t")
+def d08(s, d):
+    """A run of words without stop: windows cut at their last blank, which overlap."""
+    text = F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.repeat(F.lit(" alpha"), F.lit(500)))
+    return chunking.chunk_documents(I.documents(s, d).select("doc_id", text.alias("markdown"))).select("doc_id", "chunk_index", "content", "start_char")
+
+
+@query("E01_built_facts", "SELECT doc_id, k AS fact_index, CASE k WHEN 0 THEN 'The gateway ' || doc_id || ' is a store of at most 20 entries.' ELSE 'Press the red button ' || doc_id || ' now' END AS content, CASE k WHEN 0 THEN 'DEF' ELSE 'PROC' END AS category, CASE k WHEN 0 THEN 0.65 ELSE 0.55 END AS confidence, 'Limits' AS heading FROM documents, (SELECT unnest([0, 1]) AS k)")
+def e01b(s, d):
+    """A definition, a hedge that is no fact and a list item, under a heading too short for a fact; the item comes once."""
+    text = F.format_string("## Limits\n\nThe gateway %1$d is a store of at most 20 entries. Maybe it grows.\n\n- Press the red button %1$d now", "doc_id")
+    made = FX.extract_facts(I.documents(s, d).select("doc_id", text.alias("markdown")))
+    return made.select("doc_id", "fact_index", "content", "category", F.round("confidence", 6).alias("confidence"), "heading")
