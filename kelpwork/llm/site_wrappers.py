@@ -46,7 +46,7 @@ from kelpwork.llm import page_streams
 from kelpwork.sources.tables import cut, table
 
 GROUP_ROWS, BROADCAST_FIELDS, BROADCAST_WORDS, BROADCAST_BYTES = 3_000, 100_000, 200_000, 32_000_000
-ALIGNED_WORDS, ALIKE, SHARED_HOSTS = 30, 0.5, 3
+ALIGNED_WORDS, ALIKE, SHARED_HOSTS, SHRINKING = 30, 0.5, 3, 0.8
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>|<!--.*?(?:-->|$)|<![^>]*>", re.S)
 _ATTR = re.compile(r"""\b(class|role|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -595,13 +595,21 @@ def _aligned(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def wrapper_fields(blocks: DataFrame) -> DataFrame:
-    """(host, sig, pattern, pages, times): the fields of each host's site matter, as JSON lists of words and nulls for slots."""
-    groups = blocks.groupBy("host").agg((F.floor(F.count(F.lit(1)) / GROUP_ROWS) + 1).alias("groups"))
-    salted = blocks.join(groups, "host").withColumn("salt", F.pmod(F.xxhash64("pattern"), F.col("groups")))
-    part = salted.select("host", "sig", "pattern", "pages", "times", "salt").groupBy("host", "salt").applyInPandas(lambda pdf: _aligned(pdf.drop(columns="salt")), _FIELDS)
-    # patterns of one shape from several groups are added up; then the patterns of a host are aligned once more
-    part = part.groupBy("host", "sig", "pattern").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"))
-    return part.groupBy("host").applyInPandas(_aligned, _FIELDS).where("pages > 1")  # only now: variants of a field may stand one to a group
+    """(host, sig, pattern, pages, times): the fields of each host's site matter, as JSON lists of words and nulls for slots.
+
+    Blocks are aligned in salted groups of about ``GROUP_ROWS``, the patterns that these leave are added up and aligned in groups again,
+    until the largest host is one group or aligning in groups leaves no fewer; then each host's patterns are aligned together."""
+    rows, last = blocks, None
+    while True:
+        counted = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        most = counted.agg(F.max("n")).first()[0] or 0
+        if last is not None and (most <= GROUP_ROWS or most > SHRINKING * last):
+            break
+        groups = counted.select("host", (F.floor(F.col("n") / GROUP_ROWS) + 1).alias("groups"))
+        salted = rows.join(groups, "host").withColumn("salt", F.pmod(F.xxhash64("pattern", F.lit(most)), F.col("groups")))
+        part = salted.select("host", "sig", "pattern", "pages", "times", "salt").groupBy("host", "salt").applyInPandas(lambda pdf: _aligned(pdf.drop(columns="salt")), _FIELDS)
+        rows, last = cut(part.groupBy("host", "sig", "pattern").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"))), most
+    return rows.groupBy("host").applyInPandas(_aligned, _FIELDS).where("pages > 1")  # only now: variants of a field may stand one to a group
 
 
 def site_fields(documents: DataFrame, host: str = "domain", markup: str = "raw_html", content: str = "raw_content") -> DataFrame:
