@@ -72,6 +72,24 @@ def a05(s, d):
     return crawl.robots_sitemaps(I.documents(s, d).where("domain IS NOT NULL").select("doc_id", text.alias("text"))).select("doc_id", "sitemaps")
 
 
+def _probed(url: str) -> tuple[str, int, str]:
+    """Stands in for a request: documentation has an index, help a folder, all else nothing."""
+    if "//docs." in url:
+        return url, 200 if url.endswith("/sitemap_index.xml") else 404, ""
+    if "//help." in url and url.endswith("/sitemaps/sitemap.xml"):
+        return url, 204, ""
+    raise ConnectionError("refused")
+
+
+@query("A05_discovered_sitemaps", "SELECT 'https://' || domain AS origin, CASE WHEN length(domain) % 2 = 0 THEN ['https://' || domain || '/a.xml'] WHEN starts_with(domain, 'docs.') THEN ['https://' || domain || '/sitemap_index.xml'] WHEN starts_with(domain, 'help.') THEN ['https://' || domain || '/sitemaps/sitemap.xml'] ELSE []::VARCHAR[] END AS sitemaps FROM (SELECT DISTINCT domain FROM documents WHERE domain IS NOT NULL)")
+def a05d(s, d):
+    """Sites of even length name a sitemap in their robots file, the others are asked."""
+    sites = I.documents(s, d).select("domain").where("domain IS NOT NULL").distinct()
+    origin = F.concat(F.lit("https://"), "domain")
+    robots = F.when(F.length("domain") % 2 == 0, F.concat(F.lit("User-agent: *\nSitemap: "), origin, F.lit("/a.xml\n")))
+    return crawl.discovered_sitemaps(sites.select(origin.alias("origin"), robots.alias("text")), _probed, per_second=1_000_000)
+
+
 @query("A08_excluded_paths", "SELECT doc_id, regexp_matches(coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/'), '^(/blog|/help/.*a-)') AS excluded FROM documents")
 def a08(s, d):
     return I.documents(s, d).select("doc_id", T.path_excluded(F.col("url"), ["/blog", "/help/*a-"]).alias("excluded"))

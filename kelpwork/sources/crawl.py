@@ -96,3 +96,29 @@ def deep_entries(sitemaps: DataFrame, root: str, also_named: bool = False) -> Da
 def robots_sitemaps(robots: DataFrame, text: str = "text") -> DataFrame:
     """``robots`` with the distinct sitemap lines in order."""
     return robots.withColumn("sitemaps", F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), 1), lambda x: F.trim(x))))
+
+
+# Where sitemaps usually stand, in the order of asking.
+USUAL_PLACES = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap/sitemap.xml", "/sitemaps/sitemap.xml")
+
+
+def discovered_sitemaps(sites: DataFrame, probe: Fetch, per_second: int = 2, origin: str = "origin", text: str = "text") -> DataFrame:
+    """(origin, sitemaps): the sitemap lines of each site's robots file, or else the first of the usual places that answers ``probe``
+    with a status of 200 to 299; none is an empty list. A place that fails is passed over."""
+    named = robots_sitemaps(sites.select(F.col(origin).alias("origin"), F.coalesce(text, F.lit("")).alias("text"))).select("origin", "sitemaps")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket = TokenBucket(per_second)
+
+        def answers(url: str) -> bool:
+            bucket.acquire()
+            try:
+                return 200 <= probe(url)[1] < 300
+            except Exception:
+                return False
+
+        for pdf in batches:
+            places = [list(old) if len(old) else [x for x in (next((o + p for p in USUAL_PLACES if answers(o + p)), None),) if x] for o, old in zip(pdf["origin"], pdf["sitemaps"])]
+            yield pd.DataFrame({"origin": pdf["origin"], "sitemaps": pd.Series(places, dtype=object)})
+
+    return named.mapInPandas(run, "origin string, sitemaps array<string>")

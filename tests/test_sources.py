@@ -37,6 +37,16 @@ def test_sitemaps(spark):
     assert r.sitemaps == ["a", "b"]
 
 
+def test_sitemaps_are_found_where_robots_name_none(spark):
+    def probe(url):
+        if url == "b/sitemap.xml":
+            raise OSError("refused")
+        return url, 200 if url.startswith("b/") else 404, ""
+
+    sites = spark.createDataFrame([("a", "Sitemap: a/x.xml\nSITEMAP: a/y.xml\nSitemap: a/x.xml"), ("b", None), ("c", "Allow: /")], "origin string, text string")
+    assert {r.origin: r.sitemaps for r in crawl.discovered_sitemaps(sites, probe, 1_000).collect()} == {"a": ["a/x.xml", "a/y.xml"], "b": ["b/sitemap_index.xml"], "c": []}
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([("u1", "h1", 1), ("u2", "h2", 2)], "url string, content_hash string, id int")
     new = spark.createDataFrame([("u1", "h1", 200, 50, 9), ("u2", "hx", 200, 50, 9), ("u3", "h3", 200, 50, 9), ("u4", "h4", 404, 50, 9), ("u5", "h5", 200, 3, 9)], "url string, content_hash string, status_code int, word_count int, id int")
