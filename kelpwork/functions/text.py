@@ -51,8 +51,8 @@ def has_code(markdown: Column, markup: Column) -> Column:
 
 def stop_word_language(text: Column) -> Column:
     """en or de by the larger count of stop words; null for a tie."""
-    words = F.split(F.lower(text), "[^a-z0-9_]+")
-    english, german = (F.size(F.filter(words, lambda w: w.isin(*known))) for known in (ENGLISH, GERMAN))
+    low = F.lower(text)
+    english, german = (F.regexp_count(low, F.lit("(?<![a-z0-9_])(?:" + "|".join(known) + ")(?![a-z0-9_])")) for known in (ENGLISH, GERMAN))
     return F.when(english > german, "en").when(german > english, "de")
 
 
