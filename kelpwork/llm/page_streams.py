@@ -27,6 +27,8 @@ MAIN_SHARE = 0.2
 RUNNING_SHARE = 0.25
 #: Tokens of a list from which it is folded while pages are still being merged.
 LONG_LIST, EARLY = 24, 8
+#: Tokens of a list from which a page is folded by itself before it is aligned.
+LONG_PAGE = 200
 GROUP = ""
 SLOT, PARAGRAPH, MATTER, HEADLINE = "slot", "paragraph", "matter", "headline"
 # Elements of HTML whose texts are content by themselves.
@@ -197,6 +199,8 @@ def infer(parts: Iterable[tuple[list[list], int]]) -> tuple[list[list], int]:
     """(wrapper, pages) of (stream or wrapper, its pages), aligned one after the other."""
     whole, pages = [], 0
     for items, n in parts:
+        if _longest(items) > LONG_PAGE:  # else alignment would take the square of a page's length
+            items = fold(items, n)
         whole = merge(whole, items)
         pages += n
         if pages >= EARLY and _longest(whole) > LONG_LIST:

@@ -46,7 +46,7 @@ from kelpwork.llm import page_streams
 from kelpwork.sources.tables import cut, table
 
 GROUP_ROWS, BROADCAST_FIELDS, BROADCAST_WORDS, BROADCAST_BYTES = 3_000, 100_000, 200_000, 32_000_000
-ALIGNED_WORDS, ALIKE, SHARED_HOSTS, SHRINKING = 30, 0.5, 3, 0.8
+ALIGNED_WORDS, ALIKE, SHARED_HOSTS, SHRINKING, DEEP = 30, 0.5, 3, 0.8, 64
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>|<!--.*?(?:-->|$)|<![^>]*>", re.S)
 _ATTR = re.compile(r"""\b(class|role|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -113,7 +113,10 @@ def text_runs(markup: str) -> list[tuple[str, str, tuple[str, ...], tuple[int, .
                 if name != "body":
                     marks = _attributes(m[3])
                     number += 1
-                    stack.append((name, (stack[-1][1] + ">" if stack else "") + (f"{name}.{marks}" if marks else name), (*stack[-1][2], number) if stack else (number,)))
+                    path, own = stack[-1][1:] if stack else ("", ())
+                    if len(own) < DEEP:  # deeper blocks, as thousands of unclosed ones make, count as their ancestor
+                        path, own = (path + ">" if path else "") + (f"{name}.{marks}" if marks else name), (*own, number)
+                    stack.append((name, path, own))
         elif name in _INLINE:
             if closing:
                 if name in inline:

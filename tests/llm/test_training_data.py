@@ -2,6 +2,7 @@ import itertools
 import os
 import random
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -471,6 +472,18 @@ def test_body_does_not_depend_on_the_place_or_level_of_the_headline(spark, headl
     assert sorted(map(tuple, site_wrappers.site_matter(df).collect())) == [(i, k) for i in range(len(names)) for k in (1, 6)]
 
 
+def test_long_and_deep_pages(spark):
+    lines = [f"Sentence {i} of a long page. It goes on for a while." if i % 2 else f"item {i}" for i in range(6_000)]
+    long = "".join(f"<p>{t}" if i % 2 else f"<ul><li>{t}</li></ul>" for i, t in enumerate(lines)) + "<footer>All rights reserved here</footer>"
+    deep = "</p><p>".join(lines[1:600:2])
+    text = "\n".join([*lines, "All rights reserved here"])
+    rows = [(i, "a.example", f"<h1>T{i}</h1>{long}" if i < 4 else f"{'<div>' * 5_000}<h1>T{i}</h1><p>{deep}", f"T{i}\n{text}" if i < 4 else "\n".join([f"T{i}", *lines[1:600:2]]), None) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, domain string, raw_html string, raw_content string, title string")
+    begun = time.monotonic()
+    assert sorted(map(tuple, site_wrappers.site_matter(df).collect())) == [(i, 6_002) for i in range(4)]
+    assert time.monotonic() - begun < 60
+
+
 def test_pages_without_a_wrapper_keep_their_lines():
     text, html = page(3)
     lines = text.split("\n")
