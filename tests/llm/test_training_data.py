@@ -462,6 +462,35 @@ def test_streams_become_wrappers():
     assert pages == 4 and [x[0] for x in both if x[0] != page_streams.GROUP][-2] == "div>" and page_streams.infer([]) == ([], 0)
 
 
+def accepts(wrapper, tokens):
+    """Whether a wrapper, read as a regular expression with every item optional and groups repeated, matches a stream."""
+    todo, seen = [(0, 0)], set()
+    while todo:
+        i, j = todo.pop()
+        if j == len(tokens):
+            return True
+        if i == len(wrapper) or (i, j) in seen:
+            continue
+        seen.add((i, j))
+        x, token = wrapper[i], tokens[j]
+        todo.append((i + 1, j))
+        own = next((m for m in (x[3] if x[0] == page_streams.GROUP else [x]) if m[0] == token[0]), None)
+        if own is not None and (token[3] is None or accepts(own[3], token[3])) and (own[2] or x[0] == page_streams.GROUP or not token[2]):
+            todo += [(i + 1, j + 1)] + [(i, j + 1)] * (x[0] == page_streams.GROUP or x[2])
+    return False
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("p p/a nav footer div>h1 div>p div>p div>h2 div>ul>li div>pre div>aside>p".split()), min_size=1, max_size=18), min_size=1, max_size=14))
+def test_a_wrapper_accepts_every_page_it_was_made_of(pages):
+    streams = [page_streams.stream(p) for p in pages]
+    whole, n = page_streams.infer([(s, 1) for s in streams])
+    assert n == len(pages) and all(accepts(whole, s) for s in streams)
+    halves = [page_streams.infer([(s, 1) for s in part]) for part in (streams[::2], streams[1::2]) if part]
+    both, n = page_streams.infer(halves)
+    assert n == len(pages) and all(accepts(both, s) for s in streams)
+
+
 @pytest.mark.parametrize("headline", ["<header><p>Alpha Beta site</p><h1>{0}</h1></header><main>", "<p>Alpha Beta site</p><main><h2>{0}</h2>", "<div class=top><p>Alpha Beta site</p></div><div class=x><h3>{0}</h3>", "<p>Alpha Beta site</p><h2>{0}</h2>"])
 def test_body_does_not_depend_on_the_place_or_level_of_the_headline(spark, headline):
     names = "anna bert cleo dora emil fritz gerd hans ida jan".split()
