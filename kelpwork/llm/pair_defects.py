@@ -23,29 +23,39 @@ ids may repeat; extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpwork.llm.languages import LANGUAGES, SEEDS, _counts, _model, line_scores
-from kelpwork.sources.tables import hashed_sample, table
+from kelpwork.llm.languages import BUCKETS as BYTES
+from kelpwork.llm.languages import LANGUAGES, SEEDS, TEMPER, _counts, _grams, _model, line_scores
+from kelpwork.sources.tables import cut, table
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-SAMPLE, BUCKETS, STEPS, ROUNDS = 6_000, 1 << 15, 60, 2
+#: Buckets of grams, of words and of endings; dense columns of a clause.
+BUCKETS, WORDS, TAILS, COLUMNS = 1 << 15, 1 << 20, 1 << 16, 24 + 15
+#: Steps and rate of each round of training; what holds down grams, of which most are rare, columns and transitions; weight of a made pair.
+ROUNDS, L2, MADE = ((48, 0.2), (24, 0.15)), (8.0, 0.1, 0.1), 1.6
+#: Pairs of a chunk and of a task that makes chunks; slices of sums, and up to how many tasks the driver adds up their sums. A step of training goes over one of at most ``TURNS`` parts of the table, each of
+#: at least ``TURN`` pairs; the parts take turns, so all pairs count alike.
+CHUNK, PART, SLOTS, FEW, TURNS, TURN = 2_000, 16_000, 4, 64, 8, 6_000
 FOREIGN_WORDS, SHORT_WORDS = 5, 4
-#: A gram found in fewer clauses of the training sample has no weight: it would tell the clause, not the kind.
+#: A gram found in fewer clauses of the table has no weight: it would tell the clause, not the kind.
 USUAL = 6
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\x00-\x08\x0e-\x1f\x7f]")
 # Placeholders and failure marks that stand where an answer should be.
 _PLACEHOLDER = re.compile(r"^(?:n\.?/?a\.?|null|none|nil|nan|undefined|unknown error|tbd|todo|empty|no answer|keine antwort|sans réponse|sin respuesta|[\[<({]+\s*(?:[^\]>)}]*\b(?:failed|failure|error|timeout|timed out|empty|no answer|placeholder|null|none)\b[^\]>)}]*)[\]>)}]+)$", re.I)
 _BREAK = re.compile(r"(?<=[^\W\d][.!?…])[\"»”')\]]*\s+|(?<=[)\]\"»”][.!?…])\s+|\s+(?=https?://)|\s*\n+\s*")
+#: The same for texts without line break and link, quicker: a match begins with the stop.
+_STOP = re.compile("[.!?…](?:(?<=[^\\W\\d].)[\"»”')\\]]*|(?<=[)\\]\"»”].))\\s+")
 _WORD = re.compile(r"[^\W_]+")
 # Seed phrases of refusals, which label training clauses.
 _SEED = re.compile(
@@ -55,6 +65,8 @@ _SEED = re.compile(
     r"|no puedo (?:responder|ayudar|decir|contestar)|me es imposible|no tengo suficiente|(?:contexto|texto) no (?:dice|contiene)|no sé\b|debo rechazar|no me es posible)",
     re.I,
 )
+# Every seed phrase holds one of these, which are quicker to look for.
+_HINTS = ("i can", "i could not", "i am ", "i must decline", "i don't", "i do not", "impossible for me", "unable to help", "no information about", "nothing about", "ich kann ", "kann ich ", "liegen mir keine", "ich darf mich", "geht das leider", "enthält keine", "ich weiß ", "je ne ", "m'est impossible", "je n'ai pas", " ne di", " ne contien", "je dois refuser", "je refuse", "no puedo ", "me es imposible", "no tengo suficiente", "no dice", "no contiene", "no sé", "debo rechazar", "no me es posible")
 # Kinds of words, as beginnings (a final blank ends the word): what a refusal is made of, and much else too. Shortened
 # words stand as they are cut at the apostrophe.
 KINDS = {
@@ -65,8 +77,10 @@ KINDS = {
     "regret": "sorry |apolog|unfortunately |regret|afraid |leider |leid |bedau|entschuldig|verzeih|désol|malheureusement |regrett|excus|navr|lament|siento |sentimos |disculp|perdón |desgraciad|desafortunad",
     "decline": "declin|refus|prefer|rather |must |allowed |permitted |able |comfortable |willing|ablehn|lehne |verweiger|darf |möchte |lieber |imstande |lage |verzicht|préf|refus|abst|autoris|mesure |capable |souhait|rechaz|prefier|niego |negar|abst|permit|posible |condiciones |dispuest",
 }
-_BEGINNINGS = [w for v in KINDS.values() for w in v.split("|")]
-_OF = [1 << k for k, v in enumerate(KINDS.values()) for _ in v.split("|")]
+_BEGINNINGS: dict[str, list[tuple[str, int]]] = {}  # by first letter
+for _k, _v in enumerate(KINDS.values()):
+    for _w in _v.split("|"):
+        _BEGINNINGS.setdefault(_w[0], []).append((_w, 1 << _k))
 _words: dict[str, int] = {}
 _kinds: dict[str, int] = {}
 
@@ -76,7 +90,7 @@ def _kind(word: str) -> int:
     if len(_kinds) > 500_000:
         _kinds.clear()
     found = 0
-    for beginning, bit in zip(_BEGINNINGS, _OF):
+    for beginning, bit in _BEGINNINGS.get(word[0], ()):
         if word == beginning[:-1] if beginning[-1] == " " else word.startswith(beginning):
             found |= bit
     _kinds[word] = found
@@ -106,7 +120,12 @@ def is_empty(text: str | None) -> bool:
 
 
 def clauses(text: str) -> list[str]:
-    return [c for c in (p.strip() for p in _BREAK.split(text)) if c and (_WORD.search(c) or "```" in c)] or [" ".join(text.split())]
+    if "\n" in text or "http" in text:
+        parts = _BREAK.split(text)
+    else:
+        at = [0, *(x for m in _STOP.finditer(text) for x in (m.start() + 1, m.end())), len(text)]
+        parts = [text[x:y] for x, y in zip(at[::2], at[1::2])]
+    return [c for c in (p.strip() for p in parts) if c and (_WORD.search(c) or "```" in c)] or [" ".join(text.split())]
 
 
 def _hash(words: list[str]) -> np.ndarray:
@@ -123,31 +142,34 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Ends:
-    """How often words, and endings of words, stand last in a finished clause and elsewhere, from a sample."""
-
-    def __init__(self, clauses_: list[str]):
-        self.last, self.inner, self.tail = Counter(), Counter(), Counter()
-        for c in clauses_:
-            w = _WORD.findall(c.lower())
-            if w:
-                self.last[w[-1]] += 1
-                self.inner.update(w[:-1])
-        for w in {*self.last, *self.inner}:
-            self.tail[w[-3:]] += 1
-
-    def odds(self, clause: str, words: list[str]) -> tuple[float, float, float]:
-        """Log odds of the last word to stand last; whether it is known; how usual its ending is."""
-        if not words:
-            return 0.0, 0.0, 0.0
-        w = words[-1]
-        a, b = self.last[w], self.inner[w]
-        return float(np.log((a + 0.3) / (b * 0.3 + 0.3))), float(a + b > 1 or w.isdigit()), float(np.log(self.tail[w[-3:]] + 0.2)) if len(w) > 3 else -1.0
+    """How often words, and endings of words, stand last in a finished clause and elsewhere. Words are hashed to ``WORDS`` buckets, endings to ``TAILS``."""
+
+    def __init__(self, last: np.ndarray, inner: np.ndarray, tail: np.ndarray):
+        self.last, self.inner, self.tail = last, inner, tail
+
+    @classmethod
+    def of(cls, word: np.ndarray, tail: np.ndarray, last: np.ndarray, inner: np.ndarray) -> Ends:
+        """From rows of (word, ending, times last, times elsewhere); a word may have several rows."""
+        different = np.unique(word.astype(np.int64) * TAILS + tail) % TAILS
+        sums = [np.bincount(word, weights=x, minlength=WORDS).astype(np.float32) for x in (last, inner)]
+        return cls(*sums, np.bincount(different, minlength=TAILS).astype(np.float32))
+
+    def fill(self, dense: np.ndarray, f: dict) -> None:
+        """Sets the columns of the last words: log odds of the word to stand last, whether it is known, how usual its ending is.
+        What the row itself, or the row it was made of, adds to the counts is taken off, so that no clause knows itself."""
+        at = f["end"][f["loose"]]
+        word, tail, long, digit, own_last, own_inner = f["ended"].T
+        a, b = self.last[word] - own_last, self.inner[word] - own_inner
+        known = (a + b > 1) | (digit > 0)
+        dense[at, 16], dense[at, 17] = np.log((a + 0.3) / (b * 0.3 + 0.3)) / 3, known
+        dense[at, 18] = np.where(known, 0, np.where(long > 0, np.log(np.maximum(self.tail[tail] - (own_last + own_inner > 0) * (a + b == 0), 0) + 0.2), -1.0) / 3)
+        dense[at, 19] = ~known
 
 
 class Features:
     """Clauses of a batch of pairs: sparse gram buckets and dense columns."""
 
-    def __init__(self, questions: list[str], answers: list[str], languages: np.ndarray, ends: Ends):
+    def __init__(self, questions: list[str], answers: list[str], languages: np.ndarray, ends: Ends | None = None):
         parts = [clauses(a) for a in answers]
         self.count = np.fromiter(map(len, parts), np.int64, len(parts))
         flat = [c for p in parts for c in p]
@@ -176,10 +198,11 @@ class Features:
         held = np.bincount((known >> np.uint64(32)).astype(np.int64), minlength=len(qw)).astype(float)
         covers = np.minimum(hits / np.maximum(held[self.row], 1), 1)
         # language against the question's
-        cs, qs = line_scores(flat, languages), line_scores([" ".join(q.split()) for q in questions], languages)
-        qlang = qs.argmax(1)
+        score = line_scores([*flat, *(" ".join(q.split()) for q in questions), "    "], languages)  # the last line: n-grams need four bytes
+        cs, qs = score[:n], score[n:-1]
+        self.qlang = qlang = qs.argmax(1)
         margin = -cs[np.arange(n), qlang[self.row]]
-        sure = -np.sort(-qs, axis=1)[:, 1] < -1.0
+        sure = (-np.sort(-qs, axis=1)[:, 1] < -1.0) & np.fromiter(map(bool, qw), bool, len(qw))
         self.foreign = np.where((self.words >= FOREIGN_WORDS) & sure[self.row], np.minimum(margin, 12.0), 0.0)
         self.lost = cs.argmax(1) != qlang[self.row]
         # the end of the response
@@ -191,8 +214,7 @@ class Features:
         stop &= ~torn
         only, at = self.count == 1, self.end
         few = only & (self.words[at] <= SHORT_WORDS)  # too few words for their endings to tell
-        odds = np.array([(0.0, 0.0, 0.0) if stop[r] or link[r] or few[r] else ends.odds(flat[e], cw[e]) for r, e in enumerate(self.end)], np.float32).reshape(-1, 3)
-        dense = np.zeros((n, 24 + 15), np.float32)
+        dense = np.zeros((n, COLUMNS), np.float32)
         dense[:, 0] = 1
         dense[:, 1], dense[:, 2] = copied, covers
         same = np.bincount(of, weights=np.isin(h.astype(np.uint64) | self.row[of].astype(np.uint64) << np.uint64(32), g.astype(np.uint64) | qof.astype(np.uint64) << np.uint64(32)), minlength=n) / np.maximum(self.words, 1) if len(h) else np.zeros(n)
@@ -205,278 +227,436 @@ class Features:
             dense[at, 7 + k] = x
         dense[:, 14] = last
         dense[at, 15] = loose = ~stop & ~link
-        dense[at, 16], dense[at, 17] = odds[:, 0] / 3, odds[:, 1]
-        dense[at, 18] = np.where(loose & ~few & (odds[:, 1] == 0), odds[:, 2] / 3, 0)
-        dense[at, 19] = loose & ~few & (odds[:, 1] == 0)
         dense[at, 20] = loose & few
         self.dense, self.stop, self.torn, self.fence, self.mark, self.link, self.only = dense, stop, torn, fence, mark, link, only
         self.copied, self.pairs = copied, pairs
         # grams: words and word pairs of all clauses; endings of last clauses that have no stop
-        tails, owner = [], []
-        for r, e in enumerate(at):
-            if not stop[r] and not link[r] and not few[r] and cw[e]:
-                w, t = cw[e][-1], flat[e]
-                cap = "A" if t[-len(w) : ][:1].isupper() else "a"
-                before = cw[e][-2] if len(cw[e]) > 1 else ""
-                third, head, commas = cw[e][-3] if len(cw[e]) > 2 else "", " ".join(cw[e][:2]), str(t.count(","))
-                own = ["$1" + w, "$2" + before + " " + w, "$3" + cap + w[-3:], "$4" + cap + w[-2:] + str(min(len(w), 6)), "$5" + before, "$6" + third + " " + before + " " + cap + w[-2:], "$7" + head + " " + w[-3:], "$8" + head + commas, "$9" + head + commas + cap + w[-2:], "$a" + third + cap]
-                part = _WORD.findall(t[t.rfind(",") + 1 :].lower())  # what stands behind the last comma: how it begins, how long it is
-                size = str(min(len(part), 15))
-                own += ["$b" + "".join(part[:1]) + size, "$c" + " ".join(part[:2]) + size, "$d" + " ".join(part[:2]) + cap + w[-2:], "$e" + commas + size]
-                tails += own
-                owner += [e] * len(own)
+        tails, owner, ended = [], [], []
+        self.loose = np.flatnonzero(loose & ~few & (self.words[at] > 0))
+        dense[at[loose & ~few & (self.words[at] == 0)], 19] = 1
+        for e in at[self.loose].tolist():
+            w, t = cw[e][-1], flat[e]
+            cap = "A" if t[-len(w) : ][:1].isupper() else "a"
+            before = cw[e][-2] if len(cw[e]) > 1 else ""
+            third, head, commas = cw[e][-3] if len(cw[e]) > 2 else "", " ".join(cw[e][:2]), str(t.count(","))
+            own = ["$1" + w, "$2" + before + " " + w, "$3" + cap + w[-3:], "$4" + cap + w[-2:] + str(min(len(w), 6)), "$5" + before, "$6" + third + " " + before + " " + cap + w[-2:], "$7" + head + " " + w[-3:], "$8" + head + commas, "$9" + head + commas + cap + w[-2:], "$a" + third + cap]
+            part = _WORD.findall(t[t.rfind(",") + 1 :].lower())  # what stands behind the last comma: how it begins, how long it is
+            size = str(min(len(part), 15))
+            own += ["$b" + "".join(part[:1]) + size, "$c" + " ".join(part[:2]) + size, "$d" + " ".join(part[:2]) + cap + w[-2:], "$e" + commas + size]
+            tails += own
+            owner += [e] * len(own)
+            ended.append((len(w) > 3, w.isdigit()))
         th = _hash(tails)
         gram = np.concatenate([_mix(h ^ np.uint32(0x51ED)), _mix(hp ^ np.uint32(0xA341)), _mix(th)]) % np.uint32(BUCKETS)
         clause = np.concatenate([of, hof, np.array(owner, np.int64)])
         order = np.argsort(clause, kind="stable")
         self.gram, self.clause = gram[order].astype(np.int64), clause[order]
-        self.flat, self.answers = flat, answers
-
-
-def _joined(a: Features, b: Features) -> Features:
-    """Both, as if made at once."""
-    f = object.__new__(Features)
-    f.row, f.end = np.concatenate([a.row, b.row + len(a.count)]), np.concatenate([a.end, b.end + len(a.row)])
-    f.clause = np.concatenate([a.clause, b.clause + len(a.row)])
-    for k in ("count", "dense", "gram", "words"):
-        setattr(f, k, np.concatenate([getattr(a, k), getattr(b, k)]))
-    return f
-
-
-def _emission(f: Features, weights: np.ndarray, dense: np.ndarray) -> np.ndarray:
-    out = f.dense @ dense
-    if len(f.gram):
-        start = np.flatnonzero(np.r_[True, f.clause[1:] != f.clause[:-1]])
-        out[f.clause[start]] += np.add.reduceat(weights[f.gram], start, axis=0)
+        self.flat, self.answers, self.cw, self.h, self.of = flat, answers, cw, h, of
+        # last words whose odds are filled in: bucket of the word, of its ending, long, digit, and what the row itself counts for
+        self.ended = np.zeros((len(ended), 6), np.int64)
+        if ended:
+            lasts = [cw[e][-1] for e in at[self.loose].tolist()]
+            self.ended[:, 0], self.ended[:, 1] = _hash(lasts) % np.uint32(WORDS), _hash([w[-3:] for w in lasts]) % np.uint32(TAILS)
+            self.ended[:, 2:4] = ended
+        if ends is not None:
+            ends.fill(self.dense, vars(self))
+
+
+#: The tags that words tell: refusals and open ends. Whether a clause is an echo or foreign only its question tells.
+_TOLD = [REFUSAL, UNFINISHED]
+
+
+def _emission(f: dict, weights: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
+    """Scores of the first ``n`` clauses."""
+    out = (f["dense"][:n] @ dense).astype(np.float64)
+    size = f["size"][:n]
+    has = np.flatnonzero(size)
+    if len(has):
+        start = np.cumsum(size) - size
+        both = np.ascontiguousarray(weights, np.float32).view(np.complex64)[:, 0]  # one gather for both columns
+        sums = np.add.reduceat(both[f["gram"][: int(size.sum())]], start[has])
+        out[has, REFUSAL] += sums.real
+        out[has, UNFINISHED] += sums.imag
     return out
 
 
-def _groups(count: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows in groups of similar length, so that padding stays below the data."""
-    size = np.ceil(np.log2(np.maximum(count, 1))).astype(int)
-    for s in np.unique(size):
-        yield np.flatnonzero(size == s)
-
-
-def _padded(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = first[:, None] + np.arange(count.max())
-    mask = np.arange(count.max()) < count[:, None]
-    return values[np.where(mask, at, first[:, None])], mask
-
-
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
-
-
-def marginals(emission: np.ndarray, count: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of each clause's tag, expected transitions, and the log partition, by forward and backward."""
-    post, moves, partition = np.zeros_like(emission), np.zeros_like(steps), 0.0
+def marginals(emission: np.ndarray, count: np.ndarray, steps: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Posterior of each clause's tag, expected transitions (times the ``weight`` of the clause), and the log partition, by
+    forward and backward, each clause's messages scaled to one. Chains go together, the longest first, so nothing is padded."""
+    if not len(count):
+        return np.zeros_like(emission), np.zeros_like(steps), 0.0
     first = np.cumsum(count) - count
-    for rows in _groups(count):
-        e, mask = _padded(emission, first[rows], count[rows])
-        length = e.shape[1]
-        a = np.zeros_like(e)
-        b = np.zeros_like(e)
-        a[:, 0] = e[:, 0]
-        for t in range(1, length):
-            new = e[:, t] + _lse(a[:, t - 1][:, :, None] + steps[None], 1)
-            a[:, t] = np.where(mask[:, t][:, None], new, a[:, t - 1])
-        for t in range(length - 2, -1, -1):
-            new = _lse(steps[None] + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2)
-            b[:, t] = np.where(mask[:, t + 1][:, None], new, 0)
-        z = _lse(a[:, -1], 1)
-        partition += float(z.sum())
-        p = np.exp(a + b - z[:, None, None])
-        r, t = np.nonzero(mask)
-        post[first[rows][r] + t] = p[r, t]
-        for t in range(1, length):
-            ok = mask[:, t]
-            if ok.any():
-                moves += np.exp(a[ok, t - 1][:, :, None] + steps[None] + (e[ok, t] + b[ok, t])[:, None, :] - z[ok][:, None, None]).sum(0)
-    return post, moves, partition
-
-
-#: Words tell refusals and open ends; whether a clause is an echo or foreign only its question tells.
-_TOLD = np.array([False, True, False, False, True])
-
-
-def train(f: Features, gold: np.ndarray, l2: tuple[float, float] = (8.0, 0.1)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights of grams, dense columns and transitions that maximise the likelihood of the clause distributions
-    ``gold``, by Adam on the whole batch. ``l2`` holds down the grams, of which most are rare, and the rest."""
-    k = len(TAGS)
-    order = np.argsort(f.gram, kind="stable")
-    bucket, start, local, often = np.unique(f.gram[order], return_index=True, return_inverse=True, return_counts=True)
-    own = np.zeros(len(order), np.int64)
-    own[order] = local
+    order = np.argsort(-count, kind="stable")
+    at = first[order]
+    live = np.searchsorted(-count[order], -np.arange(int(count.max())), side="left")
+    top = emission.max(1, keepdims=True)
+    e, m = np.exp(emission - top), np.exp(steps - steps.max())
+    a, b, scale = np.empty_like(e), np.ones_like(e), np.ones(len(e))
+    x = e[at]
+    scale[at] = z = x.sum(1)
+    a[at] = x / z[:, None]
+    for t in range(1, len(live)):
+        i = at[: live[t]] + t
+        x = (a[i - 1] @ m) * e[i]
+        scale[i] = z = x.sum(1)
+        a[i] = x / z[:, None]
+    moves = np.zeros_like(m)
+    for t in range(len(live) - 1, 0, -1):
+        i = at[: live[t]] + t
+        y = e[i] * b[i] / scale[i][:, None]
+        b[i - 1] = y @ m.T
+        moves += ((a[i - 1] if weight is None else a[i - 1] * weight[i][:, None]).T @ y) * m
+    return a * b, moves, float(np.log(scale).sum() + top.sum() + steps.max() * (count - 1).sum())
+
+
+def decode(f: dict, model: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int) -> np.ndarray:
+    """Posterior of the clauses of the first ``rows`` rows."""
+    count = f["count"][:rows]
+    return marginals(_emission(f, model[0], model[1], int(count.sum())), count, model[2])[0]
+
+
+_SHAPES = ((BUCKETS, len(_TOLD)), (COLUMNS, len(TAGS)), (len(TAGS), len(TAGS)))
+
+
+def _start() -> tuple[np.ndarray, ...]:
+    return tuple(np.zeros(x, np.float32) for x in _SHAPES)
+
+
+def _missing(f: dict, model: tuple, before: tuple | None) -> np.ndarray:
+    """What the expectations of a chunk miss of its tags: grams, dense columns, transitions, one behind the other. Free clauses count as answers, or have the posteriors of the model ``before``; then unfinished rows count too."""
+    own, gold = f["own"], f["gold"]
+    n = int(f["count"][:own].sum())
+    tags = np.eye(len(TAGS))
+    want = tags[np.where(gold < 0, ANSWER, gold)]
+    weight = np.full(len(f["count"]), MADE)
+    weight[:own] = ~f["open"] if before is None else 1.0
+    if before is not None:
+        free = np.flatnonzero(gold[:n] < 0)
+        want[free] = decode(f, before, own)[free]
+    weight = np.repeat(weight, f["count"])
+    post, moves, _ = marginals(_emission(f, model[0], model[1], len(gold)), f["count"], model[2].astype(np.float64), weight)
+    miss = (want - post) * weight[:, None]
+    inside = np.ones(len(gold), bool)
+    inside[np.cumsum(f["count"]) - f["count"]] = False
+    i = np.flatnonzero(inside)
+    moves = (want[i - 1] * weight[i][:, None]).T @ want[i] - moves
+    each = np.repeat(miss[:, _TOLD], f["size"], axis=0)
+    gram = f["gram"].astype(np.intp)
+    grams = np.stack([np.bincount(gram, weights=each[:, k], minlength=BUCKETS) for k in range(len(_TOLD))], 1)
+    return np.concatenate([grams.ravel(), (f["dense"].T @ miss.astype(np.float32)).ravel(), moves.ravel()])
+
+
+def _often(f: dict) -> np.ndarray:
+    return np.bincount(f["gram"], minlength=BUCKETS)
+
+
+def train(total: Callable[[tuple, tuple | None, int], np.ndarray], often: np.ndarray) -> tuple:
+    """The field of largest likelihood by Adam: ``total(model, before, step)`` adds ``_missing`` up over the table, or over the part of it whose turn it
+    is, times the number of parts. Two rounds: after the first, which has the finished answers as answers, the free clauses get the posteriors of
+    its model. Grams that come less than ``USUAL`` times have no weight."""
+    model, before = _start(), None
+    cuts = np.cumsum([int(np.prod(x)) for x in _SHAPES])[:-1]
     held = (often >= USUAL)[:, None]
-    first = np.flatnonzero(np.r_[True, f.clause[1:] != f.clause[:-1]]) if len(order) else order
-    weights, dense, steps = np.zeros((len(bucket), k), np.float32), np.zeros((f.dense.shape[1], k), np.float32), np.zeros((k, k))
-    inside = np.flatnonzero(f.row[1:] == f.row[:-1])
-    seen = gold[inside].T @ gold[inside + 1]
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (weights, dense, steps)]
-    for step in range(1, STEPS + 1):
-        emission = f.dense @ dense
-        if len(order):
-            emission[f.clause[first]] += np.add.reduceat(weights[own], first, axis=0)
-        post, moves, _ = marginals(emission, f.count, steps)
-        miss = gold - post
-        grad = np.add.reduceat(miss[f.clause[order]], start, axis=0) if len(order) else weights
-        for p, g, (m, v) in zip((weights, dense, steps), (grad - l2[0] * weights, f.dense.T @ miss - l2[1] * dense, seen - moves - l2[1] * steps), state):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p += 0.15 * (held * _TOLD if p is weights else 1) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    whole = np.zeros((BUCKETS, k), np.float32)
-    whole[bucket] = weights
-    return whole, dense, steps.astype(np.float32)
-
-
-def decode(f: Features, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    return marginals(_emission(f, model[0], model[1]), f.count, model[2])[0]
-
-
-def _seeded(f: Features) -> np.ndarray:
+    for steps, rate in ROUNDS:
+        state = [(np.zeros(x), np.zeros(x)) for x in _SHAPES]
+        params = [x.astype(np.float64) for x in model]
+        for step in range(1, steps + 1):
+            parts = np.split(total(tuple(x.astype(np.float32) for x in params), before, step), cuts)
+            fall = rate * min(1.0, 2 * (1 - (step - 1) / steps))  # the second half of the steps grows smaller
+            for p, g, l2, (m, v) in zip(params, parts, L2, state):
+                g = g.reshape(p.shape) - l2 * p
+                m += 0.2 * (g - m)
+                v += 0.05 * (g * g - v)
+                p += fall * (held if p is params[0] else 1) * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-6)
+        model = before = tuple(x.astype(np.float32) for x in params)
+    return model
+
+
+def _refuses(text: str) -> bool:
+    low = text.lower()
+    return any(x in low for x in _HINTS) and bool(_SEED.search(text))
+
+
+def _seeded(f: Features, seed: np.ndarray) -> np.ndarray:
     """The clauses that seed phrases tell to be refusals, and what a refusal adds (offers, excuses)."""
-    refused = np.fromiter((bool(_SEED.search(c)) for c in f.flat), bool, len(f.flat))
-    for i in range(1, len(f.flat)):
-        if not refused[i] and refused[i - 1] and f.row[i] == f.row[i - 1] and f.words[i] <= 8:
+    refused = np.fromiter((s and bool(_SEED.search(c)) for s, c in zip(seed[f.row].tolist(), f.flat)), bool, len(f.flat))
+    for i in np.flatnonzero(seed[f.row]).tolist():
+        if i and not refused[i] and refused[i - 1] and f.row[i] == f.row[i - 1] and f.words[i] <= 8:
             refused[i] = True
     return refused
 
-
 def _finished(a: str) -> bool:
     a = a.rstrip()
     return a[-1:] in (".", "!", "?") and not a.endswith("...") or "https://" in a[-60:] or a.endswith("```") and a.count("```") % 2 == 0
 
 
-def _made(questions: list[str], answers: list[str], qlang: np.ndarray, rng: np.random.Generator) -> list[tuple[str, str, int]]:
-    """(question, answer, tag) of pairs whose tags are known because they were made so; the tag is that of the last clause for
-    cut answers and of all clauses otherwise, -1 for echo and answer. One version of an answer's end, so that none tells about another."""
-    out: list[tuple[str, str, int]] = []
-    several = len(set(qlang.tolist())) > 1
-    for i, (q, a) in enumerate(zip(questions, answers)):
-        kind, one = int(rng.integers(9)), len(clauses(a)) == 1
-        if kind in (0, 1, 2, 8) and len(a) > 40 and a[-1:] in ".!?`":  # cut, at a word or within one
-            at = int(rng.integers(len(a) // 4, len(a) - 2))
-            if rng.random() < 0.6 and (space := a.rfind(" ", len(a) // 5, at)) > 0:
-                at = space
-            cut = a[:at].rstrip()
-            if _WORD.search(cut) and (cut[-1] not in ".!?" or cut.endswith("...")):
-                out.append((q, cut + ("", "", "", "-", "…", "...")[int(rng.integers(6))], UNFINISHED))
-        elif kind < 6 and a[-1:] == ".":
-            if one or kind == 3:  # a lost stop is rarer where others were set
-                out.append((q, a[:-1], ANSWER))
-        elif kind == 7:
-            out.append((q, f"{q}\n{a}", -1))  # repeats the question and then answers it
-        j = int(rng.integers(len(questions)))  # what follows does not hold the row's own answer
-        if i % 4 == 0 and _WORD.search(q):
-            bare = q.rstrip("?¿ .")
-            out.append((q, (q, q.lower(), bare + ".", bare, f"{q} {q}", f"Question: {q}", f"{q.lower()} {q}", q.upper())[i // 4 % 8], ECHO))
-        elif i % 4 == 1 and several:
-            while qlang[j] == qlang[i]:
-                j = int(rng.integers(len(questions)))
-            out.append((q, answers[j], FOREIGN))
-        elif i % 4 == 2 and answers[j][-1:] == ".":  # the last words of a sentence stand for short answers, which need no stop
-            out.append((q, " ".join(answers[j][:-1].split()[-int(rng.integers(1, SHORT_WORDS + 1)) :]), ANSWER))
+def _made(questions: list[str], answers: list[str], qlang: np.ndarray, sound: list[int], f: Features) -> Iterator[tuple[int, str, str, int]]:
+    """(source, question, answer, tag) of pairs whose tags are known because they were made so, at most one of a sound row; the tag is that of the
+    last clause for cut answers and of all clauses otherwise, -1 for echo and answer. A hash of the row chooses what is made."""
+    for i in sound:
+        q, a = questions[i], answers[i]
+        kind, r = 0, xxhash.xxh64_intdigest(f"{q}\n{a}")
+        r, kind = divmod(r, 36)
+        r, x = divmod(r, 1 << 20)
+        r, y = divmod(r, 60)
+        if kind < 10:  # cut, at a word or within one
+            if len(a) > 40 and a[-1:] in ".!?`":
+                at = len(a) // 4 + x % (len(a) - 2 - len(a) // 4)
+                if y % 10 < 6 and (space := a.rfind(" ", len(a) // 5, at)) > 0:
+                    at = space
+                end = a[:at].rstrip()
+                if _WORD.search(end) and (end[-1] not in ".!?" or end.endswith("...")):
+                    yield i, q, end + ("", "", "", "-", "…", "...")[y // 10], UNFINISHED
+        elif kind < 17:
+            if a[-1:] == "." and (kind < 12 or f.count[i] == 1):  # a lost stop is rarer where others were set
+                yield i, q, a[:-1], ANSWER
+        elif kind < 20:
+            yield i, q, f"{q}\n{a}", -1  # repeats the question and then answers it
+        elif kind < 25:
+            if _WORD.search(q):
+                bare = q.rstrip("?¿ .")
+                yield i, q, (q, q.lower(), bare + ".", bare, f"{q} {q}", f"Question: {q}", f"{q.lower()} {q}", q.upper())[y % 8], ECHO
+        else:  # another row's answer
+            asked = kind >= 31 or _WORD.search(q)  # without a question no answer is foreign
+            near = [j for j in (sound[(x + k) % len(sound)] for k in range(min(len(sound), 16))) if asked and (kind >= 31 or qlang[j] != qlang[i])]
+            if near and kind < 31:
+                yield near[0], q, answers[near[0]], FOREIGN
+            elif near and answers[near[0]][-1:] == ".":  # the last words of a sentence stand for short answers, which need no stop
+                yield near[0], q, " ".join(answers[near[0]][:-1].split()[-(1 + y % SHORT_WORDS) :]), ANSWER
+
+
+def prepared(questions: list[str], answers: list[str], languages: np.ndarray) -> tuple[dict, tuple[np.ndarray, ...]]:
+    """(features of a chunk of pairs and of pairs made of them, rows of ``Ends.of``). The columns of last words are still to be filled."""
+    u = Features(questions, answers, languages)
+    seed = np.fromiter(map(_refuses, answers), bool, len(answers))
+    finished = np.fromiter(map(_finished, answers), bool, len(answers))
+    sound = np.flatnonzero(finished & ~seed).tolist()
+    made = list(_made(questions, answers, u.qlang, sound, u))
+    m = Features([q for _, q, _, _ in made], [a for _, _, a, _ in made], languages)
+    # words of clauses with a stop
+    ok = ~seed[u.row] & np.fromiter((c[-1] in ".!?" for c in u.flat), bool, len(u.flat))
+    word = np.flatnonzero(ok[u.of])
+    last = np.r_[u.of[1:] != u.of[:-1], np.ones(min(len(u.of), 1), bool)][word]
+    bucket, at, of, often = np.unique(u.h[word] if len(word) else u.h, return_index=True, return_inverse=True, return_counts=True) if len(word) else (np.zeros(0, np.uint32), *[np.zeros(0, np.int64)] * 3)
+    flat = [w for ws in u.cw for w in ws]
+    n_last = np.bincount(of, weights=last, minlength=len(bucket)).astype(np.int64)
+    ends = ((bucket % np.uint32(WORDS)).astype(np.int32), (_hash([flat[k][-3:] for k in word[at].tolist()]) % np.uint32(TAILS)).astype(np.int32), n_last, often - n_last)
+    # what the source of a made pair counts for itself
+    first = u.end - u.count + 1
+    for k, r in enumerate(m.loose.tolist()):
+        i, w = made[r][0], m.cw[m.end[r]][-1]
+        own = [u.cw[c] for c in range(first[i], u.end[i] + 1) if ok[c]]
+        n = sum(ws[-1:] == [w] for ws in own)
+        m.ended[k, 4:] = n, sum(ws.count(w) for ws in own) - n
+    kind = np.array([k for *_, k in made], np.int8)
+    gold = np.where(np.isin(kind, (ECHO, FOREIGN)), kind, ANSWER)[m.row].astype(np.int8) if made else np.zeros(0, np.int8)
+    if made:
+        gold[m.end[kind == UNFINISHED]] = UNFINISHED
+        gold[(m.end - m.count + 1)[kind == -1]] = ECHO
+    both = lambda x, y: np.concatenate([x, y])
+    size = lambda f: np.bincount(f.clause, minlength=len(f.row)).astype(np.int32)
+    return {
+        "own": len(answers), "open": ~finished, "count": both(u.count, m.count), "end": both(u.end, m.end + len(u.row)), "words": u.words.astype(np.int32),
+        "dense": both(u.dense, m.dense), "gram": both(u.gram, m.gram).astype(np.uint16), "size": both(size(u), size(m)),
+        "gold": both(np.where(_seeded(u, seed), REFUSAL, -1).astype(np.int8), gold), "loose": both(u.loose, m.loose + len(answers)), "ended": both(u.ended, m.ended),
+    }, ends
+
+
+def language_counts(texts: list[str], model: np.ndarray) -> np.ndarray:
+    """n-grams of long texts by language: of the likeliest one, if that is sure, or by their posteriors."""
+    k = model.shape[1]
+    out = np.zeros(BYTES * k)
+    texts = [" ".join(t.split()) for t in texts if len(t) > 40]
+    if texts:
+        grams = list(_grams(texts))
+        score = sum(np.add.reduceat(model[g], s, axis=0) for g, s in grams) / TEMPER
+        post = np.exp(score - score.max(1, keepdims=True))
+        post /= post.sum(1, keepdims=True)
+        best = np.where(post.max(1) > 0.999, post.argmax(1), k).astype(np.uint32)
+        for g, s in grams:
+            of = np.repeat(best, np.diff(np.r_[s, len(g)]))
+            out += np.bincount(g * np.uint32(k + 1) + of, minlength=BYTES * (k + 1)).reshape(BYTES, k + 1)[:, :k].ravel()
+        if (unsure := np.flatnonzero(best == k)).size:
+            out += _counts([texts[i] for i in unsure], post[unsure]).T.ravel()
     return out
 
 
-def fit(questions: list[str], answers: list[str]) -> tuple[np.ndarray, Ends, tuple]:
-    """(language model, ends, field) from unlabelled pairs."""
+def language_model(total: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Byte n-grams of each language, from seed words and all texts: ``total(model)`` adds ``language_counts`` up over the table."""
     seeds = _counts([SEEDS[k] for k in LANGUAGES], np.eye(len(LANGUAGES)))
-    languages = _model(seeds)
-    texts = [" ".join(t.split()) for t in [*questions, *answers] if len(t) > 40]
+    model = _model(seeds)
     for _ in range(2):
-        if texts:
-            post = np.exp(line_scores(texts, languages))
-            languages = _model(seeds + _counts(texts, post / post.sum(1, keepdims=True)))
-    # the ends are counted on one half and the field is trained on the other, so that no clause knows itself
-    half = len(answers) // 2 if len(answers) > 1 else 0
-    ends = Ends([c for a in answers[:half] if not _SEED.search(a) for c in clauses(visible(a)) if c[-1] in ".!?"])
-    other = [i for i, a in enumerate(answers[:half]) if _SEED.search(a)]  # not counted there
-    questions, answers = [questions[i] for i in other] + questions[half:], [visible(answers[i]) for i in other] + [visible(a) for a in answers[half:]]
-    if not answers:
-        questions, answers = ["What is it?"], ["It is this."]
-    rng = np.random.default_rng(5)
-    qlang = line_scores([" ".join(q.split()) for q in questions], languages).argmax(1)
-    sound = [i for i, a in enumerate(answers) if _finished(a) and not _SEED.search(a)]
-    made = _made([questions[i] for i in sound], [answers[i] for i in sound], qlang[sound], rng)
-    m = Features([q for q, _, _ in made], [a for _, a, _ in made], languages, ends) if made else None
-    u = Features(questions, answers, languages, ends)
-    tags = np.eye(len(TAGS))
-    refused = _seeded(u)
-    if m is not None:
-        kind = np.array([k for _, _, k in made])
-        gold_m = tags[np.where(np.isin(kind, (ECHO, FOREIGN)), kind, ANSWER)[m.row]]
-        gold_m[m.end[kind == UNFINISHED]] = tags[UNFINISHED]
-        first = np.cumsum(m.count) - m.count
-        gold_m[first[kind == -1]] = tags[ECHO]
-    # round 1: made pairs, refusals by seeds, and the finished answers as answers
-    open_rows = np.fromiter((not _finished(a) for a in answers), bool, len(answers))
-    model = None
-    for step in range(ROUNDS):
-        soft = tags[np.full(len(u.row), ANSWER)]
-        if model is not None:
-            soft = decode(u, model)
-        soft[refused] = tags[REFUSAL]
-        keep = ~open_rows if model is None else np.ones(len(answers), bool)
-        if not keep.any():
-            keep[:] = True
-        part = Features([q for q, k in zip(questions, keep) if k], [a for a, k in zip(answers, keep) if k], languages, ends)
-        gold_u = soft[keep[u.row]]
-        if m is None:
-            model = train(part, gold_u)
-        else:
-            model = train(_joined(m, part), np.concatenate([gold_m, gold_u]))
-    return languages, ends, model
+        model = _model(seeds + total(model).reshape(BYTES, len(LANGUAGES)).T)
+    return model
+
+
+def fit(questions: list[str], answers: list[str]) -> tuple[np.ndarray, Ends, tuple]:
+    """(language model, ends, field) from unlabelled pairs in memory; ``pair_defects`` does the same over a table."""
+    languages = language_model(lambda model: language_counts([*questions, *answers], model))
+    chunk, words = prepared(questions, [visible(a) for a in answers], languages)
+    ends = Ends.of(*words)
+    ends.fill(chunk["dense"], chunk)
+    return languages, ends, train(lambda model, before, _: _missing(chunk, model, before), _often(chunk))
+
+def _decided(count: np.ndarray, words: np.ndarray, tag: np.ndarray) -> tuple[list, np.ndarray]:
+    """Defect of each row (None if sound) and the share of words under each tag."""
+    total = np.zeros((len(count), len(TAGS)))
+    np.add.at(total, (np.repeat(np.arange(len(count)), count), tag), np.maximum(words, 1))
+    share = total / total.sum(1, keepdims=True)
+    defect: list = [None] * len(count)
+    torn = tag[np.cumsum(count) - 1] == UNFINISHED
+    for i in np.flatnonzero((share[:, ANSWER] < 1) | torn).tolist():
+        s = share[i]
+        if s[ECHO] > 0 and s[ANSWER] + s[REFUSAL] + s[FOREIGN] + s[UNFINISHED] < 0.2:
+            defect[i] = "question_copy"
+        elif s[REFUSAL] > 0 and s[REFUSAL] >= s[ANSWER] + s[FOREIGN]:
+            defect[i] = "refusal"
+        elif torn[i]:
+            defect[i] = "truncated"
+        elif s[FOREIGN] > 0.5:
+            defect[i] = "other_language"
+    return defect, share
 
 
 def pair_defect(questions: list[str], answers: list[str], languages: np.ndarray, ends: Ends, model: tuple) -> tuple[list, np.ndarray]:
     """Defect of each pair (None if sound) and the share of words under each tag."""
-    defect: list = [None] * len(answers)
+    defect: list = ["empty"] * len(answers)
     share = np.zeros((len(answers), len(TAGS)))
     plain = [visible(a) for a in answers]
     rest = [i for i, a in enumerate(plain) if _WORD.search(a) and not _PLACEHOLDER.match(a)]
-    for i in set(range(len(answers))).difference(rest):
-        defect[i] = "empty"
     if rest:
         f = Features([questions[i] for i in rest], [plain[i] for i in rest], languages, ends)
-        tag = decode(f, model).argmax(1)
-        weight = np.maximum(f.words, 1)
-        total = np.zeros((len(rest), len(TAGS)))
-        np.add.at(total, (f.row, tag), weight)
-        share[rest] = total / total.sum(1, keepdims=True)
-        torn = tag[f.end] == UNFINISHED
-        for r, i in enumerate(rest):
-            s = share[i]
-            if s[ECHO] > 0 and s[ANSWER] + s[REFUSAL] + s[FOREIGN] + s[UNFINISHED] < 0.2:
-                defect[i] = "question_copy"
-            elif s[REFUSAL] > 0 and s[REFUSAL] >= s[ANSWER] + s[FOREIGN]:
-                defect[i] = "refusal"
-            elif torn[r]:
-                defect[i] = "truncated"
-            elif s[FOREIGN] > 0.5:
-                defect[i] = "other_language"
+        chunk = {"count": f.count, "dense": f.dense, "gram": f.gram, "size": np.bincount(f.clause, minlength=len(f.row))}
+        found, share[rest] = _decided(f.count, f.words, decode(chunk, model, len(rest)).argmax(1))
+        for i, d in zip(rest, found):
+            defect[i] = d
     return defect, share
 
 
+def _packed(chunk: dict) -> bytes:
+    raw = pickle.dumps(chunk, protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="lz4", asbytes=True)
+
+
+def _unpacked(data: bytes) -> dict:
+    return pickle.loads(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="lz4"))
+
+
+def _total(df: DataFrame, make: Callable[[pa.RecordBatch], np.ndarray], length: int, tasks: int | None = None) -> np.ndarray:
+    """Sum of ``make`` over all batches of ``df``: each task adds up its own, ``SLOTS`` tasks those of the tasks, a slice each, or the driver if
+    there are but few ``tasks``."""
+    schema = "slot int, part binary"
+
+    def rows(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in parts.values()], pa.binary())], ["slot", "part"])
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = None
+        for b in batches:
+            if b.num_rows:
+                mine = make(b) if mine is None else mine + make(b)
+        if mine is not None:
+            yield rows({k: mine[k::SLOTS] for k in range(SLOTS)})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine: dict[int, np.ndarray] = {}
+        for b in batches:
+            for slot, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                mine[slot] = mine.get(slot, 0) + np.frombuffer(part, np.float32).astype(np.float64)
+        if mine:
+            yield rows(mine)
+
+    out = np.zeros(length)
+    sums = df.mapInArrow(one, schema)
+    if tasks is None or tasks > FEW:
+        sums = sums.repartition(SLOTS, "slot").mapInArrow(add, schema)
+    found = sums.toArrow().to_pydict()
+    for slot, part in zip(found["slot"], found["part"]):
+        out[slot::SLOTS] += np.frombuffer(part, np.float32)
+    return out
+
+
 def pair_defects(pairs: DataFrame, key: str = "evaluation_id", question: str = "question", answer: str = "generated_answer") -> DataFrame:
     """(id, defect) of every defective pair."""
     rows = pairs.select(F.col(key).alias("id"), F.col(question).alias("question"), F.col(answer).alias("answer"))
-    drawn = hashed_sample(rows, "id", SAMPLE).toArrow().to_pydict()
-    good = {i: (q or "", visible(a)) for i, q, a in zip(drawn["id"], drawn["question"], drawn["answer"]) if not is_empty(a)}
-    models = pairs.sparkSession.sparkContext.broadcast(fit([q for q, _ in good.values()], [a for _, a in good.values()]))
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    context = pairs.sparkSession.sparkContext
+
+    def counted(model: np.ndarray) -> np.ndarray:
+        sent = context.broadcast(model)
+
+        def make(b: pa.RecordBatch) -> np.ndarray:
+            out = np.zeros(BYTES * len(LANGUAGES))
+            for at in range(0, b.num_rows, CHUNK):
+                part = b.slice(at, CHUNK)
+                plain = [visible(a) for a in part.column(1).to_pylist()]
+                out += language_counts([*(q or "" for q in part.column(0).to_pylist()), *(a for a in plain if not is_empty(a))], sent.value)
+            return out
+
+        return _total(rows.select("question", "answer"), make, BYTES * len(LANGUAGES))
+
+    languages = context.broadcast(language_model(counted))
+    # rows in the order of their hashes, so that chunks mix the table and do not depend on how it is laid out
+    n = rows.select("id").count()
+    parts, turns = max(1, -(-n // PART)), min(TURNS, max(1, n // TURN))
+    order = F.xxhash64("id", "question", "answer")
+    laid = rows.repartition(parts, order).sortWithinPartitions(order, "id", "question", "answer")
+
+    def make_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId()
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                defect, _ = pair_defect([q or "" for q in b.column(1).to_pylist()], b.column(2).to_pylist(), *models.value)
-                keep = pa.array([d is not None for d in defect])
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), pa.array(defect, pa.string()).filter(keep)], ["id", "defect"])
-
-    return rows.mapInArrow(make, f"id {rows.schema['id'].dataType.simpleString()}, defect string").distinct()
-
+            for at in range(0, whole.num_rows, CHUNK):
+                b = whole.slice(at, CHUNK)
+                plain = [visible(a) for a in b.column(2).to_pylist()]
+                full = [bool(_WORD.search(a)) and not _PLACEHOLDER.match(a) for a in plain]
+                mask = pa.array(full)
+                chunk = words = None
+                if any(full):
+                    f, w = prepared([q or "" for q, k in zip(b.column(1).to_pylist(), full) if k], [a for a, k in zip(plain, full) if k], languages.value)
+                    chunk, words = _packed(f), pickle.dumps(w)
+                ids = b.column(0)
+                held = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids.filter(mask), ids.filter(pa.array([not k for k in full])))]
+                yield pa.RecordBatch.from_arrays([*held, pa.array([chunk], pa.binary()), pa.array([words], pa.binary()), pa.array([turn % turns], pa.int32())], ["ids", "empty", "chunk", "words", "turn"])
+                turn += 1
+
+    kind = rows.schema["id"].dataType.simpleString()
+    chunks = cut(laid.mapInArrow(make_chunks, f"ids array<{kind}>, empty array<{kind}>, chunk binary, words binary, turn int"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for w in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pickle.loads(w)], ["word", "tail", "last", "inner"])
+
+    words = chunks.select("words").where("words IS NOT NULL").mapInArrow(listed, "word bigint, tail bigint, last bigint, inner bigint").groupBy("word", "tail").agg(F.sum("last").alias("last"), F.sum("inner").alias("inner"))
+    known = words.toArrow()
+    ends = context.broadcast(Ends.of(*(known[c].to_numpy().astype(np.int64) for c in ("word", "tail", "last", "inner"))))
+
+    def filled(data: bytes) -> dict:
+        f = _unpacked(data)
+        ends.value.fill(f["dense"], f)
+        return f
+
+    held = chunks.select("chunk", "turn").where("chunk IS NOT NULL")
+
+    def missing(model: tuple, before: tuple | None, step: int) -> np.ndarray:
+        sent = context.broadcast((model, before))
+        return turns * _total(held.where(F.col("turn") == step % turns).select("chunk"), lambda b: sum(_missing(filled(x.as_py()), *sent.value) for x in b.column(0)), sum(int(np.prod(x)) for x in _SHAPES), parts)
+
+    often = _total(held.select("chunk"), lambda b: sum(_often(_unpacked(x.as_py())) for x in b.column(0)), BUCKETS, parts)
+    field = context.broadcast(train(missing, often))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                none = b.column(1)[i].values
+                yield pa.RecordBatch.from_arrays([none, pa.array(["empty"] * len(none), pa.string())], ["id", "defect"])
+                if (data := b.column(2)[i].as_py()) is not None:
+                    f = filled(data)
+                    count = f["count"][: f["own"]]
+                    defect, _ = _decided(count, f["words"], decode(f, field.value, len(count)).argmax(1))
+                    keep = pa.array([d is not None for d in defect])
+                    yield pa.RecordBatch.from_arrays([b.column(0)[i].values.filter(keep), pa.array(defect, pa.string()).filter(keep)], ["id", "defect"])
+
+    return chunks.select("ids", "empty", "chunk").mapInArrow(decide, f"id {kind}, defect string").distinct()
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects(table(spark, sf_dir, "evaluation")).select(F.col("id").alias("evaluation_id"), "defect")
