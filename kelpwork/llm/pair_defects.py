@@ -6,15 +6,17 @@ person, negation, words of speaking, knowing, regret and declining), the endings
 and its language against the question's. The words under each tag are then added up, and their shares decide the
 defect of the pair.
 
-The field is trained here, on at most ``SAMPLE`` pairs that stand for the table. No feature holds a label. Echoes are
+The field is trained here, on all pairs of the table. No feature holds a label. Echoes are
 made by putting questions, also changed, in the place of answers; foreign answers by giving questions the answers of rows in another
 language; unfinished ones by cutting finished answers at random places, finished ones without a stop by removing it; refusals are
 labelled by seed phrases, which the features do not have and nothing after the training uses. All other answers begin
 as answers and then get the tags of the round before (self-training), so that the defects among them do not stay
-labelled as sound. Everything else covers all rows and whole texts.
+labelled as sound. The language model and the counts of sentence ends come from all texts too.
 
-Scale: one map over the rows; the models (about 4 MB, fixed by ``BUCKETS``) are broadcast; results of repeated
-rows are made distinct by id, which is the only shuffle and carries only defective rows.
+Scale: two maps over the rows, one that adds up n-grams and one that makes chunks of features, in the order of a hash of the row, into the checkpoint
+folder (about 1.5 times the input); each step of training is a map over part of the chunks, all parts in turn, whose sums are as large as the
+model; the last map decodes the chunks. Models and counts (about 12 MB, fixed by ``BUCKETS``, ``WORDS`` and ``TAILS``) are broadcast; the counts of
+words (one row a word bucket and ending) come to the driver. Results of repeated rows are made distinct by id, a shuffle of defective rows only.
 
 Cases: null, empty, invisible and placeholder answers are ``empty``; a null question is an empty one, has no
 language and cannot be copied; very long answers are chains like any other; an empty table gives no rows;
@@ -40,6 +42,8 @@ from kelpwork.sources.tables import cut, table
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
+#: Passes over all texts that fit the language model.
+REFITS = 1
 #: Buckets of grams, of words and of endings; dense columns of a clause.
 BUCKETS, WORDS, TAILS, COLUMNS = 1 << 15, 1 << 20, 1 << 16, 24 + 15
 #: Steps and rate of each round of training; what holds down grams, of which most are rare, columns and transitions; weight of a made pair.
@@ -206,8 +210,8 @@ class Features:
         self.foreign = np.where((self.words >= FOREIGN_WORDS) & sure[self.row], np.minimum(margin, 12.0), 0.0)
         self.lost = cs.argmax(1) != qlang[self.row]
         # the end of the response
-        stop = np.fromiter((bool(re.search(r"[.!?][\"»”')\]]*$", flat[e])) for e in self.end), bool, len(parts))
-        torn = np.fromiter((bool(re.search(r"(?:[-,(:–—/]|…|\.\.\.)$", flat[e])) for e in self.end), bool, len(parts))
+        stop = np.fromiter((flat[e].rstrip("\"»”')]").endswith((".", "!", "?")) for e in self.end.tolist()), bool, len(parts))
+        torn = np.fromiter((flat[e].endswith(("-", ",", "(", ":", "–", "—", "/", "…", "...")) for e in self.end.tolist()), bool, len(parts))
         fence = np.fromiter((a.count("```") % 2 == 1 for a in answers), bool, len(answers))
         mark = np.fromiter((bool(re.match(r"(?:[-*•] |\d+[.)] )", flat[e])) for e in self.end), bool, len(parts))
         link = np.fromiter((flat[e].startswith("http") or "```" in flat[e] for e in self.end), bool, len(parts))
@@ -266,9 +270,19 @@ class Features:
 _TOLD = [REFUSAL, UNFINISHED]
 
 
+def _product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x @ y`` in pieces that the library does not spread over threads: those would wait for each other longer than they work."""
+    return np.concatenate([x[i : i + 1000] @ y for i in range(0, len(x), 1000)]) if len(x) > 1000 else x @ y
+
+
+def _inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x.T @ y`` in such pieces."""
+    return sum(x[i : i + 1000].T @ y[i : i + 1000] for i in range(0, max(len(x), 1), 1000))
+
+
 def _emission(f: dict, weights: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
     """Scores of the first ``n`` clauses."""
-    out = (f["dense"][:n] @ dense).astype(np.float64)
+    out = _product(f["dense"][:n], dense).astype(np.float64)
     size = f["size"][:n]
     has = np.flatnonzero(size)
     if len(has):
@@ -297,15 +311,15 @@ def marginals(emission: np.ndarray, count: np.ndarray, steps: np.ndarray, weight
     a[at] = x / z[:, None]
     for t in range(1, len(live)):
         i = at[: live[t]] + t
-        x = (a[i - 1] @ m) * e[i]
+        x = _product(a[i - 1], m) * e[i]
         scale[i] = z = x.sum(1)
         a[i] = x / z[:, None]
     moves = np.zeros_like(m)
     for t in range(len(live) - 1, 0, -1):
         i = at[: live[t]] + t
         y = e[i] * b[i] / scale[i][:, None]
-        b[i - 1] = y @ m.T
-        moves += ((a[i - 1] if weight is None else a[i - 1] * weight[i][:, None]).T @ y) * m
+        b[i - 1] = _product(y, m.T)
+        moves += _inner(a[i - 1] if weight is None else a[i - 1] * weight[i][:, None], y) * m
     return a * b, moves, float(np.log(scale).sum() + top.sum() + steps.max() * (count - 1).sum())
 
 
@@ -339,11 +353,11 @@ def _missing(f: dict, model: tuple, before: tuple | None) -> np.ndarray:
     inside = np.ones(len(gold), bool)
     inside[np.cumsum(f["count"]) - f["count"]] = False
     i = np.flatnonzero(inside)
-    moves = (want[i - 1] * weight[i][:, None]).T @ want[i] - moves
+    moves = _inner(want[i - 1] * weight[i][:, None], want[i]) - moves
     each = np.repeat(miss[:, _TOLD], f["size"], axis=0)
     gram = f["gram"].astype(np.intp)
     grams = np.stack([np.bincount(gram, weights=each[:, k], minlength=BUCKETS) for k in range(len(_TOLD))], 1)
-    return np.concatenate([grams.ravel(), (f["dense"].T @ miss.astype(np.float32)).ravel(), moves.ravel()])
+    return np.concatenate([grams.ravel(), _inner(f["dense"], miss.astype(np.float32)).ravel(), moves.ravel()])
 
 
 def _often(f: dict) -> np.ndarray:
@@ -374,7 +388,10 @@ def train(total: Callable[[tuple, tuple | None, int], np.ndarray], often: np.nda
 
 def _refuses(text: str) -> bool:
     low = text.lower()
-    return any(x in low for x in _HINTS) and bool(_SEED.search(text))
+    for x in _HINTS:
+        if x in low:
+            return bool(_SEED.search(text))
+    return False
 
 
 def _seeded(f: Features, seed: np.ndarray) -> np.ndarray:
@@ -485,7 +502,7 @@ def language_model(total: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """Byte n-grams of each language, from seed words and all texts: ``total(model)`` adds ``language_counts`` up over the table."""
     seeds = _counts([SEEDS[k] for k in LANGUAGES], np.eye(len(LANGUAGES)))
     model = _model(seeds)
-    for _ in range(2):
+    for _ in range(REFITS):
         model = _model(seeds + total(model).reshape(BYTES, len(LANGUAGES)).T)
     return model
 
@@ -635,13 +652,14 @@ def pair_defects(pairs: DataFrame, key: str = "evaluation_id", question: str = "
         ends.value.fill(f["dense"], f)
         return f
 
-    held = chunks.select("chunk", "turn").where("chunk IS NOT NULL")
+    tasks = min(parts, max(context.defaultParallelism, -(-parts // TURNS)))  # a step takes one chunk of eight
+    held = chunks.select("chunk", "turn").coalesce(tasks).where("chunk IS NOT NULL")
 
     def missing(model: tuple, before: tuple | None, step: int) -> np.ndarray:
         sent = context.broadcast((model, before))
-        return turns * _total(held.where(F.col("turn") == step % turns).select("chunk"), lambda b: sum(_missing(filled(x.as_py()), *sent.value) for x in b.column(0)), sum(int(np.prod(x)) for x in _SHAPES), parts)
+        return turns * _total(held.where(F.col("turn") == step % turns).select("chunk"), lambda b: sum(_missing(filled(x.as_py()), *sent.value) for x in b.column(0)), sum(int(np.prod(x)) for x in _SHAPES), tasks)
 
-    often = _total(held.select("chunk"), lambda b: sum(_often(_unpacked(x.as_py())) for x in b.column(0)), BUCKETS, parts)
+    often = _total(held.select("chunk"), lambda b: sum(_often(_unpacked(x.as_py())) for x in b.column(0)), BUCKETS, tasks)
     field = context.broadcast(train(missing, often))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

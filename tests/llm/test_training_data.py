@@ -406,6 +406,56 @@ def test_defects_in_words_that_no_seed_has(spark):
     assert f.dense.shape[1] == 39 and set(np.unique(f.dense[:, 24:])) <= {0.0, 1.0}
 
 
+def test_all_pairs_train_the_field(spark, monkeypatch):
+    answers = [f"item {i} of the list number {i % 97}" for i in range(13_000)]  # without a stop nothing is made of them
+    df = spark.createDataFrame(list(enumerate(answers)), "evaluation_id bigint, generated_answer string").withColumn("question", F.lit("Which item is it?"))
+    seen = []
+
+    def train(total, often):
+        model = tuple(np.full(x, 0.01, np.float32) for x in pair_defects._SHAPES)
+        seen.extend([often, sum(total(model, pair_defects._start(), k) / 2 for k in range(2)), model])  # two parts
+        return model
+
+    monkeypatch.setattr(pair_defects, "train", train)
+    pair_defects.pair_defects(df)
+    texts = ["Which item is it?"] * len(answers)
+    chunk, words = pair_defects.prepared(texts, answers, pair_defects.language_model(lambda m: pair_defects.language_counts([*texts, *answers], m)))
+    pair_defects.Ends.of(*words).fill(chunk["dense"], chunk)
+    assert len(chunk["count"]) == len(answers) and np.array_equal(seen[0], pair_defects._often(chunk))
+    assert np.allclose(seen[1], pair_defects._missing(chunk, seen[2], pair_defects._start()), rtol=1e-3, atol=0.5)
+
+
+def test_sums_go_over_all_rows(spark):
+    df = spark.range(1000, numPartitions=7).selectExpr("id % 5 AS k")
+    make = lambda b: np.bincount(b.column(0).to_numpy(), minlength=6)
+    assert pair_defects._total(df, make, 6).tolist() == pair_defects._total(df, make, 6, 7).tolist() == [200] * 5 + [0]
+    assert pair_defects._total(df.where("false"), make, 6).tolist() == [0] * 6
+
+
+def test_counts_of_words_leave_the_pair_itself_out():
+    many = ["The red form waits here.", "The red form waits.", "A form waits for zebra plates."]
+    chunk, words = pair_defects.prepared(["What waits?"] * 3, many, pair_defects.language_model(lambda m: 0 * pair_defects.language_counts([], m)))
+    chunk = {"end": np.array([0]), "loose": np.array([0]), "ended": np.array([[int(pair_defects._hash(["zebra"])[0]) % pair_defects.WORDS, 0, 1, 0, 0, 1]])}
+    dense = np.zeros((1, pair_defects.COLUMNS), np.float32)
+    pair_defects.Ends.of(*words).fill(dense, chunk)
+    assert dense[0, 17] == 0 and np.isclose(dense[0, 16], 0)  # only its own pair has the word
+
+
+def test_quick_clauses_are_the_slow_ones():
+    rng = random.Random(3)
+    for _ in range(3000):
+        t = "".join(rng.choice(["a", "B", "1", ".", "!", "…", ")", "\"", "»", " ", "  ", "word", "."]) for _ in range(rng.randint(1, 14)))
+        slow = [c for c in (p.strip() for p in pair_defects._BREAK.split(t)) if c and pair_defects._WORD.search(c)] or [" ".join(t.split())]
+        assert pair_defects.clauses(t) == slow
+
+
+def test_no_question_has_no_language():
+    models = pair_defects.fit(["Which form is it?", "Wo ist das Formular?"] * 20, ["The form is on the second page of the list.", "Das Formular ist auf der zweiten Seite der Liste."] * 20)
+    assert pair_defects.pair_defect([""], ["The archive was moved to the second page."], *models)[0] == [None]
+    f = pair_defects.Features(["", "Wo ist das Formular und die Liste?"], ["The archive was moved to the second page."] * 2, models[0])
+    assert f.foreign[0] == 0 and f.foreign[1] > 0
+
+
 def test_chain_marginals_sum_to_one():
     rng = np.random.default_rng(1)
     emission, count, steps = rng.normal(size=(12, 5)), np.array([1, 4, 2, 5]), rng.normal(size=(5, 5))
