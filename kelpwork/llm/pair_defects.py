@@ -16,7 +16,7 @@ labelled as sound. The language model and the counts of sentence ends come from
 Scale: two maps over the rows, one that adds up n-grams and one that makes chunks of features, in the order of a hash of the row, into the checkpoint
 folder (about 1.5 times the input); each step of training is a map over part of the chunks, all parts in turn, whose sums are as large as the
 model; the last map decodes the chunks. Models and counts (about 12 MB, fixed by ``BUCKETS``, ``WORDS`` and ``TAILS``) are broadcast; the counts of
-words (one row a word bucket and ending) come to the driver. Results of repeated rows are made distinct by id, a shuffle of defective rows only.
+words (one row a bucket) come to the driver. Results of repeated rows are made distinct by id, a shuffle of defective rows only.
 
 Cases: null, empty, invisible and placeholder answers are ``empty``; a null question is an empty one, has no
 language and cannot be copied; very long answers are chains like any other; an empty table gives no rows;
@@ -48,9 +48,9 @@ REFITS = 1
 BUCKETS, WORDS, TAILS, COLUMNS = 1 << 15, 1 << 20, 1 << 16, 24 + 15
 #: Steps and rate of each round of training; what holds down grams, of which most are rare, columns and transitions; weight of a made pair.
 ROUNDS, L2, MADE = ((48, 0.2), (24, 0.15)), (8.0, 0.1, 0.1), 1.6
-#: Pairs of a chunk and of a task that makes chunks; slices of sums, and up to how many tasks the driver adds up their sums. A step of training goes over one of at most ``TURNS`` parts of the table, each of
-#: at least ``TURN`` pairs; the parts take turns, so all pairs count alike.
-CHUNK, PART, SLOTS, FEW, TURNS, TURN = 2_000, 16_000, 4, 64, 8, 6_000
+#: Pairs of a chunk and of a task that makes chunks; slices of sums, and up to how many tasks the driver adds up their sums. A step of training goes over one part of the table, which has one of ``TURNS`` parts, each of
+#: at least ``TURN`` pairs; the parts take turns, each as often as any, so all pairs count alike.
+CHUNK, PART, SLOTS, FEW, TURNS, TURN = 2_000, 16_000, 4, 64, (1, 2, 3, 4, 6, 8, 12), 6_000
 FOREIGN_WORDS, SHORT_WORDS = 5, 4
 #: A gram found in fewer clauses of the table has no weight: it would tell the clause, not the kind.
 USUAL = 6
@@ -614,7 +614,7 @@ def pair_defects(pairs: DataFrame, key: str = "evaluation_id", question: str = "
     languages = context.broadcast(language_model(counted))
     # rows in the order of their hashes, so that chunks mix the table and do not depend on how it is laid out
     n = rows.select("id").count()
-    parts, turns = max(1, -(-n // PART)), min(TURNS, max(1, n // TURN))
+    parts, turns = max(1, -(-n // PART)), max(k for k in TURNS if k == 1 or k * TURN <= n)
     order = F.xxhash64("id", "question", "answer")
     laid = rows.repartition(parts, order).sortWithinPartitions(order, "id", "question", "answer")
 
@@ -643,16 +643,18 @@ def pair_defects(pairs: DataFrame, key: str = "evaluation_id", question: str = "
             for w in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pickle.loads(w)], ["word", "tail", "last", "inner"])
 
-    words = chunks.select("words").where("words IS NOT NULL").mapInArrow(listed, "word bigint, tail bigint, last bigint, inner bigint").groupBy("word", "tail").agg(F.sum("last").alias("last"), F.sum("inner").alias("inner"))
-    known = words.toArrow()
-    ends = context.broadcast(Ends.of(*(known[c].to_numpy().astype(np.int64) for c in ("word", "tail", "last", "inner"))))
+    words = chunks.select("words").where("words IS NOT NULL").mapInArrow(listed, "word bigint, tail bigint, last bigint, inner bigint")
+    known, tails = words.groupBy("word").agg(F.sum("last"), F.sum("inner")).toArrow(), words.select("word", "tail").distinct().groupBy("tail").count().toArrow()
+    word, last, inner = (x.to_numpy().astype(np.int64) for x in known.columns)
+    tail, different = (x.to_numpy().astype(np.int64) for x in tails.columns)
+    ends = context.broadcast(Ends(*(np.bincount(k, weights=x, minlength=size).astype(np.float32) for k, x, size in ((word, last, WORDS), (word, inner, WORDS), (tail, different, TAILS)))))
 
     def filled(data: bytes) -> dict:
         f = _unpacked(data)
         ends.value.fill(f["dense"], f)
         return f
 
-    tasks = min(parts, max(context.defaultParallelism, -(-parts // TURNS)))  # a step takes one chunk of eight
+    tasks = min(parts, max(context.defaultParallelism, -(-parts // turns)))
     held = chunks.select("chunk", "turn").coalesce(tasks).where("chunk IS NOT NULL")
 
     def missing(model: tuple, before: tuple | None, step: int) -> np.ndarray:
