@@ -83,24 +83,27 @@ def is_code(line: str, words: int) -> bool:
 def _grams(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each size: (buckets of all n-grams, first n-gram of each line). Lines end in a space."""
     raw = ("\n".join(lines) + "\n").lower().encode("utf-8", "replace")
-    data = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    ends = np.flatnonzero(data == 10)
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
     starts = np.r_[0, ends[:-1] + 1]
-    data = np.where(data == 10, 32, data).astype(np.uint32)
+    data = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    data[ends] = 32
     for k, n in enumerate(SIZES):
-        h = np.full(len(data), k, np.uint32)
-        for j in range(n):
-            shifted = np.r_[data[j:], np.full(j, 32, np.uint32)]
-            h = (h ^ shifted) * np.uint32(0x01000193)
+        h = data ^ np.uint32(k)
+        h *= np.uint32(0x01000193)
+        for j in range(1, n):
+            h[:-j] ^= data[j:]
+            h[-j:] ^= np.uint32(32)
+            h *= np.uint32(0x01000193)
         h ^= h >> np.uint32(15)
-        yield h % np.uint32(BUCKETS), starts
+        h &= np.uint32(BUCKETS - 1)
+        yield h, starts
 
 
 def line_scores(lines: list[str], model: np.ndarray) -> np.ndarray:
     """Log likelihood of each line in each language, less that of the best, scaled."""
     if not lines:
         return np.zeros((0, model.shape[1]), np.float32)
-    total = sum(np.add.reduceat(model[g], s, axis=0) for g, s in _grams(lines))
+    total = sum(np.add.reduceat(np.take(model, g, axis=0), s, axis=0) for g, s in _grams(lines))
     return (total - total.max(axis=1, keepdims=True)) / TEMPER
 
 

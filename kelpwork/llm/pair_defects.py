@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpwork.llm.languages import BUCKETS as BYTES
-from kelpwork.llm.languages import LANGUAGES, SEEDS, TEMPER, _counts, _grams, _model, line_scores
+from kelpwork.llm.languages import LANGUAGES, SEEDS, TEMPER, _alnum, _counts, _grams, _model, line_scores
 from kelpwork.sources.tables import cut, table
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
@@ -61,6 +61,7 @@ _BREAK = re.compile(r"(?<=[^\W\d][.!?…])[\"»”')\]]*\s+|(?<=[)\]\"»”][.!?
 #: The same for texts without line break and link, quicker: a match begins with the stop.
 _STOP = re.compile("[.!?…](?:(?<=[^\\W\\d].)[\"»”')\\]]*|(?<=[)\\]\"»”].))\\s+")
 _WORD = re.compile(r"[^\W_]+")
+_MARK = re.compile(r"(?:[-*•] |\d+[.)] )").match
 # Seed phrases of refusals, which label training clauses.
 _SEED = re.compile(
     r"\b(?:i (?:cannot|can't|can not|could not|am unable|am not able|must decline|don't have|do not have|don't know|do not know)\b|impossible for me|unable to help|holds? no information about|(?:nothing|no information) about .{0,60} in the (?:text|documents?|passages?|context)"
@@ -85,30 +86,29 @@ _BEGINNINGS: dict[str, list[tuple[str, int]]] = {}  # by first letter
 for _k, _v in enumerate(KINDS.values()):
     for _w in _v.split("|"):
         _BEGINNINGS.setdefault(_w[0], []).append((_w, 1 << _k))
-_words: dict[str, int] = {}
-_kinds: dict[str, int] = {}
-
-
-def _kind(word: str) -> int:
-    """The kinds of a word, one bit each."""
-    if len(_kinds) > 500_000:
-        _kinds.clear()
-    found = 0
-    for beginning, bit in _BEGINNINGS.get(word[0], ()):
-        if word == beginning[:-1] if beginning[-1] == " " else word.startswith(beginning):
-            found |= bit
-    _kinds[word] = found
-    return found
-
-
-def word_kinds(words: list[list[str]]) -> np.ndarray:
-    """Which kinds of words each clause has, and which of them together."""
-    bits = np.zeros(len(words), np.int64)
-    for i, ws in enumerate(words):
-        x = 0
-        for w in ws:
-            x |= _kinds[w] if w in _kinds else _kind(w)
-        bits[i] = x
+
+
+class _Known(dict):
+    """Word: its hash, and above that its kinds, one bit each."""
+
+    def __missing__(self, word: str) -> int:
+        found = 0
+        for beginning, bit in _BEGINNINGS.get(word[0], ()):
+            if word == beginning[:-1] if beginning[-1] == " " else word.startswith(beginning):
+                found |= bit
+        self[word] = x = xxhash.xxh32_intdigest(word) | found << 32
+        return x
+
+
+_known = _Known()
+
+
+def word_kinds(kinds: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which kinds of words each clause has, and which of them together; ``kinds`` of the words of all clauses, ``size`` words a clause."""
+    bits = np.zeros(len(size), np.int64)
+    has = np.flatnonzero(size)
+    if len(has):
+        bits[has] = np.bitwise_or.reduceat(kinds, (np.cumsum(size) - size)[has])
     first, no, speak, know, regret, decline = ((bits >> k & 1).astype(bool) for k in range(6))
     return np.stack([first, no, speak, know, regret, decline, first & no, first & decline, first & (no | decline) & speak, first & no & know, no & speak, no & know, regret & no, regret & (no | decline) & (speak | know), first & (no | decline) & (speak | know)], 1).astype(np.float32)
 
@@ -119,25 +119,66 @@ def visible(text: str | None) -> str:
 
 def is_empty(text: str | None) -> bool:
     """Nothing visible, no letter or digit at all, or only a placeholder or failure mark."""
-    t = visible(text)
-    return not _WORD.search(t) or bool(_PLACEHOLDER.match(t))
+    return not _told(visible(text))
+
+
+def _told(plain: str) -> bool:
+    return bool(_WORD.search(plain)) and not _PLACEHOLDER.match(plain)
 
 
 def clauses(text: str) -> list[str]:
-    if "\n" in text or "http" in text:
+    if "http" in text:
         parts = _BREAK.split(text)
     else:
-        at = [0, *(x for m in _STOP.finditer(text) for x in (m.start() + 1, m.end())), len(text)]
-        parts = [text[x:y] for x, y in zip(at[::2], at[1::2])]
-    return [c for c in (p.strip() for p in parts) if c and (_WORD.search(c) or "```" in c)] or [" ".join(text.split())]
+        parts, at = [], 0
+        for m in _STOP.finditer(text):
+            parts.append(text[at : m.start() + 1])
+            at = m.end()
+        parts.append(text[at:])
+        if "\n" in text:
+            parts = [x for p in parts for x in p.split("\n")]
+    return [c for c in map(str.strip, parts) if c and (c[0].isalnum() or _WORD.search(c) or "```" in c)] or [" ".join(text.split())]
+
+
+def split_words(texts: list[str], changes: tuple[tuple[str, str], ...] = ()) -> tuple[list[str], np.ndarray]:
+    """(the words of all texts in small letters, as ``_WORD`` finds them after the ``changes``; how many each text has)."""
+    if not texts:
+        return [], np.zeros(0, np.int64)
+    one = "\0".join(texts)
+    if one.count("\0") >= len(texts):
+        one = "\0".join(t.replace("\0", " ") for t in texts)
+    one = (one + "\0").lower()
+    for x, y in changes:
+        one = one.replace(x, y)
+    cp = np.frombuffer(one.encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = np.take(_alnum(), cp)
+    starts = word.copy()
+    starts[1:] &= ~word[:-1]
+    size = np.diff(np.r_[0, np.cumsum(starts)[np.flatnonzero(cp == 0)]])
+    return np.where(word, cp, np.uint32(32)).tobytes().decode("utf-32-le").split(), size
 
 
 def _hash(words: list[str]) -> np.ndarray:
-    if len(_words) > 500_000:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh32_intdigest(w)
-    return np.fromiter(map(_words.__getitem__, words), np.uint32, len(words))
+    return np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))
+
+
+def _hash_kinds(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and kinds of words, which come again and again."""
+    if len(_known) > 500_000:
+        _known.clear()
+    x = np.fromiter(map(_known.__getitem__, words), np.int64, len(words))
+    return (x & 0xFFFFFFFF).astype(np.uint32), x >> 32
+
+
+def _different(x: np.ndarray) -> np.ndarray:
+    """``np.unique``, by sorting, which is quicker for a few thousand numbers."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are among ``known``, which is sorted."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -173,8 +214,8 @@ class Ends:
 class Features:
     """Clauses of a batch of pairs: sparse gram buckets and dense columns."""
 
-    def __init__(self, questions: list[str], answers: list[str], languages: np.ndarray, ends: Ends | None = None):
-        parts = [clauses(a) for a in answers]
+    def __init__(self, questions: list[str], answers: list[str], languages: np.ndarray, ends: Ends | None = None, cut: dict[str, list[str]] | None = None):
+        parts = [clauses(a) for a in answers] if cut is None else [cut.get(a) or clauses(a) for a in answers]  # ``cut``: clauses of answers, as far as they are known
         self.count = np.fromiter(map(len, parts), np.int64, len(parts))
         flat = [c for p in parts for c in p]
         self.row = np.repeat(np.arange(len(parts)), self.count)
@@ -182,50 +223,51 @@ class Features:
         n = len(flat)
         last = np.zeros(n, bool)
         last[self.end] = True
-        cw = [_WORD.findall(c.lower().replace("can't", "cannot").replace("can’t", "cannot")) for c in flat]
-        qw = [_WORD.findall(q.lower()) for q in questions]
-        self.words = np.fromiter(map(len, cw), np.int64, n)
-        h = _hash([w for ws in cw for w in ws])
+        word, self.words = split_words(flat, (("can't", "cannot"), ("can’t", "cannot")))
+        qword, asked = split_words(questions)
+        h, kinds = _hash_kinds(word)
         of = np.repeat(np.arange(n), self.words)
-        g = _hash([w for ws in qw for w in ws])
-        qof = np.repeat(np.arange(len(qw)), np.fromiter(map(len, qw), np.int64, len(qw)))
+        g, _ = _hash_kinds(qword)
+        qof = np.repeat(np.arange(len(asked)), asked)
         pair = lambda x, o: (_mix(x[:-1] * np.uint32(31) + x[1:])[o[:-1] == o[1:]], o[:-1][o[:-1] == o[1:]])
         hp, hof = pair(h, of) if len(h) > 1 else (h[:0], of[:0])
         gp, gof = pair(g, qof) if len(g) > 1 else (g[:0], qof[:0])
         # overlap of the clause's word pairs with the question's, and of the question's with the clause
-        known = np.unique(gof.astype(np.uint64) << np.uint64(32) | gp)
+        known = _different(gof.astype(np.uint64) << np.uint64(32) | gp)
         mine = self.row[hof].astype(np.uint64) << np.uint64(32) | hp
-        hit = known[np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))] == mine if len(known) else np.zeros(len(mine), bool)
+        hit = _within(mine, known)
         pairs = np.bincount(hof, minlength=n)
         hits = np.bincount(hof, weights=hit, minlength=n)
         copied = hits / np.maximum(pairs, 1)
-        held = np.bincount((known >> np.uint64(32)).astype(np.int64), minlength=len(qw)).astype(float)
+        held = np.bincount((known >> np.uint64(32)).astype(np.int64), minlength=len(asked)).astype(float)
         covers = np.minimum(hits / np.maximum(held[self.row], 1), 1)
         # language against the question's
         score = line_scores([*flat, *(" ".join(q.split()) for q in questions), "    "], languages)  # the last line: n-grams need four bytes
         cs, qs = score[:n], score[n:-1]
         self.qlang = qlang = qs.argmax(1)
         margin = -cs[np.arange(n), qlang[self.row]]
-        sure = (-np.sort(-qs, axis=1)[:, 1] < -1.0) & np.fromiter(map(bool, qw), bool, len(qw))
+        sure = (-np.sort(-qs, axis=1)[:, 1] < -1.0) & (asked > 0)
         self.foreign = np.where((self.words >= FOREIGN_WORDS) & sure[self.row], np.minimum(margin, 12.0), 0.0)
         self.lost = cs.argmax(1) != qlang[self.row]
         # the end of the response
-        stop = np.fromiter((flat[e].rstrip("\"»”')]").endswith((".", "!", "?")) for e in self.end.tolist()), bool, len(parts))
-        torn = np.fromiter((flat[e].endswith(("-", ",", "(", ":", "–", "—", "/", "…", "...")) for e in self.end.tolist()), bool, len(parts))
-        fence = np.fromiter((a.count("```") % 2 == 1 for a in answers), bool, len(answers))
-        mark = np.fromiter((bool(re.match(r"(?:[-*•] |\d+[.)] )", flat[e])) for e in self.end), bool, len(parts))
-        link = np.fromiter((flat[e].startswith("http") or "```" in flat[e] for e in self.end), bool, len(parts))
+        ends_in = [flat[e] for e in self.end.tolist()]
+        stop = np.array([c.rstrip("\"»”')]").endswith((".", "!", "?")) for c in ends_in], bool)
+        torn = np.array([c.endswith(("-", ",", "(", ":", "–", "—", "/", "…", "...")) for c in ends_in], bool)
+        fence = np.array([a.count("```") % 2 == 1 for a in answers], bool)
+        mark = np.array([bool(_MARK(c)) for c in ends_in], bool)
+        link = np.array([c.startswith("http") or "```" in c for c in ends_in], bool)
         stop &= ~torn
         only, at = self.count == 1, self.end
         few = only & (self.words[at] <= SHORT_WORDS)  # too few words for their endings to tell
         dense = np.zeros((n, COLUMNS), np.float32)
         dense[:, 0] = 1
         dense[:, 1], dense[:, 2] = copied, covers
-        same = np.bincount(of, weights=np.isin(h.astype(np.uint64) | self.row[of].astype(np.uint64) << np.uint64(32), g.astype(np.uint64) | qof.astype(np.uint64) << np.uint64(32)), minlength=n) / np.maximum(self.words, 1) if len(h) else np.zeros(n)
+        their = _different(qof.astype(np.uint64) << np.uint64(32) | g)
+        same = np.bincount(of, weights=_within(self.row[of].astype(np.uint64) << np.uint64(32) | h, their), minlength=n) / np.maximum(self.words, 1)
         dense[:, 3], dense[:, 21], dense[:, 22] = same, copied * covers, (pairs < 2) | (held[self.row] < 2)
         dense[:, 4], dense[:, 5] = self.foreign / 6, np.minimum(self.foreign, 3) / 3
         dense[:, 23] = np.where(sure[self.row], 1 - np.exp(-margin), 0)
-        dense[:, 24:] = word_kinds(cw)
+        dense[:, 24:] = word_kinds(kinds, self.words)
         dense[:, 6] = np.minimum(self.words, 20) / 20
         for k, x in enumerate((stop, torn & ~stop, fence, mark & ~stop, link & ~fence, only & ~stop, ~only & ~stop & ~mark & ~link)):
             dense[at, 7 + k] = x
@@ -235,14 +277,16 @@ class Features:
         self.dense, self.stop, self.torn, self.fence, self.mark, self.link, self.only = dense, stop, torn, fence, mark, link, only
         self.copied, self.pairs = copied, pairs
         # grams: words and word pairs of all clauses; endings of last clauses that have no stop
-        tails, owner, ended = [], [], []
+        tails, owner, ended, lasts = [], [], [], []
         self.loose = np.flatnonzero(loose & ~few & (self.words[at] > 0))
         dense[at[loose & ~few & (self.words[at] == 0)], 19] = 1
-        for e in at[self.loose].tolist():
-            w, t = cw[e][-1], flat[e]
+        start = np.cumsum(self.words) - self.words
+        for e, x in zip(at[self.loose].tolist(), start[at[self.loose]].tolist()):
+            ws, t = word[x : x + int(self.words[e])], flat[e]
+            w = ws[-1]
             cap = "A" if t[-len(w) : ][:1].isupper() else "a"
-            before = cw[e][-2] if len(cw[e]) > 1 else ""
-            third, head, commas = cw[e][-3] if len(cw[e]) > 2 else "", " ".join(cw[e][:2]), str(t.count(","))
+            before = ws[-2] if len(ws) > 1 else ""
+            third, head, commas = ws[-3] if len(ws) > 2 else "", " ".join(ws[:2]), str(t.count(","))
             own = ["$1" + w, "$2" + before + " " + w, "$3" + cap + w[-3:], "$4" + cap + w[-2:] + str(min(len(w), 6)), "$5" + before, "$6" + third + " " + before + " " + cap + w[-2:], "$7" + head + " " + w[-3:], "$8" + head + commas, "$9" + head + commas + cap + w[-2:], "$a" + third + cap]
             part = _WORD.findall(t[t.rfind(",") + 1 :].lower())  # what stands behind the last comma: how it begins, how long it is
             size = str(min(len(part), 15))
@@ -250,16 +294,16 @@ class Features:
             tails += own
             owner += [e] * len(own)
             ended.append((len(w) > 3, w.isdigit()))
+            lasts.append(w)
         th = _hash(tails)
         gram = np.concatenate([_mix(h ^ np.uint32(0x51ED)), _mix(hp ^ np.uint32(0xA341)), _mix(th)]) % np.uint32(BUCKETS)
         clause = np.concatenate([of, hof, np.array(owner, np.int64)])
         order = np.argsort(clause, kind="stable")
         self.gram, self.clause = gram[order].astype(np.int64), clause[order]
-        self.flat, self.answers, self.cw, self.h, self.of = flat, answers, cw, h, of
+        self.flat, self.parts, self.word, self.start, self.h, self.of = flat, parts, word, start, h, of
         # last words whose odds are filled in: bucket of the word, of its ending, long, digit, and what the row itself counts for
         self.ended = np.zeros((len(ended), 6), np.int64)
         if ended:
-            lasts = [cw[e][-1] for e in at[self.loose].tolist()]
             self.ended[:, 0], self.ended[:, 1] = _hash(lasts) % np.uint32(WORDS), _hash([w[-3:] for w in lasts]) % np.uint32(TAILS)
             self.ended[:, 2:4] = ended
         if ends is not None:
@@ -449,20 +493,19 @@ def prepared(questions: list[str], answers: list[str], languages: np.ndarray) ->
     finished = np.fromiter(map(_finished, answers), bool, len(answers))
     sound = np.flatnonzero(finished & ~seed).tolist()
     made = list(_made(questions, answers, u.qlang, sound, u))
-    m = Features([q for _, q, _, _ in made], [a for _, _, a, _ in made], languages)
+    m = Features([q for _, q, _, _ in made], [a for _, _, a, _ in made], languages, cut=dict(zip(answers, u.parts)))
     # words of clauses with a stop
     ok = ~seed[u.row] & np.fromiter((c[-1] in ".!?" for c in u.flat), bool, len(u.flat))
     word = np.flatnonzero(ok[u.of])
     last = np.r_[u.of[1:] != u.of[:-1], np.ones(min(len(u.of), 1), bool)][word]
     bucket, at, of, often = np.unique(u.h[word] if len(word) else u.h, return_index=True, return_inverse=True, return_counts=True) if len(word) else (np.zeros(0, np.uint32), *[np.zeros(0, np.int64)] * 3)
-    flat = [w for ws in u.cw for w in ws]
     n_last = np.bincount(of, weights=last, minlength=len(bucket)).astype(np.int64)
-    ends = ((bucket % np.uint32(WORDS)).astype(np.int32), (_hash([flat[k][-3:] for k in word[at].tolist()]) % np.uint32(TAILS)).astype(np.int32), n_last, often - n_last)
+    ends = ((bucket % np.uint32(WORDS)).astype(np.int32), (_hash([u.word[k][-3:] for k in word[at].tolist()]) % np.uint32(TAILS)).astype(np.int32), n_last, often - n_last)
     # what the source of a made pair counts for itself
     first = u.end - u.count + 1
     for k, r in enumerate(m.loose.tolist()):
-        i, w = made[r][0], m.cw[m.end[r]][-1]
-        own = [u.cw[c] for c in range(first[i], u.end[i] + 1) if ok[c]]
+        i, w = made[r][0], m.word[m.start[m.end[r]] + m.words[m.end[r]] - 1]
+        own = [u.word[u.start[c] : u.start[c] + u.words[c]] for c in range(first[i], u.end[i] + 1) if ok[c]]
         n = sum(ws[-1:] == [w] for ws in own)
         m.ended[k, 4:] = n, sum(ws.count(w) for ws in own) - n
     kind = np.array([k for *_, k in made], np.int8)
@@ -486,7 +529,7 @@ def language_counts(texts: list[str], model: np.ndarray) -> np.ndarray:
     texts = [" ".join(t.split()) for t in texts if len(t) > 40]
     if texts:
         grams = list(_grams(texts))
-        score = sum(np.add.reduceat(model[g], s, axis=0) for g, s in grams) / TEMPER
+        score = sum(np.add.reduceat(np.take(model, g, axis=0), s, axis=0) for g, s in grams) / TEMPER
         post = np.exp(score - score.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
         best = np.where(post.max(1) > 0.999, post.argmax(1), k).astype(np.uint32)
@@ -540,7 +583,7 @@ def pair_defect(questions: list[str], answers: list[str], languages: np.ndarray,
     defect: list = ["empty"] * len(answers)
     share = np.zeros((len(answers), len(TAGS)))
     plain = [visible(a) for a in answers]
-    rest = [i for i, a in enumerate(plain) if _WORD.search(a) and not _PLACEHOLDER.match(a)]
+    rest = [i for i, a in enumerate(plain) if _told(a)]
     if rest:
         f = Features([questions[i] for i in rest], [plain[i] for i in rest], languages, ends)
         chunk = {"count": f.count, "dense": f.dense, "gram": f.gram, "size": np.bincount(f.clause, minlength=len(f.row))}
@@ -606,7 +649,7 @@ def pair_defects(pairs: DataFrame, key: str = "evaluation_id", question: str = "
             for at in range(0, b.num_rows, CHUNK):
                 part = b.slice(at, CHUNK)
                 plain = [visible(a) for a in part.column(1).to_pylist()]
-                out += language_counts([*(q or "" for q in part.column(0).to_pylist()), *(a for a in plain if not is_empty(a))], sent.value)
+                out += language_counts([*(q or "" for q in part.column(0).to_pylist()), *filter(_told, plain)], sent.value)
             return out
 
         return _total(rows.select("question", "answer"), make, BYTES * len(LANGUAGES))
@@ -624,7 +667,7 @@ def pair_defects(pairs: DataFrame, key: str = "evaluation_id", question: str = "
             for at in range(0, whole.num_rows, CHUNK):
                 b = whole.slice(at, CHUNK)
                 plain = [visible(a) for a in b.column(2).to_pylist()]
-                full = [bool(_WORD.search(a)) and not _PLACEHOLDER.match(a) for a in plain]
+                full = [_told(a) for a in plain]
                 mask = pa.array(full)
                 chunk = words = None
                 if any(full):

@@ -449,6 +449,31 @@ def test_quick_clauses_are_the_slow_ones():
         assert pair_defects.clauses(t) == slow
 
 
+def test_quick_words_are_the_slow_ones():
+    rng = random.Random(4)
+    parts = ["a", "Word", "can't", "CAN’T", "İ", "ΑΣ", "Σ.", "\0", "_", "é", "e\u0301", "中", "²", " ", "\u3000", ".", "\n", "\ud800"]
+    for _ in range(2000):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 5))]
+        slow = [pair_defects._WORD.findall(t.lower().replace("can't", "cannot")) for t in texts]
+        words, size = pair_defects.split_words(texts, (("can't", "cannot"),))
+        assert words == [w for ws in slow for w in ws] and size.tolist() == list(map(len, slow))
+    for _ in range(3000):
+        t = "".join(rng.choice(["a", ".", "!", "\"", ")", " ", "\n", " \n", "\n\n", "word", "- ", "```"]) for _ in range(rng.randint(1, 14)))
+        slow = [c for c in (p.strip() for p in pair_defects._BREAK.split(t)) if c and (pair_defects._WORD.search(c) or "```" in c)] or [" ".join(t.split())]
+        assert pair_defects.clauses(t) == slow
+
+
+def test_answers_that_serve_again_are_cut_once(monkeypatch):
+    english = [f"The form number {i} is on the second page of the list. It was sent to the team." for i in range(60)]
+    german = [f"Das Formular mit der Nummer {i} ist auf der zweiten Seite der Liste. Wir haben es gesehen." for i in range(60)]
+    texts = ["Which form is it on the list?"] * 60 + ["Wo ist das Formular auf der Liste?"] * 60
+    languages = pair_defects.language_model(lambda m: pair_defects.language_counts([*texts, *english, *german], m))
+    seen, slow = [], pair_defects.clauses
+    monkeypatch.setattr(pair_defects, "clauses", lambda t: seen.append(t) or slow(t))
+    chunk, _ = pair_defects.prepared(texts, english + german, languages)
+    assert (chunk["gold"] == pair_defects.FOREIGN).sum() >= 6 and sum(seen.count(t) for t in english + german) == 120
+
+
 def test_no_question_has_no_language():
     models = pair_defects.fit(["Which form is it?", "Wo ist das Formular?"] * 20, ["The form is on the second page of the list.", "Das Formular ist auf der zweiten Seite der Liste."] * 20)
     assert pair_defects.pair_defect([""], ["The archive was moved to the second page."], *models)[0] == [None]
