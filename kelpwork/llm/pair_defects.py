@@ -14,8 +14,8 @@ as answers and then get the tags of the round before (self-training), so that th
 labelled as sound. The language model and the counts of sentence ends come from all texts too.
 
 Scale: two maps over the rows, one that adds up n-grams and one that makes chunks of features, in the order of a hash of the row, into the checkpoint
-folder (about 1.5 times the input); each step of training is a map over part of the chunks, all parts in turn, whose sums are as large as the
-model; the last map decodes the chunks. Models and counts (about 12 MB, fixed by ``BUCKETS``, ``WORDS`` and ``TAILS``) are broadcast; the counts of
+folder (about 1.5 times the input), where the parts of training are kept apart once more (0.7 times); each step of training is a map over one part, all parts in turn, whose
+sums are as large as the model; the last map decodes the chunks. Models and counts (about 12 MB, fixed by ``BUCKETS``, ``WORDS`` and ``TAILS``) are broadcast; the counts of
 words (one row a bucket) come to the driver. Results of repeated rows are made distinct by id, a shuffle of defective rows only.
 
 Cases: null, empty, invisible and placeholder answers are ``empty``; a null question is an empty one, has no
@@ -686,8 +686,11 @@ def pair_defects(pairs: DataFrame, key: str = "evaluation_id", question: str = "
             for w in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pickle.loads(w)], ["word", "tail", "last", "inner"])
 
-    words = chunks.select("words").where("words IS NOT NULL").mapInArrow(listed, "word bigint, tail bigint, last bigint, inner bigint")
-    known, tails = words.groupBy("word").agg(F.sum("last"), F.sum("inner")).toArrow(), words.select("word", "tail").distinct().groupBy("tail").count().toArrow()
+    # a step of training has few pairs a task, but each task costs some 50 ms of Python before it begins
+    tasks = min(parts, max(2, -(-parts // turns)))
+    words = chunks.select("words").coalesce(tasks).where("words IS NOT NULL").mapInArrow(listed, "word bigint, tail bigint, last bigint, inner bigint")
+    words = cut(words.groupBy("word", "tail").agg(F.sum("last").alias("last"), F.sum("inner").alias("inner")))
+    known, tails = words.groupBy("word").agg(F.sum("last"), F.sum("inner")).toArrow(), words.groupBy("tail").count().toArrow()
     word, last, inner = (x.to_numpy().astype(np.int64) for x in known.columns)
     tail, different = (x.to_numpy().astype(np.int64) for x in tails.columns)
     ends = context.broadcast(Ends(*(np.bincount(k, weights=x, minlength=size).astype(np.float32) for k, x, size in ((word, last, WORDS), (word, inner, WORDS), (tail, different, TAILS)))))
@@ -697,12 +700,13 @@ def pair_defects(pairs: DataFrame, key: str = "evaluation_id", question: str = "
         ends.value.fill(f["dense"], f)
         return f
 
-    tasks = min(parts, max(context.defaultParallelism, -(-parts // turns)))
     held = chunks.select("chunk", "turn").coalesce(tasks).where("chunk IS NOT NULL")
+    # each part is kept apart, or every step would read the chunks of all
+    shares = [cut(held.where(F.col("turn") == k).select("chunk")) for k in range(turns)] if turns > 1 else [held.select("chunk")]
 
     def missing(model: tuple, before: tuple | None, step: int) -> np.ndarray:
         sent = context.broadcast((model, before))
-        return turns * _total(held.where(F.col("turn") == step % turns).select("chunk"), lambda b: sum(_missing(filled(x.as_py()), *sent.value) for x in b.column(0)), sum(int(np.prod(x)) for x in _SHAPES), tasks)
+        return turns * _total(shares[step % turns], lambda b: sum(_missing(filled(x.as_py()), *sent.value) for x in b.column(0)), sum(int(np.prod(x)) for x in _SHAPES), tasks)
 
     often = _total(held.select("chunk"), lambda b: sum(_often(_unpacked(x.as_py())) for x in b.column(0)), BUCKETS, tasks)
     field = context.broadcast(train(missing, often))

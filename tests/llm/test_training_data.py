@@ -425,6 +425,25 @@ def test_all_pairs_train_the_field(spark, monkeypatch):
     assert np.allclose(seen[1], pair_defects._missing(chunk, seen[2], pair_defects._start()), rtol=1e-3, atol=0.5)
 
 
+def test_a_step_of_training_reads_its_own_part(spark, monkeypatch):
+    answers = [f"item {i} of the list number {i % 97}" for i in range(13_000)]
+    df = spark.createDataFrame(list(enumerate(answers)), "evaluation_id bigint, generated_answer string").withColumn("question", F.lit("Which item is it?")).repartition(6)
+    frames, slow = [], pair_defects._total
+    monkeypatch.setattr(pair_defects, "_total", lambda df, *rest: frames.append(df) or slow(df, *rest))
+
+    def train(total, often):
+        frames.clear()
+        for k in range(4):
+            total(pair_defects._start(), None, k)
+        return pair_defects._start()
+
+    monkeypatch.setattr(pair_defects, "train", train)
+    pair_defects.pair_defects(df)
+    parts = [{bytes(r.chunk) for r in f.collect()} for f in frames]
+    assert parts[0] == parts[2] and parts[1] == parts[3] and parts[0] and parts[1] and not parts[0] & parts[1]
+    assert all("Filter" not in f._jdf.queryExecution().toString() for f in frames)  # nothing of the other part is read and dropped
+
+
 def test_sums_go_over_all_rows(spark):
     df = spark.range(1000, numPartitions=7).selectExpr("id % 5 AS k")
     make = lambda b: np.bincount(b.column(0).to_numpy(), minlength=6)
